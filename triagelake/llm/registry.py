@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hmm import op10_hidden_markov
 from .media import op1_png_media
 from .simhash import op2_simhash_balls
 from .slots import op6_virtual_slots
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op6_virtual_slots)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op6_virtual_slots, op10_hidden_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
