@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hmm import op10_hidden_markov
 from .media import op1_png_media
+from .quality import op5_pairwise_quality
 from .simhash import op2_simhash_balls
 from .slots import op6_virtual_slots
+from .toxicity import op9_kneser_ney_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op6_virtual_slots, op10_hidden_markov)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op5_pairwise_quality, op6_virtual_slots, op9_kneser_ney_toxicity, op10_hidden_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
