@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .hmm import op10_hidden_markov
+from .longmatch import op7_suffix_family
 from .media import op1_png_media
 from .quality import op5_pairwise_quality
 from .simhash import op2_simhash_balls
@@ -15,7 +16,7 @@ from .toxicity import op9_kneser_ney_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op5_pairwise_quality, op6_virtual_slots, op9_kneser_ney_toxicity, op10_hidden_markov)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op9_kneser_ney_toxicity, op10_hidden_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
