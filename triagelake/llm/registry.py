@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import OP4_SQL, op4_spaced_seeds
 from .hmm import op10_hidden_markov
 from .longmatch import op7_suffix_family
 from .media import op1_png_media
+from .packing import op8_best_fit
 from .quality import op5_pairwise_quality
 from .simhash import op2_simhash_balls
 from .slots import op6_virtual_slots
@@ -16,8 +18,8 @@ from .toxicity import op9_kneser_ney_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op9_kneser_ney_toxicity, op10_hidden_markov)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_spaced_seeds": OP4_SQL}
