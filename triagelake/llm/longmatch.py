@@ -43,6 +43,7 @@ from ._common import documents, id_text, shared_dir, small_batches, spool
 LENGTH = 200
 ROUNDS = (64, 176, 200)
 CHUNK = 1 << 20
+BATCH = 1 << 16  # suffixes of a new batch
 POS_BITS = 30
 VARIED = np.uint64(1)  # more than one span stands around the anchor
 AGAIN = np.uint64(2)  # more than one occurrence
@@ -293,18 +294,24 @@ def _round(chunks: DataFrame, at: int, done: int, rounds: tuple[int, ...], lengt
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(h), row["chunk"], np.int64))], ["h", "s", "chunk"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, kept = Family(), []
+        family, kept, fresh, size = Family(), [], [], 0
         for b in batches:
             h, s = (np.array(b.column(i), np.int64).view(np.uint64) for i in (0, 1))
-            family.add(h, s)
+            fresh.append((h, s))
+            size += len(h)
             kept.append((h, b.column(2)))
+            if size >= BATCH:
+                family.add(*map(np.concatenate, zip(*fresh, strict=True)))
+                fresh, size = [], 0
+        if fresh:
+            family.add(*map(np.concatenate, zip(*fresh, strict=True)))
         for h, chunk in kept:
             flags = family.flags(h)
             some = flags != 0
             yield pa.RecordBatch.from_arrays([chunk.filter(pa.array(some)), pa.array((h | flags)[some].view(np.int64))], ["chunk", "h"])
 
     spark = chunks.sparkSession
-    small_batches(spark, 2, 8 << 20)
+    small_batches(spark, 8192, 4 << 20)
     rows = spool_keys(chunks.mapInArrow(anchors, "h long, s long, chunk long"))
     return rows.mapInArrow(index, "chunk long, h long").groupBy("chunk").agg(F.collect_list("h").alias(f"a{done}"))
 
@@ -341,7 +348,7 @@ def cut_repeats(docs: DataFrame, finish, schema: T.StructType | str, text_col: s
                 yield from finish(table, [data[a:b] for a, b in spans], [gone[a:b] for a, b in spans])
 
     del chunks
-    small_batches(spark, 2, 8 << 20)
+    small_batches(spark, 8192, 4 << 20)
     return known.mapInArrow(last, schema)
 
 
@@ -369,15 +376,16 @@ def without_repeats(docs: DataFrame, text_col: str = "text", count_col: str | No
     is the text's length in characters and follows it.  Nulls stay null.
     """
     at = docs.columns.index(text_col)
+    count_at = docs.columns.index(count_col) if count_col in docs.columns else None
 
     def finish(table: pa.Table, texts: list[np.ndarray], removed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         valid = table.column(at).is_valid().to_pylist()
         kept = [t[~r].tobytes().decode("utf-8", "ignore") if v else None for t, r, v in zip(texts, removed, valid, strict=True)]
         out = table.set_column(at, text_col, pa.array(kept, pa.string()))
-        if count_col in docs.columns:
-            i = docs.columns.index(count_col)
-            was = table.column(i).to_pylist()
-            out = out.set_column(i, count_col, pa.array([len(k) if k is not None and r.any() else w for k, r, w in zip(kept, removed, was, strict=True)], table.schema.field(i).type))
+        if count_at is not None:
+            was = table.column(count_at).to_pylist()
+            now = [len(k) if k is not None and r.any() else w for k, r, w in zip(kept, removed, was, strict=True)]
+            out = out.set_column(count_at, count_col, pa.array(now, table.schema.field(count_at).type))
         yield from out.combine_chunks().to_batches()
 
     return cut_repeats(docs, finish, docs.schema, text_col)
