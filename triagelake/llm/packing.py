@@ -85,9 +85,10 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ch
     groups = made.count() // group_pieces + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         ids = np.array(table["doc_id"].fill_null(-1))
         number = np.array(table["piece"])
         size, group = np.array(table["n_tokens"]), np.array(table["grp"])
