@@ -267,8 +267,8 @@ def replay(data: np.ndarray, edges: np.ndarray, answers: list[np.ndarray], round
         flags = np.where(base[at] == items.h, h[at] & FLAGS, np.uint64(0)) if len(h) else np.zeros(len(items.h), np.uint64)
         more = np.zeros((2, len(active) + 1), np.int32)
         for row, some in enumerate((flags == AGAIN, flags & VARIED != 0)):
-            np.add.at(more[row], items.lo[some], 1)
-            np.add.at(more[row], items.hi[some] + 1, -1)
+            more[row, items.lo[some]] += 1  # first windows are distinct, and so are last ones
+            more[row, items.hi[some] + 1] -= 1
         found = np.cumsum(more, axis=1)[:, :-1] > 0
         repeats |= found[0]
         active = found[1]
@@ -341,8 +341,8 @@ def cut_repeats(docs: DataFrame, finish, schema: T.StructType | str, text_col: s
                 _, repeats, _ = replay(data, edges, _answers(row, len(rounds)), rounds, length)
                 cover = np.zeros(len(data) + 1, np.int32)
                 start = np.flatnonzero(repeats)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + length, -1)
+                cover[start] += 1
+                cover[start + length] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 spans = list(zip(edges[:-1], edges[1:], strict=True))
                 yield from finish(table, [data[a:b] for a, b in spans], [gone[a:b] for a, b in spans])
