@@ -39,6 +39,7 @@ CUT = 0.5
 LANES = 256
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"<(?:!--|[!?/]?[a-zA-Z])")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript iframe svg textarea object title".split())
@@ -84,7 +85,8 @@ def read_blocks(html: str | None) -> list[Block]:
     while True:
         m = TAG.search(html, at) if html.find(">", at) >= 0 else None  # without an end no tag can follow
         if m is None:
-            say(html[at:])
+            cut = OPEN.search(html, at)  # a tag or comment that is cut off is no text
+            say(html[at : cut.start()] if cut else html[at:])
             break
         say(html[at : m.start()])
         at = m.end()
