@@ -45,8 +45,8 @@ def module_fqn(path: Column) -> Column:
     return F.regexp_replace(dotted, r"(^|\.)__init__$", "")
 
 
-#: Fixed pattern, unanchored on purpose: paths of a repository that hold no library code.
-SKIP_PATH = r"(^|/)(tests?|testing|docs?|examples?|benchmarks?)/|test_[^/]*\.py|_test\.py|conftest\.py|(^|/)setup\.py$"
+#: Fixed pattern: paths whose changes name no library code (unanchored at the file name on purpose).
+SKIP_PATH = r"(^|/)(tests?|testing|dummyserver|docs?|examples?|benchmarks?)/|(^|/)(setup|conftest)\.py$|_test\.py$|test_[^/]*\.py$"
 
 
 def repo_module(path: Column) -> Column:
