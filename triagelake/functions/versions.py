@@ -17,16 +17,32 @@ PATTERN = (
     r"(?:[-_.]?(dev)[-_.]?(\d*))?"
     r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 )
+#: The release part of text that is a version.
+RELEASE = r"(?i)^\s*v?(?:\d+!)?(\d+(?:\.\d+)*)"
 NUM = "decimal(38,0)"
 NO_DEV = 10**18
 
 
-def _part(v: Column, i: int) -> Column:
-    return F.nullif(F.regexp_extract(v, PATTERN, i), F.lit(""))
+def _let(value: Column, body) -> Column:
+    """Evaluate a value once and use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(v: Column) -> Column:
+    """All ten parts of a version by one match."""
+    return F.split(F.regexp_replace(v, PATTERN, "|".join(f"${i}" for i in range(1, 11))), r"\|")
+
 
+def _part(g: Column, i: int) -> Column:
+    return F.nullif(F.get(g, F.lit(i - 1)), F.lit(""))
 
-def _num(v: Column, i: int) -> Column:
-    return F.coalesce(_part(v, i), F.lit("0")).try_cast(NUM)
+
+def _num(g: Column, i: int) -> Column:
+    return F.coalesce(_part(g, i), F.lit("0")).try_cast(NUM)
+
+
+def _post(g: Column) -> Column:
+    return F.coalesce(_part(g, 5), F.when(_part(g, 6).isNotNull(), F.coalesce(_part(g, 7), F.lit("0"))))
 
 
 def is_version(v: Column) -> Column:
@@ -35,7 +51,7 @@ def is_version(v: Column) -> Column:
 
 def release(v: Column) -> Column:
     """Release components as written."""
-    return F.transform(F.split(F.regexp_extract(v, PATTERN, 2), r"\."), lambda x: x.try_cast(NUM))
+    return F.transform(F.split(F.regexp_extract(v, RELEASE, 1), r"\."), lambda x: x.try_cast(NUM))
 
 
 def strip_zeros(parts: Column) -> Column:
@@ -45,40 +61,46 @@ def strip_zeros(parts: Column) -> Column:
 
 def version_key(v: Column, with_local: bool = True) -> Column:
     """Sortable struct, NULL for text that is no version."""
-    pre, dev, post = _part(v, 3), _part(v, 8), F.coalesce(_part(v, 5), F.when(_part(v, 6).isNotNull(), F.coalesce(_part(v, 7), F.lit("0"))))
-    letter = F.lower(F.substring(pre, 1, 1))
-    rank = F.when(pre.isNull(), F.when(dev.isNotNull() & post.isNull(), -1).otherwise(3)).when(letter == "a", 0).when(letter == "b", 1).otherwise(2)
     digits = lambda s: s.rlike(r"^\d+$")
-    local = F.transform(F.split(F.lower(_part(v, 10)), "[-_.]"), lambda s: F.struct(F.when(digits(s), s.try_cast(NUM)).otherwise(F.lit(-1).cast(NUM)).alias("n"), F.when(digits(s), "").otherwise(s).alias("s")))
     none = F.array().cast(f"array<struct<n:{NUM},s:string>>")
-    return F.when(
-        is_version(v),
-        F.struct(
-            _num(v, 1).alias("e"), strip_zeros(release(v)).alias("r"), rank.alias("pl"), _num(v, 4).alias("pn"),
+
+    def key(g: Column) -> Column:
+        pre, dev, post = _part(g, 3), _part(g, 8), _post(g)
+        letter = F.lower(F.substring(pre, 1, 1))
+        rank = F.when(pre.isNull(), F.when(dev.isNotNull() & post.isNull(), -1).otherwise(3)).when(letter == "a", 0).when(letter == "b", 1).otherwise(2)
+        local = F.transform(F.split(F.lower(_part(g, 10)), "[-_.]"), lambda s: F.struct(F.when(digits(s), s.try_cast(NUM)).otherwise(F.lit(-1).cast(NUM)).alias("n"), F.when(digits(s), "").otherwise(s).alias("s")))
+        parts = F.transform(F.split(_part(g, 2), r"\."), lambda x: x.try_cast(NUM))
+        return F.struct(
+            _num(g, 1).alias("e"), strip_zeros(parts).alias("r"), rank.alias("pl"), _num(g, 4).alias("pn"),
             F.coalesce(post.try_cast(NUM), F.lit(-1).cast(NUM)).alias("po"),
-            F.when(dev.isNotNull(), _num(v, 9)).otherwise(F.lit(NO_DEV).cast(NUM)).alias("d"),
+            F.when(dev.isNotNull(), _num(g, 9)).otherwise(F.lit(NO_DEV).cast(NUM)).alias("d"),
             (F.coalesce(local, none) if with_local else none).alias("l"),
-        ),
-    )
+        )
+
+    return F.when(is_version(v), _let(_groups(v), key))
+
+
+def without_local(key: Column) -> Column:
+    return F.struct(*[key[n].alias(n) for n in ("e", "r", "pl", "pn", "po", "d")], F.array().cast(f"array<struct<n:{NUM},s:string>>").alias("l"))
 
 
 def canonical(v: Column) -> Column:
     """Normalised text of a version, NULL if it is none."""
-    post = F.coalesce(_part(v, 5), F.when(_part(v, 6).isNotNull(), F.coalesce(_part(v, 7), F.lit("0"))))
-    letter = F.lower(F.substring(_part(v, 3), 1, 1))
-    pre = F.when(letter == "a", "a").when(letter == "b", "b").when(letter.isNotNull(), "rc")
     text = lambda n: n.cast("string")
-    return F.when(
-        is_version(v),
-        F.concat(
-            F.when(_num(v, 1) > 0, F.concat(text(_num(v, 1)), F.lit("!"))).otherwise(""),
-            F.array_join(F.transform(release(v), text), "."),
-            F.coalesce(F.concat(pre, text(_num(v, 4))), F.lit("")),
-            F.coalesce(F.concat(F.lit(".post"), text(post.try_cast(NUM))), F.lit("")),
-            F.when(_part(v, 8).isNotNull(), F.concat(F.lit(".dev"), text(_num(v, 9)))).otherwise(""),
-            F.coalesce(F.concat(F.lit("+"), F.array_join(F.transform(F.split(F.lower(_part(v, 10)), "[-_.]"), lambda s: F.when(s.rlike(r"^\d+$"), text(s.try_cast(NUM))).otherwise(s)), ".")), F.lit("")),
-        ),
-    )
+
+    def written(g: Column) -> Column:
+        letter = F.lower(F.substring(_part(g, 3), 1, 1))
+        pre = F.when(letter == "a", "a").when(letter == "b", "b").when(letter.isNotNull(), "rc")
+        return F.concat(
+            F.when(_num(g, 1) > 0, F.concat(text(_num(g, 1)), F.lit("!"))).otherwise(""),
+            F.array_join(F.transform(F.split(_part(g, 2), r"\."), lambda x: text(x.try_cast(NUM))), "."),
+            F.coalesce(F.concat(pre, text(_num(g, 4))), F.lit("")),
+            F.coalesce(F.concat(F.lit(".post"), text(_post(g).try_cast(NUM))), F.lit("")),
+            F.when(_part(g, 8).isNotNull(), F.concat(F.lit(".dev"), text(_num(g, 9)))).otherwise(""),
+            F.coalesce(F.concat(F.lit("+"), F.array_join(F.transform(F.split(F.lower(_part(g, 10)), "[-_.]"), lambda s: F.when(s.rlike(r"^\d+$"), text(s.try_cast(NUM))).otherwise(s)), ".")), F.lit("")),
+        )
+
+    return F.when(is_version(v), _let(_groups(v), written))
 
 
 CLAUSE = r"^\s*(~=|===|==|!=|<=|>=|<|>)\s*(\S.*?)\s*$"
@@ -104,11 +126,6 @@ def _padded_prefix(parts: Column, n: Column) -> Column:
     return F.slice(F.concat(parts, zeros), F.lit(1), n)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate a value once and use it many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _clause_holds(c: Column, k: Column) -> Column:
     """``k``: full key, public key, release and text of the version."""
     full, public, parts = k["full"], k["public"], k["parts"]
@@ -140,8 +157,9 @@ def satisfies(v: Column, spec: Column) -> Column:
 
     TRUE for a NULL set; NULL where the version or the set can't be read.
     """
-    key = F.struct(version_key(v).alias("full"), version_key(v, False).alias("public"), release(v).alias("parts"), v.alias("text"))
-    return F.when(spec.isNull(), F.lit(True)).when(is_version(v), _let(key, lambda k: F.forall(specifier(spec), lambda c: _clause_holds(c, k))))
+    key = lambda k: F.struct(k.alias("full"), without_local(k).alias("public"), release(v).alias("parts"), v.alias("text"))
+    held = _let(version_key(v), lambda full: _let(key(full), lambda k: F.forall(specifier(spec), lambda c: _clause_holds(c, k))))
+    return F.when(spec.isNull(), F.lit(True)).when(is_version(v), held)
 
 
 def _keyed(versions: Column) -> Column:
