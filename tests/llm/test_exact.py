@@ -144,6 +144,42 @@ def test_one_of_each_group(spark, odd_docs, no_docs):
     assert ids.count("7") == 1 and "8" not in ids and "9" not in ids and "None" in ids and sum(i in ids for i in ("1", "2")) == 1
 
 
+def plain_groups(texts):
+    """The first row of each group of near copies, by all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    parent = list(range(len(sets)))
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for j, t in enumerate(sets):
+        for i in range(j):
+            both = len(sets[i] & t)
+            if both / (len(sets[i]) + len(t) - both) >= 0.8:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({top(i) for i in range(len(sets))})
+
+
+def test_copies_of_one_template_that_differ_from_each_other(spark):
+    rng = random.Random(11)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(1000):
+        w = template[:]
+        for at in rng.sample(range(300), 5):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts.insert(500, " ".join(template))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.one_of_each(df).collect()) == plain_groups(texts)
+
+
 # long repeats
 
 
