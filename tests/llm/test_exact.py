@@ -180,6 +180,21 @@ def test_copies_of_one_template_that_differ_from_each_other(spark):
     assert sorted(r.doc_id for r in copies.one_of_each(df).collect()) == plain_groups(texts)
 
 
+def test_near_copies_under_every_kind_of_edit(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for size in (60, 300):
+        for k in range(30):
+            base, n = fresh(size), size // 5 - 4 + k % 4  # about the similarity, on both sides of it
+            at = rng.randrange(size - n)
+            texts += [" ".join(base), " ".join([base + fresh(n), base[:-n], base[: at + n // 2] + fresh(n // 2) + base[at + n // 2 + n // 2 :], base + base[:size // 2] * 3, base[:at] + base[at : at + n] * 2 + base[at + n :]][k % 5])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_groups(texts)
+    assert len(want) < 0.8 * len(texts)
+    assert sorted(r.doc_id for r in copies.one_of_each(df).collect()) == want
+
+
 # long repeats
 
 
