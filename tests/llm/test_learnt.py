@@ -63,6 +63,17 @@ def test_kneser_ney_sums_to_one_and_backs_off_together():
     assert m.ratio([]).shape == (0,)
 
 
+def test_all_bytes_of_a_long_word_give_evidence():
+    m = toxicity.ClassModels([b"nastyword", b"plainword"], np.array([9, 0]), np.array([0, 9]))
+    for n in (64, 65, 70, 127, 128, 129, 300, 1000):
+        for end in (b"nastyword", b"plainword", b"-x-"):
+            word = (b"plainword-nastyword/" * n)[:n] + end
+            assert np.isclose(m.ratio(toxicity.pieces(word)).sum(), m.ratio([toxicity.core(word)])[0])
+    bad, good = (toxicity.evidence(m, [b"q" * 200 + w], {})[0] for w in (b"nastyword", b"plainword"))
+    assert bad[0] > good[0] and bad[1] > good[1]
+    assert all(len(p) <= toxicity.SEGMENT + toxicity.ORDER + 1 for p in toxicity.pieces(b"x" * 10_000)) and toxicity.pieces(b"-" * 99) == [b""]
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
 <article><h1>A &amp; B</h1><p>First <b>bold</b>text&nbsp;here.<br>Second line<p>Third 'quote <a title='>'>link</a></p><script>var t="</p>";</script><!-- c --></article>
 <footer>&copy; me</footer>"""

@@ -8,6 +8,10 @@ neither has seen often speaks for neither.  A text's log-likelihoods are
 divided by its number of words; the difference, its strongest words and its
 length enter a logistic curve that turns it into a probability.
 
+A word of more than ``SEGMENT`` bytes is read in segments.  Each keeps the last
+``ORDER - 1`` bytes of the one before as context, so every letter has the
+probability it has in the whole word; each segment is a word in the evidence.
+
 Counts come from a bounded sample: at most ``TRAIN_ROWS`` labelled rows of
 each class, by a hash of the id; one row in ``HOLD`` of them sets the curve.
 Scoring reads all rows and whole texts.
@@ -36,7 +40,8 @@ TRAIN_ROWS = 8_000
 HOLD = 4
 ORDER = 8
 DISCOUNT = 0.75
-LONGEST = 64  # bytes of a word that are modelled; beyond, a word is data, not language
+SEGMENT = 64  # bytes of a word that are one piece of evidence; longer words are several
+MORE = b"\n"  # where a segment's word goes on; no word holds it
 CACHE = 400_000
 EDGE = b"#&$%*!|.,;:()[]{}<>\"'?-_/\\=+~^`@"
 INPUTS = 8
@@ -49,7 +54,8 @@ def _mix(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each letter (a word's end included): its word, hash of context, hash of context and letter, short code.
 
-    The short code is two bytes of context and the letter.
+    The short code is two bytes of context and the letter.  A segment's
+    context and marks are no letters.
     """
     size = np.fromiter((len(w) for w in words), np.int64, len(words)) + 1
     owner = np.repeat(np.arange(len(words)), size)
@@ -63,7 +69,14 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         context = _mix(context, byte)
     one = np.where(at - 1 >= start, flat[np.maximum(at - 1, 0)], 32).astype(np.int64)
     two = np.where(at - 2 >= start, flat[np.maximum(at - 2, 0)], 32).astype(np.int64)
-    return owner, context, _mix(context, flat), (two << 16) | (one << 8) | flat
+    full, short = _mix(context, flat), (two << 16) | (one << 8) | flat
+    skip = np.fromiter((ORDER if w.startswith(MORE) else 0 for w in words), np.int64, len(words))
+    drop = np.fromiter((2 if w.endswith(MORE) else 0 for w in words), np.int64, len(words))
+    if skip.any() or drop.any():
+        inside = at - start
+        keep = (inside >= skip[owner]) & (inside < (size - drop)[owner])
+        return owner[keep], context[keep], full[keep], short[keep]
+    return owner, context, full, short
 
 
 class _Table:
@@ -124,13 +137,29 @@ class ClassModels:
 
 
 def core(token: bytes) -> bytes:
-    """A word without signs at its edges; what is left of the longest words is cut."""
-    return token.strip(EDGE)[:LONGEST]
+    """A word without signs at its edges."""
+    return token.strip(EDGE)
+
+
+def pieces(token: bytes) -> list[bytes]:
+    """A word, or the segments of a long one: a mark and context first if it began before, a mark last if it goes on."""
+    if len(token) <= SEGMENT:
+        return [token]
+    word = core(token)
+    out = []
+    for at in range(0, max(len(word), 1), SEGMENT):
+        before = MORE + word[at - ORDER + 1 : at] if at else b""
+        out.append(before + word[at : at + SEGMENT] + (MORE if at + SEGMENT < len(word) else b""))
+    return out
+
+
+def pieces_of(text: bytes | None) -> list[bytes]:
+    return [p for w in (text or b"").lower().split() for p in pieces(w)]
 
 
 def evidence(models: ClassModels, texts: list[bytes | None], cache: dict[bytes, float]) -> np.ndarray:
     """Inputs of the curve for each text: length-normalised difference, strongest words, length."""
-    split = [(t or b"").lower().split() for t in texts]
+    split = [pieces_of(t) for t in texts]
     if len(cache) > CACHE:
         cache.clear()
     fresh = list({w for ws in split for w in ws} - cache.keys())
@@ -181,7 +210,7 @@ def train_models(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
         seen: dict[bytes, list[int]] = {}
         for b in batches:
             for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {core(w) for w in (t or b"").lower().split()}:
+                for w in {core(w) for w in pieces_of(t)}:
                     seen.setdefault(w, [0, 0])[y] += 1
             if len(seen) > CACHE:
                 yield _counts(seen)
