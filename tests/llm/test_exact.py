@@ -373,6 +373,18 @@ def test_baum_welch_never_loses_likelihood():
         m = m.refit(start, move, emit, np.full(20, 1 / 20))
 
 
+def test_every_round_reads_all_rows_and_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 40, n).astype(np.uint16) for n in [5, 1500, 2500] + [30] * 500]
+    coded = spark.createDataFrame([(i, False, bytearray(s.tobytes())) for i, s in enumerate(seqs)], "uid long, held_out boolean, codes binary")
+    unigram = np.full(40, 1 / 40)
+    got, want = hmm.train(coded, unigram, 3, 2), hmm.Model.first(unigram, 3)
+    spans = [s[at : at + hmm.TRAIN_SPAN] for s in seqs for at in range(0, len(s), hmm.TRAIN_SPAN)]
+    for _ in range(2):
+        want = want.refit(*hmm.expected(want, spans), unigram)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
+
+
 @pytest.mark.parametrize("head", [0, 20, 5000])
 def test_language_model_scores(spark, odd_docs, no_docs, head):
     out = hmm.score_documents(odd_docs, hmm.held_out(5, 1), 3, 1, head).collect()

@@ -7,11 +7,10 @@
 2. Each word emits through a class: the commonest ``SINGLES`` words are classes
    of their own, every other word falls into one of ``SUFFIXES`` classes by its
    last bytes, inside which it has its smoothed relative frequency.
-3. States, transitions and class emissions come from Baum-Welch.  Random
-   starting values are settled on a bounded sample (``WARM_DOCS``); then
-   ``ROUNDS`` full passes accumulate expected counts in every partition, sum
-   them by class, and re-estimate on the driver (at most SINGLES + SUFFIXES
-   rows).
+3. States, transitions and class emissions come from Baum-Welch.  From
+   random starting values, each of ``ROUNDS`` passes over all training rows and
+   whole texts accumulates expected counts in every partition, sums them by
+   class, and re-estimates on the driver (at most SINGLES + SUFFIXES rows).
 4. A scaled forward recursion gives the exact likelihood.  Texts beyond
    ``SPAN`` tokens go as several spans: one vector for the first, one matrix
    (a lane for each starting state) for others, multiplied in order, which is
@@ -38,12 +37,11 @@ from pyspark.sql import functions as F
 from ._common import documents, id_text, small_batches, spool
 
 STATES = 8
-ROUNDS = 2
+ROUNDS = 14
 HEAD = 1 << 17
 SINGLES = 4096
 SUFFIXES = 1024
 SUFFIX_BYTES = 3
-WARM_DOCS, WARM_TOKENS, WARM_ROUNDS = 400, 1024, 12
 SPAN = 1024
 TRAIN_SPAN = 256
 TOKENS_AT_ONCE = 300_000
@@ -316,11 +314,6 @@ def train_round(coded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
 
 def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     model = Model.first(unigram, states)
-    sample = coded.filter(~F.col("held_out")).select(F.expr(f"substring(codes, 1, {2 * WARM_TOKENS})").alias("codes"), F.xxhash64("uid").alias("h")).orderBy("h").limit(WARM_DOCS).collect()
-    seqs = [np.frombuffer(bytes(r["codes"]), np.uint16) for r in sample]
-    seqs = [s[at : at + TRAIN_SPAN] for s in seqs for at in range(0, len(s), TRAIN_SPAN)]
-    for _ in range(WARM_ROUNDS if seqs else 0):
-        model = model.refit(*expected(model, seqs), unigram)
     for _ in range(rounds):
         model = train_round(coded, model, unigram)
     return model
