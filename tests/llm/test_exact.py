@@ -67,6 +67,13 @@ def test_media_digest(spark, odd_docs, no_docs):
     assert len({r.feature for r in out if r.doc_id in (7, 8)}) == 1 and len({r.feature for r in out}) > 3
 
 
+def test_stored_lines_are_filtered(spark, odd_docs):
+    for r in media.store(odd_docs).collect():
+        at = r.media.index(b"IDAT")
+        lines = zlib.decompress(r.media[at + 4 : at + 4 + int.from_bytes(r.media[at - 4 : at], "big")])
+        assert set(lines[:: media.WIDTH + 1]) == {2}
+
+
 # near copies
 
 

@@ -182,6 +182,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH), len(raw)
 
 
+UP = 2  # the filter of stored lines
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
@@ -196,7 +197,7 @@ def store(docs: DataFrame) -> DataFrame:
         for b in batches:
             made = [payload_of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_gray(p) for p, _ in made], pa.binary())],
+                [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_gray(p, filter_kind=UP) for p, _ in made], pa.binary())],
                 ["doc_id", "n_bytes", "media"],
             )
 
