@@ -61,54 +61,61 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 def unfilter(lines: np.ndarray) -> np.ndarray:
     """Undo the filters of ``lines`` (rows of filter byte and samples).
 
-    Runs of rows under None, Sub and Up go as whole arrays (sums along a row
-    or down the run); Average and Paeth need earlier output and go by column.
+    None, Sub and Up are sums along a row or down a run of rows, all at once.
+    If a row has Average or Paeth, the image goes by its diagonals, whose
+    samples need only those of the two diagonals before.
     """
     kinds, data = lines[:, 0], lines[:, 1:]
-    if not kinds.any():
-        return np.ascontiguousarray(data)
-    if kinds.max() > 4:
+    if kinds.size and kinds.max() > 4:
         raise MediaError("unknown filter")
-    out = np.zeros_like(data)
+    if kinds.size and kinds.max() > 2:
+        return _by_diagonals(kinds, data.astype(np.int16))
+    out = data.copy()
+    out[kinds == 1] = np.cumsum(data[kinds == 1], axis=1, dtype=np.uint8)
+    up = kinds == 2
+    if up.any():
+        down = np.cumsum(out, axis=0, dtype=np.uint8)
+        own = np.maximum.accumulate(np.where(up, -1, np.arange(len(kinds))))  # the last row above that isn't under Up
+        top = np.where((own > 0)[:, None], down[np.maximum(own - 1, 0)], 0)
+        out[up] = (down - top)[up]
+    return out
+
+
+def _by_diagonals(kinds: np.ndarray, data: np.ndarray) -> np.ndarray:
     h, w = data.shape
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    for lo, hi in zip([0, *edges], [*edges, h], strict=True):
-        kind, rows = kinds[lo], data[lo:hi]
-        above = out[lo - 1] if lo else np.zeros(w, np.uint8)
-        if kind == 0:
-            out[lo:hi] = rows
-        elif kind == 1:
-            out[lo:hi] = np.cumsum(rows, axis=1, dtype=np.uint8)
-        elif kind == 2:
-            out[lo:hi] = np.cumsum(rows, axis=0, dtype=np.uint8) + above
-        else:
-            for y in range(lo, hi):
-                prev, row, line = above.astype(int).tolist(), data[y].tolist(), []
-                a = c = 0
-                for v, b in zip(row, prev, strict=True):
-                    if kind == 3:
-                        a = (v + ((a + b) >> 1)) & 255
-                    else:
-                        p = a + b - c
-                        da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-                        a = (v + (a if da <= db and da <= dc else b if db <= dc else c)) & 255
-                    c = b
-                    line.append(a)
-                out[y] = line
-                above = out[y]
+    out = np.zeros((h + 1, w + 1), np.int16)  # a row above and a column before the image
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h - 1, d) + 1)
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        base = np.choose(kinds[y], [np.zeros_like(a), a, b, (a + b) >> 1, _paeth(a, b, c)])
+        out[y + 1, x + 1] = (data[y, x] + base) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+SUMS = (0, 1, 2)  # filters that sums undo: None, Sub, Up
+
+
+def chosen_lines(image: np.ndarray) -> np.ndarray:
+    """Each scan line under that of the filters ``SUMS`` with the least sum of absolute differences (the first on ties)."""
+    x = image.view(np.int8)
+    sub, up = image.copy(), image.copy()
+    sub[:, 1:] -= image[:, :-1]
+    up[1:] -= image[:-1]
+    made = np.stack([x, sub.view(np.int8), up.view(np.int8)])
+    kinds = np.abs(made.astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    out = np.empty((image.shape[0], image.shape[1] + 1), np.uint8)
+    out[:, 0] = kinds
+    out[:, 1:] = made.view(np.uint8)[kinds, np.arange(len(kinds))]
     return out
 
 
-def encode_gray(payload: bytes, width: int = WIDTH, filter_kind: int = 0, level: int = LEVEL) -> bytes:
-    """PNG of a payload whose length is a positive multiple of ``width``."""
+def encode_gray(payload: bytes, width: int = WIDTH, filter_kind: int | None = None, level: int = LEVEL) -> bytes:
+    """PNG of a payload whose length is a positive multiple of ``width``; without ``filter_kind`` each line has its own."""
     if not payload or len(payload) % width:
         raise MediaError("the payload is no whole number of rows")
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    if filter_kind:
-        lines = filter_rows(image, filter_kind)
-    else:
-        lines = np.zeros((image.shape[0], width + 1), np.uint8)
-        lines[:, 1:] = image
+    lines = chosen_lines(image) if filter_kind is None else filter_rows(image, filter_kind)
     head = struct.pack(">IIBBBBB", width, image.shape[0], 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
 
@@ -182,7 +189,6 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH), len(raw)
 
 
-UP = 2  # the filter of stored lines
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
@@ -197,7 +203,7 @@ def store(docs: DataFrame) -> DataFrame:
         for b in batches:
             made = [payload_of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_gray(p, filter_kind=UP) for p, _ in made], pa.binary())],
+                [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_gray(p) for p, _ in made], pa.binary())],
                 ["doc_id", "n_bytes", "media"],
             )
 
