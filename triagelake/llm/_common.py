@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), f"triagelake-{uuid.uuid4().hex[:8]}")
         sc.setCheckpointDir(found)

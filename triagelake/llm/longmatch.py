@@ -45,6 +45,7 @@ ROUNDS = (64, 176, 200)
 CHUNK = 1 << 20
 BATCH = 1 << 16  # suffixes of a new batch
 POS_BITS = 30
+NUMBER_BITS = 24  # of a chunk's number in its task
 VARIED = np.uint64(1)  # more than one span stands around the anchor
 AGAIN = np.uint64(2)  # more than one occurrence
 FLAGS = np.uint64(3)
@@ -108,6 +109,8 @@ class Items:
             self.h = _stir(prints.of(at, at + length)) & ~FLAGS
             self.s = np.zeros(len(at), np.uint64)
             return
+        if len(prints.sums) >> POS_BITS:
+            raise OverflowError("a chunk of over 2^30 bytes")
         low = np.uint64((1 << POS_BITS) - 1)
         gram = _stir(prints.all(k))
         place = low - np.arange(len(gram), dtype=np.uint64)
@@ -205,13 +208,15 @@ def chunked(docs: DataFrame, text_col: str, size: int = CHUNK) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal number
-            while _bucket_of(pid << 32 | number, buckets) != pid % buckets:
+            while _bucket_of(pid << NUMBER_BITS | number, buckets) != pid % buckets:
                 number += 1
+            if number >> NUMBER_BITS:
+                raise OverflowError("too many chunks in a partition: read the table in more partitions")
             table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            row = pa.RecordBatch.from_arrays([pa.array([pid << 32 | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
+            row = pa.RecordBatch.from_arrays([pa.array([pid << NUMBER_BITS | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
             number += 1
             return row
 
