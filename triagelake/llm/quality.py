@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, id_text, small_batches, spool
+from ._common import documents, id_text, small_batches
 
 TRAIN_ROWS = 12_000
 PAIRS = 40_000
@@ -68,18 +68,6 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the vector as bytes of 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [features(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "x"])
-
-    small_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(run, "doc_id long, x binary")
-
-
 class Ranker:
     """Hinge expansion, weights, and the cut with its slope."""
 
@@ -140,45 +128,51 @@ def labelled_sample(labels: DataFrame, label: str, hold: Column, most: int) -> D
     return known.filter(unit < share)
 
 
-def train_ranker(rows: DataFrame, labels: DataFrame, hold: Column, most: int = TRAIN_ROWS) -> Ranker:
-    """Fit on the bounded sample; ``rows`` has doc_id and x."""
-    sample = labelled_sample(labels, "quality", hold, most)
-    got = rows.join(sample, "doc_id").select("doc_id", "x", "y").toArrow()
-    order = np.lexsort((np.array(got["y"].to_pylist(), np.int64), np.array(got["doc_id"].to_pylist(), np.int64)))
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)[order]
-    return Ranker(x, np.array(got["y"].to_pylist(), np.int64)[order])
+def hold_out(mod: int, rest: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def score_rows(rows: DataFrame, ranker: Ranker) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(ranker)
+def train_ranker(docs: DataFrame, labels: DataFrame, hold: Column, most: int = TRAIN_ROWS) -> Ranker:
+    """Fit on the bounded sample, the only rows whose features are computed for it."""
+    sample = labelled_sample(labels, "quality", hold, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(x), pa.float64())], ["doc_id", "score"])
-
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
-
+            made = [features(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
-def hold_out(mod: int, rest: int) -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
+    small_batches(docs.sparkSession)
+    rows = id_text(docs).join(F.broadcast(sample), "doc_id")  # at most about 2 * most ids
+    got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+    ids, y = np.array(got["doc_id"].to_pylist(), np.int64), np.array(got["y"].to_pylist(), np.int64)
+    order = np.lexsort((*x.T, y, ids))
+    return Ranker(x[order], y[order])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    rows = spool(feature_rows(docs), "quality")
-    ranker = train_ranker(rows, labels, hold_out(4, 2), most)
-    scored = score_rows(rows, ranker)
+    shared = docs.sparkSession.sparkContext.broadcast(train_ranker(docs, labels, hold_out(4, 2), most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([features(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.float32).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(x), pa.float64())], ["doc_id", "score"])
+
+    small_batches(docs.sparkSession)
+    scored = id_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", hold_out(4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = TRAIN_ROWS) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text scores at least the cut.
 
-    The score of a row depends on its text alone, so it is computed beside the row.
+    Null and empty texts have the score of an empty text; repeated rows stay or
+    go together; without labels of both classes nothing is rejected.
     """
-    rows = spool(feature_rows(docs), "quality")
-    ranker = train_ranker(rows, labels, hold_out(4, 2), most)
+    ranker = train_ranker(docs, labels, hold_out(4, 2), most)
+    if ranker.cut is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
     at = docs.columns.index(text_col)
 
