@@ -14,6 +14,8 @@ probability it has in the whole word; each segment is a word in the evidence.
 
 Counts come from a bounded sample: at most ``TRAIN_ROWS`` labelled rows of
 each class, by a hash of the id; one row in ``HOLD`` of them sets the curve.
+Executors sum letters in context; only distinct ones reach the driver, as
+arrays, and one broadcast serves both the curve and the scores.
 Scoring reads all rows and whole texts.
 
 Defined cases: a null or empty text has no words and takes the curve's value
@@ -28,12 +30,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, id_text, small_batches
+from ._common import documents, id_text, small_batches, spool
 from .quality import hold_out, labelled_sample
 
 TRAIN_ROWS = 8_000
@@ -43,6 +45,7 @@ DISCOUNT = 0.75
 SEGMENT = 64  # bytes of a word that are one piece of evidence; longer words are several
 MORE = b"\n"  # where a segment's word goes on; no word holds it
 CACHE = 400_000
+FLUSH = 100_000  # distinct words that a task counts before it hands on sums
 EDGE = b"#&$%*!|.,;:()[]{}<>\"'?-_/\\=+~^`@"
 INPUTS = 8
 
@@ -80,60 +83,71 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class _Table:
-    """Sorted keys with values; absent keys have zero."""
+    """Sorted keys with columns of values; absent keys have zeros."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values.astype(np.float32)
+    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.columns = keys[order], [c[order].astype(np.float32) for c in columns]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys), np.float32)
+            return [np.zeros(len(keys), np.float32) for _ in self.columns]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(0))
+        met = self.keys[at] == keys
+        return [np.where(met, c[at], np.float32(0)) for c in self.columns]
 
 
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.bincount(inverse, weights, len(found))
+def gram_counts(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each distinct letter in its context: hash, hash of the context, short code, and its counts by class."""
+    owner, context, full, short = grams(words)
+    found, first, inverse = np.unique(full, return_index=True, return_inverse=True)
+    n0, n1 = (np.bincount(inverse, n[owner], len(found)).astype(np.int64) for n in (ordinary, toxic))
+    return found.view(np.int64), context[first].view(np.int64), short[first], n0, n1
 
 
 class ClassModels:
-    """Both Kneser-Ney models; ``ratio`` is log P(word | toxic) - log P(word | ordinary)."""
+    """Both Kneser-Ney models; ``ratio`` is log P(word | toxic) - log P(word | ordinary).
 
-    def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray):
+    Built from sums: ``own`` has a letter's hash and its count in either class,
+    ``contexts`` a context's hash with the classes' totals and what their
+    discounts free, ``short`` a short code and in how many longer contexts of
+    either class it stands.
+    """
+
+    def __init__(self, own: tuple[np.ndarray, ...], contexts: tuple[np.ndarray, ...], short: tuple[np.ndarray, ...]):
+        self.own = _Table(own[0], *(np.maximum(n - DISCOUNT, 0) for n in own[1:]))
+        self.contexts = _Table(*contexts)
+        keys, n = short
+        first, at = np.unique(keys >> 8, return_inverse=True)
+        total = np.bincount(at, n, len(first))
+        self.letter = np.bincount(keys & 255, minlength=256) + 0.5
+        self.letter = self.letter / self.letter.sum()
+        self.free = _Table(first, np.bincount(at, np.minimum(n, DISCOUNT), len(first)) / np.maximum(total, 1))
+        self.short = _Table(keys, np.maximum(n - DISCOUNT, 0) / np.maximum(total[at], 1))
+
+    @staticmethod
+    def of_words(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> ClassModels:
+        """From words and in how many texts of each class they stand."""
+        full, context, short, n0, n1 = gram_counts(words, toxic, ordinary)
+        keys, at = np.unique(context, return_inverse=True)
+        sums = [np.bincount(at, x, len(keys)) for x in (n0, np.minimum(n0, DISCOUNT), n1, np.minimum(n1, DISCOUNT))]
+        return ClassModels((full, n0, n1), (keys, *sums), np.unique(short, return_counts=True))
+
+    def letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each letter its word and its log-probability under the ordinary and the toxic model."""
         owner, context, full, short = grams(words)
-        self.parts = []
-        for counts in (toxic, ordinary):
-            mine = counts[owner] > 0
-            keys, sums = _sums(full[mine], counts[owner][mine])
-            of_key = pd.Series(context[mine], full[mine])
-            of_key = of_key[~of_key.index.duplicated()].reindex(keys).to_numpy(np.uint64)
-            totals = _sums(of_key, sums)
-            kinds = _sums(of_key, np.minimum(sums, DISCOUNT))  # what the discounts free
-            self.parts.append((_Table(keys, np.maximum(sums - DISCOUNT, 0)), _Table(*totals), _Table(*kinds)))
-        # shared backoff: in how many longer contexts of either class each short one continues
-        pair = np.unique(np.stack([full.view(np.int64), short]), axis=1)[1] if len(full) else short
-        keys, n = _sums(pair, np.ones(len(pair)))
-        first, total = _sums(keys >> 8, n)
-        free = _sums(keys >> 8, np.minimum(n, DISCOUNT))[1]
-        letter = np.bincount(keys & 255, minlength=256) + 0.5
-        letter = letter / letter.sum()
-        at = np.searchsorted(first, keys >> 8)
-        self.letter, self.free = letter, _Table(first, free / np.maximum(total, 1))
-        self.short = _Table(keys, np.maximum(n - DISCOUNT, 0) / np.maximum(total[at], 1) if len(keys) else n)
+        (left,), (seen,) = self.free.get(short >> 8), self.short.get(short)
+        shared = seen + np.where(left > 0, left, 1) * self.letter[short & 255]
+        n0, n1 = self.own.get(full.view(np.int64))
+        all0, free0, all1, free1 = self.contexts.get(context.view(np.int64))
+        logs = [np.log(np.where(t > 0, (n + f * shared) / np.maximum(t, 1e-9), shared)) for n, t, f in ((n0, all0, free0), (n1, all1, free1))]
+        return owner, logs[0], logs[1]
 
     def ratio(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        owner, context, full, short = grams(words)
-        left = self.free.get(short >> 8)
-        shared = self.short.get(short) + np.where(left > 0, left, 1) * self.letter[short & 255]
-        logs = []
-        for counts, totals, free in self.parts:
-            total = totals.get(context)
-            own = (counts.get(full) + free.get(context) * shared) / np.maximum(total, 1e-9)
-            logs.append(np.log(np.where(total > 0, own, shared)))
-        return np.bincount(owner, logs[0] - logs[1], len(words))
+        owner, ordinary, toxic = self.letters(words)
+        return np.bincount(owner, toxic - ordinary, len(words))
 
 
 def core(token: bytes) -> bytes:
@@ -199,32 +213,60 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self._units(x) @ self.w, -30, 30)))
 
 
-def train_models(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[ClassModels | None, Curve | float]:
-    """Models from the sample's word counts (documents with the word, by class) and the curve from its other part."""
-    sample = labelled_sample(labels, "toxic", hold_out(5, 0), most)
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(HOLD)) == 0
-    rows = id_text(docs).join(F.broadcast(sample), "doc_id")  # at most about 2 * most ids
-    small_batches(docs.sparkSession)
+COUNTED = "own long, context long, short long, n0 long, n1 long"
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Letters in context of the texts ``(text, y)`` with their counts by class (texts with the word), summed over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            words, n = list(seen), np.array(list(seen.values()), np.int64).reshape(-1, 2)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in gram_counts(words, n[:, 1], n[:, 0])], ["own", "context", "short", "n0", "n1"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
         for b in batches:
             for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w in {core(w) for w in pieces_of(t)}:
                     seen.setdefault(w, [0, 0])[y] += 1
-            if len(seen) > CACHE:
-                yield _counts(seen)
-                seen = {}
-        yield _counts(seen)
-
-    found = rows.filter(~part).select("text", "y").mapInArrow(count, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    n0, n1 = found["n0"].to_numpy(), found["n1"].to_numpy()
-    if not n0.sum() or not n1.sum():
-        return None, float(n1.sum() > 0)
-    words = found["w"].to_pylist()
-    order = np.array(sorted(range(len(words)), key=words.__getitem__))
-    models = ClassModels([words[i] for i in order], n1[order], n0[order])
+            if len(seen) > FLUSH:
+                yield out()
+        if seen:
+            yield out()
+
+    small_batches(rows.sparkSession)
+    letters = rows.select("text", "y").mapInArrow(run, COUNTED)
+    return letters.groupBy("own").agg(F.min("context").alias("context"), F.min("short").alias("short"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _columns(df: DataFrame) -> tuple[np.ndarray, ...]:
+    table = df.toArrow()
+    return tuple(c.to_numpy() for c in table.columns)
+
+
+def build_models(rows: DataFrame) -> ClassModels | None:
+    """Models of the texts ``(text, y)``; sums are made on executors, and none with one class alone."""
+    counted = spool(_counted(rows), "letters")
+    totals = counted.agg(F.sum("n0"), F.sum("n1")).first()
+    if not totals[0] or not totals[1]:
+        return None
+    sums = [f(c) for c in ("n0", "n1") for f in (F.sum, lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))))]
+    contexts = _columns(counted.groupBy("context").agg(*(s.cast("double").alias(f"s{i}") for i, s in enumerate(sums))))
+    short = _columns(counted.groupBy("short").agg(F.count(F.lit(1)).alias("n")))
+    return ClassModels(_columns(counted.select("own", F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1"))), contexts, short)
+
+
+def train_models(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Broadcast | None, Curve | float]:
+    """Models from one part of the sample, already broadcast, and the curve from its other part."""
+    sample = labelled_sample(labels, "toxic", hold_out(5, 0), most)
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(HOLD)) == 0
+    rows = id_text(docs).join(F.broadcast(sample), "doc_id")  # at most about 2 * most ids
+    models = build_models(rows.filter(~part))
+    if models is None:
+        return None, float(bool(sample.filter(~part & (F.col("y") == 1)).head(1)) and not sample.filter(~part & (F.col("y") == 0)).head(1))
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    del models
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, float] = {}
@@ -232,31 +274,26 @@ def train_models(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
             x = evidence(shared.value, b.column(1).cast(pa.binary()).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
+    small_batches(docs.sparkSession)
     got = rows.filter(part).select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, x binary, y int").toArrow()
     x, y = np.frombuffer(b"".join(got["x"].to_pylist()), np.float64).reshape(-1, INPUTS), got["y"].to_numpy().astype(float)
     order = np.lexsort(x.T)
     if len(set(y.tolist())) < 2:
-        return models, float(np.mean(y)) if len(y) else 0.0
-    return models, Curve(x[order], y[order])
-
-
-def _counts(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["w", "n0", "n1"])
+        return shared, float(np.mean(y)) if len(y) else 0.0
+    return shared, Curve(x[order], y[order])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    models, curve = train_models(docs, labels, most)
-    shared = docs.sparkSession.sparkContext.broadcast((models, curve))
+    shared, curve = train_models(docs, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, float] = {}
         for b in batches:
-            models, curve = shared.value
             if isinstance(curve, float):
                 scores = np.full(len(b), curve)
             else:
-                scores = curve(evidence(models, b.column(1).cast(pa.binary()).to_pylist(), cache))
+                scores = curve(evidence(shared.value, b.column(1).cast(pa.binary()).to_pylist(), cache))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
