@@ -11,6 +11,9 @@
    random starting values, each of ``ROUNDS`` passes over all training rows and
    whole texts accumulates expected counts in every partition, sums them by
    class, and re-estimates on the driver (at most SINGLES + SUFFIXES rows).
+   Texts go as spans of ``TRAIN_SPAN`` tokens, whose states are settled by
+   ``LAG`` tokens on both sides, so a long text is one chain up to what a state
+   still tells beyond ``LAG`` tokens.
 4. A scaled forward recursion gives the exact likelihood.  Texts beyond
    ``SPAN`` tokens go as several spans: one vector for the first, one matrix
    (a lane for each starting state) for others, multiplied in order, which is
@@ -43,8 +46,8 @@ SINGLES = 4096
 SUFFIXES = 1024
 SUFFIX_BYTES = 3
 SPAN = 1024
-TRAIN_SPAN = 256
-TOKENS_AT_ONCE = 300_000
+TRAIN_SPAN, LAG = 512, 24
+TOKENS_AT_ONCE = 800_000
 FLUSH = 200_000
 END = b""
 
@@ -197,28 +200,60 @@ def _lanes(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, alive, order
 
 
-def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions by a scaled forward-backward pass."""
-    k, (codes, alive, _) = len(model.start), _lanes(seqs)
-    steps, n = codes.shape
-    alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
-    now = np.broadcast_to(model.start, (n, k))
-    for t in range(steps):
-        m = alive[t]
-        now = (now[:m] @ model.move if t else now) * model.emit[codes[t, :m]]
-        scale[t, :m] = s = now.sum(1)
-        alpha[t, :m] = now = now / s[:, None]
-    beta, pairs = np.ones((n, k)), np.zeros((k, k))
-    for t in range(steps - 2, -1, -1):
+def _stationary(move: np.ndarray) -> np.ndarray:
+    at = np.full(len(move), 1 / len(move))
+    for _ in range(64):
+        at = at @ move
+    return at / at.sum()
+
+
+def expected(model: Model, texts: list[np.ndarray], span: int = TRAIN_SPAN, lag: int = LAG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions by a scaled forward-backward pass.
+
+    Texts go side by side as spans.  A span also reads the ``lag`` tokens
+    before and after it, which settle its states but count only in their own
+    spans; so each token, move and start of a text counts once.
+    """
+    k, flat = len(model.start), np.concatenate(texts).astype(np.int64)
+    ends = np.cumsum([len(t) for t in texts])
+    low, high, lo, hi = (np.array(x) for x in zip(*((max(a - lag, e - len(t)), min(a + span + lag, e), a, min(a + span, e)) for t, e in zip(texts, ends, strict=True) for a in range(e - len(t), e, span)), strict=True))
+    order = np.argsort(low - high, kind="stable")
+    low, lo, hi, size = low[order], lo[order], hi[order], (high - low)[order]
+    alive = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    at = np.concatenate([[0], np.cumsum(alive)])
+    move, back = model.move.T.astype(np.float32).copy(), model.move.astype(np.float32)
+    step = np.repeat(np.arange(len(alive)), alive)
+    lane = np.arange(at[-1]) - at[step]
+    place = low[lane] + step
+    counted = ((place >= lo[lane]) & (place < hi[lane])).astype(np.float32)
+    codes = flat[place]
+    ahead_of = np.ascontiguousarray(model.emit.astype(np.float32).take(codes, axis=0).T)
+    alpha = np.empty_like(ahead_of)
+    first = np.isin(low, np.concatenate([[0], ends[:-1]]))
+    now = np.where(first, model.start[:, None], _stationary(model.move)[:, None]).astype(np.float32)
+    for t, m in enumerate(alive):
+        here = slice(at[t], at[t + 1])
+        now = move @ now[:, :m] if t else now
+        now *= ahead_of[:, here]
+        now /= now.sum(0)
+        alpha[:, here] = now
+    beta, pairs = np.ones((k, len(size)), np.float32), np.zeros((k, k))
+    for t in range(len(alive) - 2, -1, -1):
         m = alive[t + 1]
-        ahead = model.emit[codes[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-        pairs += alpha[t, :m].T @ ahead
-        beta[:m] = ahead @ model.move.T
-        alpha[t, :m] *= beta[:m]
-    used = np.arange(n)[None] < alive[:, None]
-    flat = codes[used]
-    emit = np.stack([np.bincount(flat, alpha[:, :, j][used], len(model.emit)) for j in range(k)], axis=1)
-    return alpha[0].sum(0), pairs * model.move, emit
+        here, after = slice(at[t], at[t] + m), slice(at[t + 1], at[t + 2])
+        ahead = ahead_of[:, after]
+        ahead *= beta[:, :m]
+        new = back @ ahead
+        was = alpha[:, here]
+        both = was * new
+        scale = 1 / both.sum(0)
+        pairs += (was * (scale * counted[after])) @ ahead.T
+        np.multiply(both, scale, out=was)
+        np.multiply(new, scale, out=beta[:, :m])
+    start = alpha[:, : len(size)][:, first & (lo == low)].sum(1, dtype=np.float64)
+    alpha *= counted
+    emit = np.stack([np.bincount(codes, a, len(model.emit)) for a in alpha], axis=1)
+    return start, pairs * model.move, emit
 
 
 def log10_likelihoods(model: Model, texts: list[np.ndarray], span: int = SPAN) -> np.ndarray:
@@ -280,11 +315,9 @@ def _groups(seqs: Iterator[np.ndarray], most: int = TOKENS_AT_ONCE) -> Iterator[
         yield held
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
-        for c in _codes(b.column(0)):
-            for at in range(0, len(c), TRAIN_SPAN):
-                yield c[at : at + TRAIN_SPAN]
+        yield from _codes(b.column(0))
 
 
 def train_round(coded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
@@ -294,7 +327,7 @@ def train_round(coded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mod = shared.value
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(mod.emit)
-        for group in _groups(_spans(batches)):
+        for group in _groups(_sequences(batches)):
             a, b, c = expected(mod, group)
             start += a
             move += b
