@@ -17,7 +17,7 @@ def test_discovery(spark, tmp_path):
 
 def test_distributions_and_files(spark):
     dirs = spark.createDataFrame([("a_b-1.0.dist-info",), ("c-d-2.dist-info",), ("junk",)], "dir string")
-    assert {tuple(r) for r in P.installed_distributions(dirs).collect()} == {("a_b", "1.0"), ("c-d", "2")}
+    assert {tuple(r) for r in P.installed_distributions(dirs).collect()} == {("a-b", "1.0"), ("c-d", "2")}
     files = spark.createDataFrame([("a/b.py",), ("a/b/__init__.py",), ("c/__init__.py",)], "path string")
     wanted = spark.createDataFrame([("a.b",), ("c",), ("sys",)], "fqn string")
     assert {r.fqn: r.path for r in P.module_files(wanted, files).collect()} == {"a.b": "a/b.py", "c": "c/__init__.py", "sys": None}
@@ -33,7 +33,7 @@ def test_replies_prompts_cells_warnings(spark):
     one = spark.createDataFrame([("ID", "x" * 7000, None, ["1", "2"])], "i string, d string, p string, f array<string>")
     got = one.select(P.prompt(F.col("i"), F.col("d"), F.col("p")), P.fix_cell(F.col("p"), F.col("f"))).first()
     assert got[0].count("x") == P.DETAIL_CHARS and got[1] == "1 +1"
-    counters = spark.createDataFrame([(1, 2, 0), (2, 0, 0)], "project_id int, unqueried int, unparsed int")
+    counters = spark.createDataFrame([(1, 2, 0), (2, 0, 0)], "project_id int, packages_unqueried int, unparsed_source_files int")
     assert [tuple(r) for r in P.warnings(counters).collect()] == [(1, "advisories_unanswered")]
     asked = spark.createDataFrame([(True, False, True), (True, False, False), (False, False, False)], "has_key boolean, offline boolean, quota_exhausted boolean")
     assert [(r.configured, r.available) for r in P.availability(asked).collect()] == [(True, False), (True, True), (False, False)]

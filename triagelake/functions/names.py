@@ -82,7 +82,7 @@ def plausible_symbol(symbol: Column, heads: Column) -> Column:
 
 
 def fetchable(url: Column) -> Column:
-    return url.rlike(r"^https://github\.com/[^/]+/[^/]+/commit/[0-9a-f]{7,40}$")
+    return url.rlike(r"^https?://github\.com/[^/]+/[^/]+/commit/[0-9a-f]{7,40}$")
 
 
 def display_id(ident: Column, aliases: Column) -> Column:

@@ -22,8 +22,25 @@ def blockers(target: Column, declared: Column, parents: Column) -> Column:
     return F.array_sort(F.concat(F.coalesce(own, empty), F.coalesce(mine, empty)))
 
 
+def reason_text(lifted: Column) -> Column:
+    """One sentence for each reason code, with the constraint that stands in the way."""
+    first = F.get("blocking_parents", F.lit(0))
+    return (
+        F.when(F.col("reason_code") == "version_unread", F.format_string("Installed version %s can't be compared.", F.col("version")))
+        .when(F.col("reason_code") == "releases_unanswered", F.lit("The package's releases could not be looked up."))
+        .when(F.col("reason_code") == "constraint_unread", F.format_string("Your constraint %s can't be read.", F.col("declared")))
+        .when(F.col("reason_code") == "parent_constraint_unread", F.lit("A parent's constraint can't be read."))
+        .when(F.col("reason_code") == "backport", F.format_string("%s lies outside of the affected ranges.", F.col("target_version")))
+        .when(F.col("reason_code") == "no_fix", F.lit("No released version fixes this."))
+        .when(F.col("reason_code") == "in_range", F.format_string("Nothing forbids %s; the lockfile is behind.", F.col("target_version")))
+        .when(F.col("reason_code") == "own_constraint", F.format_string("Your constraint %s forbids %s.", F.col("declared"), F.col("target_version")))
+        .when(lifted, F.format_string("%s %s forbids %s; a newer release of it doesn't.", first["name"], first["constraint"], F.col("target_version")))
+        .otherwise(F.format_string("%s %s forbids %s, and no known release of it allows that.", first["name"], first["constraint"], F.col("target_version")))
+    )
+
+
 def with_fix(rows: DataFrame) -> DataFrame:
-    """Adds shape, target_version, command and reason_code.
+    """Adds shape, target_version, command, reason_code, reason, blocking and blocking_parents.
 
     ``rows``: name, version, fixed (array), ranges, released (array or NULL for
     unanswered), declared, parents (map), parent_upgrades (map).  What isn't
@@ -49,16 +66,18 @@ def with_fix(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("reason_code", reason).withColumn("shape", shape)
     target = F.when(F.col("shape") == "backport_exists", V.canonical(F.col("__back"))).when(~F.col("shape").isin("unknown", "no_fix"), V.canonical(F.col("__target")))
-    ups = F.transform("__block", lambda b: F.try_element_at("parent_upgrades", b["name"]))
-    bump = F.transform(F.arrays_zip(F.col("__block").alias("b"), ups.alias("u")), lambda z: F.format_string('uv add "%s>=%s"', z["b"]["name"], z["u"]))
-    override = F.when(F.forall(ups, lambda u: u.isNotNull()), F.array_join(bump, " && ")).otherwise(F.format_string('[tool.uv] override-dependencies = ["%s>=%s"]', F.col("name"), F.col("target_version")))
+    held = F.filter("__block", lambda b: b["name"] != OWN)
+    rows = rows.withColumn("blocking_parents", F.when(F.col("shape") == "override", F.transform(held, lambda b: F.struct(b["name"].alias("name"), b["constraint"].alias("constraint"), F.try_element_at("parent_upgrades", b["name"]).alias("upgrade_to")))))
+    bump = F.transform("blocking_parents", lambda b: F.format_string('uv add "%s>=%s"', b["name"], b["upgrade_to"]))
+    lifted = F.forall("blocking_parents", lambda b: b["upgrade_to"].isNotNull())
+    override = F.when(lifted, F.array_join(bump, " && ")).otherwise(F.format_string('[tool.uv]\noverride-dependencies = ["%s>=%s"]', F.col("name"), F.col("target_version")))
     command = (
         F.when(F.col("shape") == "lockfile_refresh", F.format_string("uv lock --upgrade-package %s", F.col("name")))
         .when(F.col("shape").isin("direct_bump", "backport_exists"), F.format_string('uv add "%s>=%s"', F.col("name"), F.col("target_version")))
         .when(F.col("shape") == "override", override)
     )
     return (
-        rows.withColumn("target_version", target).withColumn("command", command)
+        rows.withColumn("target_version", target).withColumn("command", command).withColumn("reason", reason_text(lifted))
         .withColumn("blocking", F.transform("__block", lambda b: b["name"])).withColumn("actionable", ~F.col("shape").isin("no_fix", "unknown"))
         .drop("__target", "__back", "__block")
     )

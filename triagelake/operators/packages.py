@@ -73,14 +73,22 @@ def drift(locked: DataFrame, installed: DataFrame) -> DataFrame:
 
 
 def import_names(records: DataFrame, top_level: DataFrame | None = None) -> DataFrame:
-    """``distribution, import_name`` from RECORD rows, or from top_level.txt where RECORD names none."""
-    path = F.regexp_extract("line", r'^"?([^",]+)', 1)
+    """``distribution, import_name`` from RECORD rows, or from top_level.txt where RECORD names none.
+
+    Distributions are normalised, so they join findings; ``project_id`` is kept
+    where both tables have it.
+    """
+    keys = ["project_id", "distribution"] if "project_id" in records.columns else ["distribution"]
+    records = records.withColumn("distribution", normalise(F.col("distribution")))
+    field = F.regexp_extract("line", r'^"((?:[^"]|"")*)"', 1)  # a quoted field may hold commas and doubled quotes
+    path = F.when(F.startswith("line", F.lit('"')), F.regexp_replace(field, '""', '"')).otherwise(F.regexp_extract("line", "^([^,]+)", 1))
     parts = F.split(path, "/")
     head = F.get(parts, F.lit(0))
     name = F.when(F.size(parts) > 1, head).when(path.endswith(".py"), F.regexp_replace(path, r"\.py$", ""))
     good = name.isNotNull() & ~head.rlike(r"\.(dist-info|data)$") & (head != "..") & (name != "")
-    found = records.select("distribution", F.when(good, name).alias("import_name")).filter("import_name is not null").distinct()
+    found = records.select(*keys, F.when(good, name).alias("import_name")).filter("import_name is not null").distinct()
     if top_level is None:
         return found
-    spare = top_level.select("distribution", F.explode(F.split("text", r"\s+")).alias("import_name")).filter("import_name <> ''").distinct()
-    return found.unionAll(spare.join(found.select("distribution").distinct(), "distribution", "left_anti"))
+    top_level = top_level.withColumn("distribution", normalise(F.col("distribution")))
+    spare = top_level.select(*keys, F.explode(F.split("text", r"\s+")).alias("import_name")).filter("import_name <> ''").distinct()
+    return found.unionByName(spare.join(found.select(*keys).distinct(), keys, "left_anti"))

@@ -118,7 +118,8 @@ def build(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = edges.unionAll(e)
     edges = merge_edges(edges)
     blind = called.filter("target is null and contains(name, '.') and origin = 'project'").select("project_id", F.col("caller").alias("fqn"), F.lit(True).alias("unresolved")).distinct()
-    own = defs.groupBy("project_id", "fqn").agg(F.max("kind").alias("kind"), F.max("origin").alias("origin"), F.bool_or("dynamic").alias("dynamic"))
+    last = F.struct(F.col("origin") == "dependency", "line", "kind")  # a name defined again is what its last definition says
+    own = defs.groupBy("project_id", "fqn").agg(F.max_by("kind", last).alias("kind"), F.max_by("origin", last).alias("origin"), F.bool_or("dynamic").alias("dynamic"))
     lone = linked.filter("owner is null").select("project_id", F.col("target").alias("fqn"))
     ends = edges.select("project_id", F.explode(F.array("src", "dst")).alias("fqn")).unionAll(lone).distinct().join(own, ["project_id", "fqn"], "left_anti")
     outer = ends.select("project_id", "fqn", F.lit("external").alias("kind"), F.lit("absent").alias("origin"), F.lit(False).alias("dynamic"))

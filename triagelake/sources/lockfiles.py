@@ -65,6 +65,16 @@ def declared(rows: DataFrame) -> DataFrame:
 
 
 def read_lockfiles(spark: SparkSession, path: str) -> DataFrame:
-    """All ``uv.lock`` files under a path; a project is its folder."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.lock").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.xxhash64(F.regexp_replace("path", "/[^/]*$", "")).alias("project_id"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    """All ``uv.lock`` files under a path; a project is its folder.
+
+    Bytes that are no UTF-8 become a text that is no TOML, so their status is
+    ``not_toml`` and not ``missing``.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "uv.lock").option("recursiveFileLookup", "true").load(path)
+    return raw.select(F.xxhash64(F.regexp_replace("path", "/[^/]*$", "")).alias("project_id"), F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.lit("\0")).alias("text"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+
+
+def with_missing(parsed: DataFrame, projects: DataFrame) -> DataFrame:
+    """Parsed lockfiles and a ``missing`` row for each project (``project_id``) without one."""
+    none = projects.select("project_id").distinct().join(parsed.select("project_id"), "project_id", "left_anti")
+    return parsed.unionByName(none.select("project_id", F.lit("missing").alias("status"), F.array().cast(parsed.schema["entries"].dataType).alias("entries")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.names import is_test_path, module_fqn, prefixes
+from triagelake.functions.names import is_test_path, module_fqn, normalise
 
 #: Folders that hold no project source; so do all that start with a dot.
 SKIP_DIRS = (".venv", "venv", "env", "site-packages", "build", "dist", "__pycache__", "node_modules")
@@ -18,6 +18,10 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.expr("substring(path, locate(:p, path) + length(:p))".replace(":p", f"'{path.rstrip('/')}/'")).alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("source"))
 
 
+def _project(df: DataFrame) -> list[str]:
+    return ["project_id"] if "project_id" in df.columns else []
+
+
 def skipped(path: Column) -> Column:
     """Below a folder of SKIP_DIRS or one that starts with a dot."""
     dirs = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
@@ -28,36 +32,41 @@ def discover(files: DataFrame, include_tests: bool = False) -> DataFrame:
     """``files(project_id, path, …)`` that are modules, with fqn and is_package.
 
     The root is ``src/`` where a project has files there and no package at its
-    top; tests beside ``src/`` are taken only if asked for.
+    top; tests beside ``src/`` are taken only if asked for.  A folder that is
+    itself a package roots at its parent: its name (column ``folder``, the last
+    part of a path, or else the project's id) leads every module's name.
     """
+    files = files.withColumn("__name", F.element_at(F.split("folder" if "folder" in files.columns else F.col("project_id").cast("string"), "/"), -1))
     rows = files.filter(F.col("path").endswith(".py") & ~skipped(F.col("path")))
     flags = rows.groupBy("project_id").agg(F.bool_or(F.startswith("path", F.lit("src/"))).alias("src"), F.bool_or(F.col("path") == "__init__.py").alias("top"))
     rows = rows.join(flags, "project_id").withColumn("in_src", F.col("src") & ~F.col("top"))
     inside = F.when(F.col("in_src"), F.startswith("path", F.lit("src/"))).otherwise(F.lit(True))
     tests = is_test_path(F.col("path"))
     kept = rows.filter(F.when(tests, F.lit(include_tests)).otherwise(inside))
-    inner = F.when(F.col("in_src") & F.startswith("path", F.lit("src/")), F.expr("substring(path, 5)")).otherwise(F.col("path"))
+    inner = F.when(F.col("in_src") & F.startswith("path", F.lit("src/")), F.expr("substring(path, 5)")).when(F.col("top"), F.concat("__name", F.lit("/"), "path")).otherwise(F.col("path"))
     out = kept.withColumn("fqn", module_fqn(inner)).withColumn("is_package", F.col("path").endswith("__init__.py"))
-    return out.filter("fqn <> ''").drop("src", "top", "in_src")
+    return out.filter("fqn <> ''").drop("src", "top", "in_src", "__name")
 
 
 def installed_distributions(dirs: DataFrame) -> DataFrame:
-    """``name, version`` from names of ``*.dist-info`` folders."""
-    return dirs.select(F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 1).alias("name"), F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 2).alias("version")).filter("name <> ''")
+    """Normalised ``name, version`` from names of ``*.dist-info`` folders, by project where ``dirs`` has its id."""
+    return dirs.select(*_project(dirs), normalise(F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 1)).alias("name"), F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 2).alias("version")).filter("name <> ''")
 
 
 def module_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """The file of each wanted module; a plain file comes before a package, none is NULL."""
+    """The file of each wanted module (of its project, where both tables have ids); a plain file comes before a package, none is NULL."""
+    keys = [*_project(files), "fqn"]
     base = F.regexp_replace("path", r"\.py$", "")
-    known = files.filter(F.col("path").endswith(".py")).select(F.col("path"), F.regexp_replace(F.regexp_replace(base, "/__init__$", ""), "/", ".").alias("fqn"), F.col("path").endswith("/__init__.py").cast("int").alias("rank"))
-    best = known.groupBy("fqn").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
-    return wanted.join(best, "fqn", "left")
+    known = files.filter(F.col("path").endswith(".py")).select(*_project(files), F.col("path"), F.regexp_replace(F.regexp_replace(base, "/__init__$", ""), "/", ".").alias("fqn"), F.col("path").endswith("/__init__.py").cast("int").alias("rank"))
+    best = known.groupBy(*keys).agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    return wanted.join(best, keys, "left")
 
 
 def owning_distribution(modules: DataFrame, import_names: DataFrame) -> DataFrame:
-    """The first distribution (by name) that provides a module's top-level name."""
-    heads = import_names.groupBy(F.col("import_name").alias("head")).agg(F.min("distribution").alias("distribution"))
-    return modules.withColumn("head", F.substring_index("fqn", ".", 1)).join(heads, "head", "left").drop("head")
+    """The first distribution (by name) of the module's project that provides its top-level name."""
+    keys = _project(import_names)
+    heads = import_names.groupBy(*keys, F.col("import_name").alias("head")).agg(F.min("distribution").alias("distribution"))
+    return modules.withColumn("head", F.substring_index("fqn", ".", 1)).join(heads, [*keys, "head"], "left").drop("head")
 
 
 def reply_symbols(reply: Column) -> Column:
@@ -82,8 +91,12 @@ def fix_cell(target: Column, fixed: Column) -> Column:
 
 def warnings(summary: DataFrame) -> DataFrame:
     """``project_id, warning`` rows that follow from the counters of a scan."""
-    rules = {"unqueried": "advisories_unanswered", "failed_lookups": "releases_unanswered", "unparsed": "files_not_parsed", "symbols_dropped": "symbols_not_verified", "bodies_missing": "advisory_bodies_missing"}
+    rules = {"packages_unqueried": "advisories_unanswered", "bodies_missing": "advisory_bodies_missing", "fix_lookups_failed": "releases_unanswered", "unparsed_source_files": "files_not_parsed", "symbols_dropped": "symbols_not_verified"}
     made = [F.when(F.col(c) > 0, F.lit(w)) for c, w in rules.items() if c in summary.columns]
+    if "reachability_analysed" in summary.columns:  # one of the four, the first that holds
+        traced = F.col("reachability_analysed")
+        made.append(F.when(~traced, "no_call_graph").when(F.col("quota_exhausted"), "quota_exhausted").when(~F.col("symbol_extraction_available"), "package_level_verdicts"))
+        made.append(F.when((F.col("extractions_failed") > 0) & ~F.col("quota_exhausted"), "symbol_lookups_failed"))
     every = F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
     return summary.select("project_id", F.explode(every).alias("warning"))
 
@@ -92,14 +105,3 @@ def availability(rows: DataFrame) -> DataFrame:
     """Whether a model is configured (a key, not offline) and may still be asked (quota left)."""
     configured = F.col("has_key") & ~F.col("offline")
     return rows.withColumn("configured", configured).withColumn("available", configured & ~F.col("quota_exhausted"))
-
-
-def cut_to_budget(modules: DataFrame, budget: int) -> DataFrame:
-    """At most ``budget`` modules of each project, by name."""
-    order = Window.partitionBy("project_id").orderBy("fqn")
-    return modules.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= budget).drop("n")
-
-
-def candidates(fqn: Column) -> Column:
-    """Modules that could define a name, longest first."""
-    return prefixes(fqn)
