@@ -223,3 +223,14 @@ def test_stream_keeps_newest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.key, r.v) for r in spark.table("newest").collect()] == [("a", 2)]
+
+
+def test_starred_facades_and_last_definitions(spark):
+    app = modules(spark, {"app": "import pkg\ndef main():\n    pkg.run()\ndef twice():\n    pass\nclass twice:\n    pass\n"})
+    lib = modules(spark, {"pkg": "from .core import *\n", "pkg.core": "def run():\n    pass\ndef _hidden():\n    pass\nclass Kind:\n    pass\n"}, "dependency")
+    nodes, edges = resolve.build(app.unionByName(lib))
+    found = {(r.src, r.dst, r.kind) for r in edges.collect()}
+    assert {("pkg.run", "pkg.core.run", "alias"), ("pkg.Kind", "pkg.core.Kind", "alias")} <= found
+    assert not any("_hidden" in src for src, _, kind in found if kind == "alias")
+    assert {r.fqn: r.kind for r in nodes.collect()}["app.twice"] == "class"
+

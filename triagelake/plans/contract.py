@@ -682,3 +682,49 @@ def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = found.select("project_id", "advisory_id", (k % 2).alias("n_verified"), (k % 3).alias("n_dropped"), (k % 13 == 0).alias("failed"))
     model = t.select("project_id", (c("project_id") % 2 == 0).alias("configured"), (c("project_id") % 5 == 0).alias("quota_exhausted")).distinct()
     return scan.scan_counters(found, state, sources, graph_, verified, model)
+
+
+# lists of merged records, and walks over graphs with branches and cycles
+
+LIST_SQL = """
+WITH r AS (SELECT p_partkey AS k, p_partkey % 10 AS project_id, 'CVE-' || p_partkey % 40 AS display_id FROM part),
+l AS (SELECT project_id, display_id, 'u' || k % 7 AS v, 2 * k AS o, 1 AS w FROM r UNION ALL SELECT project_id, display_id, 'u' || k % 3, 2 * k + 1, 1 FROM r
+  UNION ALL SELECT project_id, display_id, 'c' || k % 4, k, 2 FROM r WHERE k % 5 <> 0 UNION ALL SELECT project_id, display_id, '0<1.' || k % 6, k, 3 FROM r WHERE k % 3 = 0 UNION ALL SELECT project_id, display_id, '2<=2.' || k % 2, k, 3 FROM r WHERE k % 3 = 1),
+d AS (SELECT project_id, display_id, w, v, min(o) AS o FROM l GROUP BY ALL)
+SELECT project_id, display_id, string_agg(v, ',' ORDER BY o) FILTER (WHERE w = 1) AS refs, coalesce(string_agg(v, ',' ORDER BY o) FILTER (WHERE w = 2), '') AS commits, coalesce(string_agg(v, ',' ORDER BY o) FILTER (WHERE w = 3), '') AS ranges FROM d GROUP BY ALL"""
+
+
+@query(LIST_SQL)
+def advisory_list_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, commits and ranges of merged records: unions in order of first sight."""
+    row = lambda low, fixed, last: F.struct(F.lit(low).alias("introduced"), fixed.cast("string").alias("fixed"), last.cast("string").alias("last_affected"))
+    k, null = c("p_partkey"), F.lit(None)
+    ranges = F.when(k % 3 == 0, F.array(row("0", F.concat(F.lit("1."), k % 6), null))).when(k % 3 == 1, F.array(row("2", null, F.concat(F.lit("2."), k % 2))))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("ord"), (k % 10).alias("project_id"), F.concat(F.lit("G-"), k).alias("id"), F.array(F.concat(F.lit("CVE-"), k % 40)).alias("aliases"), F.lit("low").alias("severity"),
+        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("details"), F.array().cast("array<string>").alias("fixed_versions"),
+        F.array(F.concat(F.lit("u"), k % 7), F.concat(F.lit("u"), k % 3)).alias("references"), F.when(k % 5 != 0, F.array(F.concat(F.lit("c"), k % 4))).alias("fix_commits"), ranges.alias("affected_ranges"),
+    )
+    text = F.transform("affected_ranges", lambda r: F.concat(r["introduced"], F.when(r["fixed"].isNull(), "<=").otherwise("<"), F.coalesce(r["fixed"], r["last_affected"])))
+    return A.merge(rows, ["project_id"]).select("project_id", "display_id", F.array_join("references", ",").alias("refs"), F.array_join("fix_commits", ",").alias("commits"), F.array_join(text, ",").alias("ranges"))
+
+
+TANGLE = "SELECT p_partkey % 10 AS p, p_partkey // 10 AS j FROM part"
+
+
+@query(f"""
+WITH RECURSIVE t AS ({TANGLE}), n AS (SELECT p, max(j) + 1 AS n FROM t GROUP BY 1),
+e AS (SELECT t.p, j AS src, (j * 3 + 1) % n AS dst FROM t JOIN n USING (p) UNION SELECT t.p, j, (j * 7 + 2) % n FROM t JOIN n USING (p) WHERE j % 4 <> 0 UNION SELECT p, j, j // 2 FROM t),
+w AS (SELECT DISTINCT p, CAST(0 AS BIGINT) AS j, 0 AS d FROM t UNION SELECT p, CAST(2 AS BIGINT), 0 FROM t WHERE p % 2 = 0 UNION SELECT w.p, e.dst, d + 1 FROM w JOIN e ON w.p = e.p AND w.j = e.src WHERE d < 24),
+m AS (SELECT p, j, min(d) AS d FROM w GROUP BY ALL)
+SELECT strategy, p AS project_id, 'n' || j AS node, d AS dist FROM m, (VALUES ('project'), ('frontier')) s(strategy)""")
+def tangled_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances over graphs with branches, cycles and loops from several starts, by both strategies."""
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS project_id", "p_partkey div 10 AS j")
+    n = t.groupBy("project_id").agg((F.max("j") + 1).alias("n"))
+    pairs = t.join(n, "project_id").select("project_id", "j", F.explode(F.array_compact(F.array((c("j") * 3 + 1) % c("n"), F.when(c("j") % 4 != 0, (c("j") * 7 + 2) % c("n")), F.expr("j div 2")))).alias("k"))
+    links = pairs.select("project_id", F.concat(F.lit("n"), "j").alias("src"), F.concat(F.lit("n"), "k").alias("dst"))
+    starts = n.select("project_id", F.explode(F.when(c("project_id") % 2 == 0, F.array(F.lit("n0"), F.lit("n2"))).otherwise(F.array(F.lit("n0")))).alias("node"))
+    walks = [graph.bfs(links, starts, s).select(F.lit(s).alias("strategy"), "project_id", "node", c("dist").cast("int").alias("dist")) for s in ("project", "frontier")]
+    return walks[0].unionByName(walks[1])
+
