@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from triagelake.functions import names as N
-from triagelake.operators import fixes, packages
+from triagelake.operators import fixes, packages, patches
 from triagelake.plans import scan
 from triagelake.sources import lockfiles
 from triagelake.sources import projects as P
@@ -104,3 +104,14 @@ def test_names_by_project(spark):
     assert {(r.project_id, r.distribution) for r in P.owning_distribution(wanted, names).collect()} == {(1, "pyyaml"), (2, "other-yaml"), (3, None)}
     found = P.module_files(wanted, spark.createDataFrame([(1, "yaml/x.py"), (2, "yaml/x/__init__.py")], "project_id long, path string"))
     assert {(r.project_id, r.path) for r in found.collect()} == {(1, "yaml/x.py"), (2, "yaml/x/__init__.py"), (3, None)}
+
+
+def test_states_of_patches(spark):
+    link = "https://github.com/o/r/commit/" + "a" * 40
+    good = "+++ b/src/lib/core.py\n@@ -1 +1 @@\n-a\n+b\nnoise"
+    rows = [(1, link, good), (2, link, None), (3, link, "+++ b/lib.py\n+" + "x" * patches.PATCH_CHARS), (4, "https://example.org/x", good), (5, None, good), (6, link, "+++ b/tests/test_a.py\n+x"), (7, link, "")]
+    out = patches.patch_states(spark.createDataFrame(rows, "patch_id int, url string, patch string"))
+    got = {r.patch_id: (r.state, r.diff) for r in out.collect()}
+    assert got == {1: ("reduced", "--- lib.core ---\n@@ -1 +1 @@\n-a\n+b"), 2: ("failed", None), 3: ("refused", ""), 4: ("skipped", None), 5: ("skipped", None), 6: ("reduced", ""), 7: ("reduced", "")}
+    assert patches.patch_states(out.limit(0).select("patch_id", out.state.alias("url"), out.diff.alias("patch"))).count() == 0
+

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.names import repo_module
+from triagelake.functions.names import fetchable, repo_module
 
-DIFF_CHARS = 12_000
+#: Characters of a patch that is still one fix, and of reduced diffs that are kept.
+PATCH_CHARS, DIFF_CHARS = 80_000, 12_000
 
 
 def reduce_diffs(patches: DataFrame) -> DataFrame:
@@ -40,3 +41,19 @@ def share_budget(diffs: DataFrame, budget: int = DIFF_CHARS) -> DataFrame:
     w = Window.partitionBy("advisory_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = diffs.withColumn("left", F.lit(budget) - F.coalesce(F.sum(F.length("diff")).over(w), F.lit(0)))
     return rows.filter("left > 0").select("advisory_id", "ord", F.expr("substring(diff, 1, cast(left as int))").alias("diff"))
+
+
+def patch_states(patches: DataFrame, limit: int = PATCH_CHARS) -> DataFrame:
+    """``patches(patch_id, url, patch)`` to ``patch_id, state, diff``, as a cache keeps them.
+
+    ``skipped``: no commit link, diff NULL.  ``failed``: no patch could be had,
+    diff NULL, so it is asked again.  ``refused``: longer than the limit, diff
+    empty.  ``reduced``: the kept lines, or empty where nothing was useful; an
+    empty diff is an answer and isn't asked again.
+    """
+    state = F.when(~F.coalesce(fetchable(F.col("url")), F.lit(False)), "skipped").when(F.col("patch").isNull(), "failed").when(F.length("patch") > limit, "refused").otherwise("reduced")
+    rows = patches.select("patch_id", "patch", state.alias("state"))
+    lines = budgeted(reduce_diffs(rows.filter("state = 'reduced'")))
+    texts = lines.groupBy("patch_id").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("text"))
+    answered = F.col("state").isin("refused", "reduced")
+    return rows.join(texts, "patch_id", "left").select("patch_id", "state", F.when(answered, F.coalesce("text", F.lit(""))).alias("diff"))
