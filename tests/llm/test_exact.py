@@ -287,21 +287,43 @@ def test_long_repeats(spark, odd_docs, no_docs):
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
 
 
-def test_family_marks_all_meetings_whatever_the_batches():
+@pytest.mark.parametrize("pairs", [False, True])
+def test_family_marks_all_meetings_whatever_the_batches(pairs):
     rng = np.random.default_rng(5)
     h = (rng.integers(0, 200, 900).astype(np.uint64) << np.uint64(2)) * np.uint64(4)
     s = rng.integers(0, 3, 900).astype(np.uint64) * np.uint64(4)
     for size in (1, 7, 100, 900):
-        family = longmatch.Family()
+        family = longmatch.Family(pairs)
         for at in range(0, 900, size):
             family.add(h[at : at + size].copy(), s[at : at + size].copy())
         assert len(family.levels) <= 11
-        flags = family.flags(h)
+        flags = family.flags(h, s)
         for i in range(900):
-            same = s[h == h[i]]
+            same = s[(h == h[i]) & (s == s[i])] if pairs else s[h == h[i]]
             assert bool(flags[i] & longmatch.AGAIN) == (len(same) > 1) and bool(flags[i] & longmatch.VARIED) == (len(set(same.tolist())) > 1)
 
 
+def test_windows_that_share_one_fingerprint_are_told_apart(monkeypatch):
+    """The first fingerprint of windows is made to collide for all texts; the second one decides."""
+    real = longmatch.Prints.of
+
+    def of(self, start, end):
+        made = real(self, start, end)
+        return made if self.kind else made & np.uint64(1)
+
+    monkeypatch.setattr(longmatch.Prints, "of", of)
+    texts = [bytes([65 + i]) * 3 + bytes(range(40, 120)) * 3 for i in range(4)]
+    h = [longmatch.Items(longmatch.Prints(np.frombuffer(t, np.uint8)), np.ones(44, bool), 200, 200) for t in texts]
+    assert len(np.unique(np.concatenate([x.h for x in h]))) <= 2
+    family = longmatch.Family(True)
+    rows = []
+    for t, x in zip(texts, h, strict=True):
+        rows.append(longmatch.combine(x.h, longmatch.window_checks(np.frombuffer(t, np.uint8), x, 200), True))
+        family.add(*(y.copy() for y in rows[-1]))
+    alone = sum(int((family.flags(a, b & ~longmatch.FLAGS) == 0).sum()) for a, b in rows)
+    assert alone == 4 * 3
+
+
 def test_bucket_numbers_match_spark(spark):
     ids = [0, 1, 7 << 32 | 3, (1 << 45) + 12345, 99 << 24]
     got = spark.createDataFrame([(i,) for i in ids], "c long").select(F.pmod(F.hash("c"), F.lit(13))).collect()

@@ -12,8 +12,12 @@ levels of like size merge, so a suffix moves a logarithmic number of times.
 An anchor that occurs once has only unique windows.  If all its occurrences
 stand in one and the same span (the union of the windows that chose it), all
 these windows repeat.  Else its windows stay active for a finer round with a
-longer ``k``; the last round has ``k = LENGTH``, one window an anchor, and is
-exact up to collisions of 64-bit fingerprints.
+longer ``k``; the last round has ``k = LENGTH``, one window an anchor.
+
+Two strings count as equal if two fingerprints of 62 bits agree: an anchor's and
+its span's, and in the last round two of the window over independent tables.  At
+10^14 windows that makes a wrong match unlikely (about 10^28 pairs of windows
+against 2^124); only inside a chunk do answers meet windows by one of the two.
 
 Texts travel in chunks of about ``CHUNK`` bytes.  In a chunk equal anchors are
 one row before the shuffle, so a passage that a third of all rows share costs
@@ -44,6 +48,7 @@ LENGTH = 200
 ROUNDS = (64, 176, 200)
 CHUNK = 1 << 20
 BATCH = 1 << 16  # suffixes of a new batch
+SHARD = 64 << 20  # bytes of text for each shard of the suffix space, at most
 POS_BITS = 30
 NUMBER_BITS = 24  # of a chunk's number in its task
 VARIED = np.uint64(1)  # more than one span stands around the anchor
@@ -51,21 +56,23 @@ AGAIN = np.uint64(2)  # more than one occurrence
 FLAGS = np.uint64(3)
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_ODD = 0xD1342543DE82EF95
+_ODD = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _rng = np.random.default_rng(200)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_BYTE = [_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in _ODD]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, kept for the longest text so far."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base), np.uint64)
+def _power(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse, kept for the longest text so far."""
+    if kind not in _powers or len(_powers[kind][0]) < n:
+        made = []
+        for base in (_ODD[kind], pow(_ODD[kind], -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 21), np.uint64(base), np.uint64)
             steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            made.append(np.multiply.accumulate(steps))
+        _powers[kind] = (made[0], made[1])
+    up, down = _powers[kind]
+    return up[:n], down[:n]
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -74,12 +81,13 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of any substring of a byte array."""
+    """Fingerprints of any substring of a byte array, of one of two independent kinds."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power(len(data) + 1)
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        self.kind = kind
+        up, self.down = _power(len(data) + 1, kind)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(_BYTE[kind][data] * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
@@ -127,16 +135,29 @@ class Items:
         self.s = _stir(span) & ~FLAGS
 
 
-def combine(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct h, each with one s and the flags that its rows add up to."""
+def window_checks(data: np.ndarray, items: Items, length: int) -> np.ndarray:
+    """A second fingerprint of each window, for the last round."""
+    return _stir(Prints(data, 1).of(items.lo, items.lo + length)) & ~FLAGS
+
+
+def combine(h: np.ndarray, s: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct h, each with one s and the flags that its rows add up to.
+
+    With ``pairs`` rows are one only if s agrees too, and the order is by (h, s).
+    """
     if not len(h):
         return h, s
     order = np.argsort(h, kind="stable")
     h, s = h[order], s[order]
-    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    span = s & ~FLAGS
+    new, other = np.append(True, h[1:] != h[:-1]), np.append(True, span[1:] != span[:-1])
+    if pairs and (other & ~new).any():  # two fingerprints differ where one agrees
+        order = np.lexsort((span, h))
+        h, s, span = h[order], s[order], span[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (span[1:] != span[:-1]))
+    begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(h)))
     flags = np.bitwise_or.reduceat(s & FLAGS, begin)
-    span = s & ~FLAGS
     varied = np.maximum.reduceat(span, begin) != np.minimum.reduceat(span, begin)
     flags |= np.where(size > 1, AGAIN, np.uint64(0)) | np.where(varied, VARIED, np.uint64(0))
     return h[begin], span[begin] | flags
@@ -145,14 +166,14 @@ def combine(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Family:
     """Sorted levels of distinct anchors; batches come in, like-sized neighbours merge."""
 
-    def __init__(self) -> None:
+    def __init__(self, pairs: bool = False) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs = pairs
 
     def add(self, h: np.ndarray, s: np.ndarray) -> None:
-        h, s = combine(h, s)  # the batch's suffix array
+        h, s = combine(h, s, self.pairs)  # the batch's suffix array
         for old_h, old_s in self.levels:  # merge-scan: long matches mark both sides
-            at = np.minimum(np.searchsorted(old_h, h), max(len(old_h) - 1, 0))
-            met = old_h[at] == h
+            at, met = self._find(old_h, old_s, h, s)
             other = at[met]
             both = (old_s[other] | s[met]) & FLAGS | AGAIN
             both |= np.where((old_s[other] ^ s[met]) & ~FLAGS != 0, VARIED, np.uint64(0))
@@ -163,17 +184,28 @@ class Family:
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             self._merge()
 
+    def _find(self, old_h: np.ndarray, old_s: np.ndarray, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each anchor stands in a level, and whether it does."""
+        end = max(len(old_h) - 1, 0)
+        at = np.minimum(np.searchsorted(old_h, h), end)
+        met = old_h[at] == h
+        while self.pairs and (later := met & (old_s[at] & ~FLAGS < s & ~FLAGS) & (at < end)).any():
+            at = at + later
+            met = old_h[at] == h
+        return at, met & (old_s[at] & ~FLAGS == s & ~FLAGS) if self.pairs else met
+
     def _merge(self) -> None:
         (a, x), (b, y) = self.levels[-2:]
-        self.levels[-2:] = [combine(np.concatenate([a, b]), np.concatenate([x, y]))]
+        self.levels[-2:] = [combine(np.concatenate([a, b]), np.concatenate([x, y]), self.pairs)]
 
-    def flags(self, h: np.ndarray) -> np.ndarray:
+    def flags(self, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Of anchors that have all been added before."""
         while len(self.levels) > 1:
             self._merge()
         if not self.levels:
             return np.zeros(len(h), np.uint64)
         all_h, all_s = self.levels[0]
-        return all_s[np.searchsorted(all_h, h)] & FLAGS
+        return all_s[self._find(all_h, all_s, h, s)[0]] & FLAGS
 
 
 def _bucket_of(chunk: int, buckets: int) -> int:
@@ -284,9 +316,10 @@ def _answers(row: dict, n: int) -> list[np.ndarray]:
     return [np.array(row[f"a{i}"] or (), np.int64).view(np.uint64) for i in range(n)]
 
 
-def _round(chunks: DataFrame, at: int, done: int, rounds: tuple[int, ...], length: int) -> DataFrame:
+def _round(chunks: DataFrame, at: int, done: int, rounds: tuple[int, ...], length: int, shards: int) -> DataFrame:
     """Index one round; per chunk its anchors that repeat, flags in the low bits."""
     k = rounds[done]
+    pairs = k == length
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,36 +328,34 @@ def _round(chunks: DataFrame, at: int, done: int, rounds: tuple[int, ...], lengt
                 prints, _, active = replay(data, edges, _answers(row, done), rounds, length)
                 if active.any():
                     items = Items(prints, active, k, length)
-                    h, s = combine(items.h, items.s)
+                    if pairs:
+                        items.s = window_checks(data, items, length)
+                    h, s = combine(items.h, items.s, pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(h), row["chunk"], np.int64))], ["h", "s", "chunk"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, kept, fresh, size = Family(), [], [], 0
+        family, kept, fresh, size = Family(pairs), [], [], 0
         for b in batches:
             h, s = (np.array(b.column(i), np.int64).view(np.uint64) for i in (0, 1))
             fresh.append((h, s))
             size += len(h)
-            kept.append((h, b.column(2)))
+            kept.append((h, s & ~FLAGS if pairs else h, b.column(2)))
             if size >= BATCH:
                 family.add(*map(np.concatenate, zip(*fresh, strict=True)))
                 fresh, size = [], 0
         if fresh:
             family.add(*map(np.concatenate, zip(*fresh, strict=True)))
-        for h, chunk in kept:
-            flags = family.flags(h)
+        for h, s, chunk in kept:
+            flags = family.flags(h, s)
             some = flags != 0
             yield pa.RecordBatch.from_arrays([chunk.filter(pa.array(some)), pa.array((h | flags)[some].view(np.int64))], ["chunk", "h"])
 
     spark = chunks.sparkSession
     small_batches(spark, 8192, 4 << 20)
-    rows = spool_keys(chunks.mapInArrow(anchors, "h long, s long, chunk long"))
+    rows = chunks.mapInArrow(anchors, "h long, s long, chunk long").repartition(shards, "h")
     return rows.mapInArrow(index, "chunk long, h long").groupBy("chunk").agg(F.collect_list("h").alias(f"a{done}"))
 
 
-def spool_keys(rows: DataFrame) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
-
-
 def cut_repeats(docs: DataFrame, finish, schema: T.StructType | str, text_col: str = "text", length: int = LENGTH, rounds: tuple[int, ...] = ROUNDS, size: int = CHUNK) -> DataFrame:
     """Run all rounds and hand each chunk to ``finish(table, texts, removed)``.
 
@@ -335,8 +366,9 @@ def cut_repeats(docs: DataFrame, finish, schema: T.StructType | str, text_col: s
     at = docs.columns.index(text_col)
     known = chunks = chunked(docs, text_col, size)
     spark = docs.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() * size // SHARD)
     for done in range(len(rounds)):
-        found = spool(_round(known, at, done, rounds, length), f"anchors{done}")
+        found = spool(_round(known, at, done, rounds, length, shards), f"anchors{done}")
         known = known.join(found.hint("shuffle_hash"), "chunk", "left")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
