@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from triagelake.llm import contamination, copies, hmm, longmatch, media, packing, simhash, slots
@@ -391,6 +392,18 @@ def test_slots(spark, odd_docs, no_docs, tmp_path):
     assert (v1, v2) == (1, 2) and sum(old[k] != new[k] for k in old) < 0.3 * len(old)
     gone = slots.rebalanced(new, {k: (1, 1) for k in new}, 3)
     assert set(gone.values()) == {0, 1, 2}
+    with pytest.raises(AnalysisException):
+        slots.store_map(spark, path, 2, new)  # another writer's version stays
+
+
+def test_equal_rows_spread_over_shards(spark):
+    docs = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    out = slots.shard_documents(docs, 16)
+    load = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert out.count() == 3000 and len(load) == 16 and max(load) < 1.02 * min(load)
+    assert out.groupBy("vslot").count().agg(F.max("count")).first()[0] < 20
+    numbers = out.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.m + 1 for r in numbers) and sum(r.n for r in numbers) == 3000
 
 
 # packing

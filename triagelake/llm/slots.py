@@ -8,7 +8,10 @@ the only thing that reaches the driver is one row a slot, a fixed bound.
 
 Defined cases: a null text has no bytes (size 1, crc 0); a null id hashes like
 any value; an empty table gives an empty result and a map of empty slots;
-repeated rows are placed like others, each with a slot number of its own.
+repeated rows are placed like others, each with a slot number of its own.  Rows
+that are equal in id and text hash alike; where that makes a virtual slot hold
+over ``1 / HOT`` of all bytes or rows, its rows spread by their place in the
+table as well, so no shard and no sort has to take them all.
 """
 
 from __future__ import annotations
@@ -16,22 +19,24 @@ from __future__ import annotations
 import heapq
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, id_text, shared_dir, spool
 
 N_SLOTS = 4096
+HOT = 256
 MAP_SCHEMA = "version int, vslot int, shard int"
 
 
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of each record; the text goes no further than the scan."""
+    """doc_id, size, text_crc32, vslot, place of each record; the text goes no further than the scan."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         id_text(docs)
         .select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-        .withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+        .withColumns({"vslot": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"), "place": F.monotonically_increasing_id()})
     )
 
 
@@ -41,6 +46,14 @@ def slot_stats(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vslot"]: (r["b"], r["n"]) for r in rows}
 
 
+def spread(slotted: DataFrame, stats: dict[int, tuple[int, int]], n_slots: int = N_SLOTS) -> tuple[DataFrame, bool]:
+    """Rows of hot slots (``2 * HOT`` slots at most) hash by their place too; whether there are any."""
+    size, rows = (sum(v[i] for v in stats.values()) for i in (0, 1))
+    hot = [k for k, (b, n) in stats.items() if n > 1 and (b * HOT > size or n * HOT > rows)]
+    again = F.pmod(F.xxhash64("doc_id", "text_crc32", "place"), F.lit(n_slots)).cast("int")
+    return slotted.withColumn("vslot", F.when(F.col("vslot").isin(hot), again).otherwise(F.col("vslot"))) if hot else slotted, bool(hot)
+
+
 def first_map(stats: dict[int, tuple[int, int]], n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
     """Largest slot first onto the lightest shard; ties by number."""
     heap = [(0, s) for s in range(n_shards)]
@@ -91,9 +104,9 @@ def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -
 
 
 def store_map(spark: SparkSession, path: str, version: int, placed: dict[int, int]) -> None:
-    """Append one version of the slot map; earlier versions stay readable."""
+    """Add one version of the slot map; earlier versions stay readable, and a version that is there already is an error."""
     table = _table(spark, [(placed[k],) for k in range(len(placed))], ["shard"])
-    table.select(F.lit(version).cast("int").alias("version"), "vslot", F.col("shard").cast("int")).coalesce(1).write.mode("append").parquet(path)
+    table.select("vslot", F.col("shard").cast("int")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
@@ -114,7 +127,7 @@ def place(slotted: DataFrame, placed: dict[int, int], stats: dict[int, tuple[int
         start[slot] = seen.get(placed[slot], 0)
         seen[placed[slot]] = start[slot] + stats.get(slot, (0, 0))[1]
     table = _table(slotted.sparkSession, [(placed[k], start[k]) for k in range(len(placed))], ["shard", "start"])
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "place"))
     return (
         slotted.withColumn("rank", rank)
         .join(F.broadcast(table), "vslot")  # N_SLOTS rows, fixed
@@ -131,12 +144,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     spark = docs.sparkSession
     slotted = spool(with_slots(docs, n_slots), "slots")
     stats = slot_stats(slotted)
+    slotted, hot = spread(slotted, stats, n_slots)
+    if hot:
+        stats = slot_stats(slotted)
     version, placed = 1, None
     if map_path is not None:
         try:
             version, placed = load_map(spark, map_path)
-        except Exception as e:  # no map yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # no map yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     if placed is None:
         placed = first_map(stats, n_shards, n_slots)
