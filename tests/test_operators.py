@@ -73,6 +73,21 @@ def test_both_traversals_agree_on_random_graphs(spark):
         assert {n: d for q, n, d, _, _ in one if q == p} == plain_bfs([(a, b) for q, a, b, _ in edges if q == p], ["n0"])
 
 
+def test_large_graphs_are_walked_by_joins_and_small_ones_in_groups(spark):
+    """Graphs of 8 to 40 edges and a chain longer than the levels kept apart, under a limit that some pass."""
+    r = random.Random(8)
+    edges = [(p, f"n{r.randint(0, 9)}", f"n{r.randint(0, 9)}", r.random() < 0.4) for p in range(4) for _ in range(8 + 8 * p)]
+    edges += [(4, f"n{i}", f"n{i + 1}", i == 5) for i in range(20)]
+    e = spark.createDataFrame(edges, "project_id long, src string, dst string, speculative boolean")
+    s = spark.createDataFrame([(p, "n0") for p in range(6)], "project_id long, node string")
+    whole = graph.checkpointed(graph.bfs(e, s))
+    assert sorted(map(tuple, graph.bfs(e, s, "auto", 18).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    targets = whole.select("project_id", "node").unionAll(spark.createDataFrame([(0, "nowhere"), (9, "n0")], "project_id long, node string"))
+    paths = [sorted(map(tuple, graph.evidence(whole, targets, how, 8).collect()), key=str) for how in ("project", "frontier", "auto")]
+    assert paths[0] == paths[1] == paths[2] and len(paths[0]) == whole.count()
+    assert graph.bfs(e.limit(0), s.limit(0), "auto").count() == 0 and graph.evidence(whole, targets.limit(0), "frontier").count() == 0
+
+
 def test_intervals_state_machine(spark):
     steps = [("1", None, None), ("2", None, None), (None, "3", None), (None, None, "4"), ("5", "x", None), (None, None, None)]
     df = spark.createDataFrame([(steps,)], f"e array<struct<introduced:string,fixed:string,last_affected:string>>")

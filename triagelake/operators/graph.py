@@ -2,7 +2,8 @@
 
 ``strategy="project"`` walks each project's graph inside one group (a project
 fits a task, there is one stage for all).  ``"frontier"`` advances one level of
-all graphs by joins, for single graphs too large for a task.  Both give the
+all graphs by joins, for single graphs too large for a task.  ``"auto"`` counts
+each project's rows and deals the project to one or the other.  All give the
 same distances and, on ties, the same predecessor: the least
 ``(speculative, fqn)`` among those one hop nearer.
 """
@@ -13,11 +14,15 @@ import os
 import tempfile
 import uuid
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+GROUP_ROWS = 2_000_000  # of a project that one task may walk
+LEVELS = 8  # tables of levels before they become one
+
 OUT = "project_id long, node string, dist int, pred string, via_speculative boolean"
 
 
@@ -51,11 +56,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project") -> DataFrame:
+def _dealt(sized: DataFrame, *tables: DataFrame, group_rows: int) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """``tables`` of the projects that a task can hold, and of the others if there are any."""
+    counts = sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpointed(counts.filter(F.col("n") > group_rows).select("project_id"))
+    if large.isEmpty():
+        return list(tables), None
+    return [t.join(large, "project_id", "left_anti") for t in tables], [t.join(large, "project_id", "left_semi") for t in tables]
+
+
+def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project", group_rows: int = GROUP_ROWS) -> DataFrame:
     """``project_id, node, dist, pred, via_speculative`` of every node in reach.
 
     ``edges(project_id, src, dst[, speculative])``, ``starts(project_id, node)``.
     """
+    if strategy == "auto":
+        small, large = _dealt(edges, edges, starts, group_rows=group_rows)
+        walked = bfs(*small, "project")
+        return walked if large is None else walked.unionByName(bfs(*large, "frontier"))
     spec = F.col("speculative") if "speculative" in edges.columns else F.lit(False)
     links = edges.select("project_id", "src", "dst", spec.alias("spec"))
     if strategy == "project":
@@ -67,24 +85,47 @@ def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project") -> DataF
         raise ValueError(strategy)
     links = checkpointed(links.groupBy("project_id", "src", "dst").agg(F.bool_and("spec").alias("spec")))
     front = starts.select(F.col("project_id").cast("long").alias("project_id"), "node").distinct()
-    seen = front = checkpointed(front.select("project_id", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("pred"), F.lit(False).alias("via_speculative")))
-    dist = 0
+    front = checkpointed(front.select("project_id", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("pred"), F.lit(False).alias("via_speculative")))
+    levels, dist = [front], 0
     while not front.isEmpty():
         dist += 1
         step = front.select("project_id", F.col("node").alias("src")).join(links, ["project_id", "src"])
         best = step.groupBy("project_id", F.col("dst").alias("node")).agg(F.min(F.struct("spec", "src")).alias("b"))
-        fresh = best.join(seen.select("project_id", "node"), ["project_id", "node"], "left_anti")
+        fresh = best.join(reduce(DataFrame.unionByName, levels).select("project_id", "node"), ["project_id", "node"], "left_anti")
         front = checkpointed(fresh.select("project_id", "node", F.lit(dist).alias("dist"), F.col("b.src").alias("pred"), F.col("b.spec").alias("via_speculative")))
-        seen = checkpointed(seen.unionByName(front))
-    return seen
-
-
-def evidence(reach: DataFrame, targets: DataFrame) -> DataFrame:
+        levels.append(front)
+        if len(levels) > LEVELS:
+            levels = [checkpointed(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _traced(targets: DataFrame, reach: DataFrame) -> DataFrame:
+    """Paths by one join a hop, for graphs too large for a task."""
+    back = reach.select("project_id", F.col("node").alias("at"), F.col("pred").alias("next"), F.coalesce("via_speculative", F.lit(False)).alias("guess"))
+    ahead = targets.distinct().select("project_id", "node", F.col("node").alias("at"), F.array().cast("array<string>").alias("path"), F.lit(False).alias("speculative"))
+    done = []
+    while not done or not ahead.isEmpty():
+        moved = checkpointed(
+            ahead.join(back, ["project_id", "at"])
+            .select("project_id", "node", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path"), (F.col("speculative") | F.col("guess")).alias("speculative"))
+        )
+        done.append(moved.filter("at is null").drop("at"))
+        ahead = moved.filter("at is not null")
+        if len(done) > LEVELS:
+            done = [checkpointed(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
+
+
+def evidence(reach: DataFrame, targets: DataFrame, strategy: str = "project", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Path from a start to each target, nodes in order; whether a guessed hop is on it.
 
     ``targets(project_id, node)``.  The predecessor chain is followed inside
-    each project, for the targets only.
+    each project, for the targets only; ``strategy`` as for ``bfs``.
     """
+    if strategy == "auto":
+        small, large = _dealt(reach, reach, targets, group_rows=group_rows)
+        paths = evidence(*small)
+        return paths if large is None else paths.unionByName(evidence(*large, "frontier"))
 
     def chain(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         back = {n: (p, s) for n, p, s in right[["node", "pred", "via_speculative"]].itertuples(index=False)}
@@ -103,4 +144,6 @@ def evidence(reach: DataFrame, targets: DataFrame) -> DataFrame:
     schema = "project_id long, node string, path array<string>, speculative boolean"
     wanted = targets.select(F.col("project_id").cast("long").alias("project_id"), F.col("node").alias("node"))
     steps = reach.select(F.col("project_id").cast("long").alias("project_id"), F.col("node").alias("node"), F.col("pred").alias("pred"), F.col("via_speculative").alias("via_speculative"))
+    if strategy == "frontier":
+        return _traced(wanted, steps)
     return wanted.groupBy("project_id").cogroup(steps.groupBy("project_id")).applyInPandas(chain, schema)

@@ -30,9 +30,9 @@ def expand(project: DataFrame, installed: DataFrame, budget: int = BUDGET) -> tu
     through = sites.withColumn("local", F.substring_index("name", ".", 1)).join(imports.drop("origin"), ["project_id", "module", "local"])
     names = imports.select("project_id", "module", "target").unionAll(through.select("project_id", "module", F.concat("target", F.expr("substring(name, length(local) + 1)")))).unionAll(stars(both).select("project_id", "module", "source")).distinct()
     owned = owners(names, installed)
-    links = names.join(owned, ["project_id", "target"]).select("project_id", F.concat("module").alias("src"), F.col("owner").alias("dst")).filter("src <> dst").distinct()
+    links = checkpointed(names.join(owned, ["project_id", "target"]).select("project_id", F.concat("module").alias("src"), F.col("owner").alias("dst")).filter("src <> dst").distinct())
     starts = project.filter("parse_ok").select("project_id", F.col("fqn").alias("node")).distinct()
-    met = bfs(links, starts).filter("dist > 0").select("project_id", F.col("node").alias("fqn"), "dist")
+    met = bfs(links, starts, "auto").filter("dist > 0").select("project_id", F.col("node").alias("fqn"), "dist")
     rows = installed.join(met, ["project_id", "fqn"])
     order = Window.partitionBy("project_id").orderBy(F.col("parse_ok").desc(), "dist", "fqn")
     rows = rows.withColumn("rank", F.row_number().over(order))
@@ -96,7 +96,7 @@ def verify_symbols(symbols: DataFrame, installed: DataFrame, depth: int = REEXPO
 def reach_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reach from all project definitions, and flags of each project: has_code, blind."""
     starts = nodes.filter("origin = 'project' and kind <> 'external'").select("project_id", F.col("fqn").alias("node"))
-    reach = checkpointed(bfs(edges, starts))
+    reach = checkpointed(bfs(edges, starts, "auto"))
     seen = reach.join(nodes.select("project_id", F.col("fqn").alias("node"), "dynamic", "unresolved"), ["project_id", "node"], "left")
     blind = seen.groupBy("project_id").agg(F.bool_or(F.coalesce(F.col("dynamic") | F.col("unresolved"), F.lit(False))).alias("blind"))
     flags = nodes.select("project_id").distinct().join(blind, "project_id", "left")
@@ -124,7 +124,7 @@ def package_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, ind
     hit = owned.join(reach.select("project_id", "node", "dist"), ["project_id", "node"], "left")
     best = hit.groupBy("project_id", "finding_id").agg(F.count(F.lit(1)).alias("n_owned"), F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "node"))).alias("near"))
     best = best.select("project_id", "finding_id", "n_owned", F.col("near.node").alias("node"))
-    paths = evidence(reach, best.filter("node is not null").select("project_id", "node").distinct())
+    paths = evidence(reach, best.filter("node is not null").select("project_id", "node").distinct(), "auto")
     rows = findings.join(flags, "project_id", "left").join(best, ["project_id", "finding_id"], "left").join(paths, ["project_id", "node"], "left")
     named = F.coalesce(F.size("import_names") > 0, F.lit(False))
     code = F.coalesce("has_code", F.lit(False))
@@ -148,7 +148,7 @@ def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, stat
     seen = asked.join(nodes.select("project_id", F.col("fqn").alias("node"), F.lit(True).alias("known")), ["project_id", "node"], "left").join(reach.select("project_id", "node", "dist"), ["project_id", "node"], "left")
     best = seen.groupBy("project_id", "finding_id").agg(F.bool_and(F.col("known").isNotNull()).alias("all_known"), F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "node"))).alias("near"))
     best = best.select("project_id", "finding_id", "all_known", F.col("near.node").alias("node"))
-    paths = evidence(reach, best.filter("node is not null").select("project_id", "node").distinct()).withColumnRenamed("path", "symbol_path")
+    paths = evidence(reach, best.filter("node is not null").select("project_id", "node").distinct(), "auto").withColumnRenamed("path", "symbol_path")
     rows = base.join(best, ["project_id", "finding_id"], "left").join(paths, ["project_id", "node"], "left").join(status.select("project_id", "complete"), "project_id", "left")
     keep = F.coalesce(F.size("symbols") <= 0, F.lit(True)) | (F.col("verdict") == "not_reachable")
     reason = (
