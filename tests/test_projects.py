@@ -15,6 +15,24 @@ def test_discovery(spark, tmp_path):
     assert {(r.path, r.source) for r in P.read_sources(spark, str(root)).collect()} == {("pkg/ok.py", "x = 1\n"), ("pkg/bad.py", None)}
 
 
+def test_environments(spark):
+    paths = {
+        1: ["/a/.venv/lib/python3.12/site-packages/x.py", "/a/.venv/lib/python3.11/site-packages/x.py", "/a/.venv/Lib/site-packages/x.py"],
+        2: ["/b/.venv/lib/python3.9/site-packages/x.py", "/b/.venv/lib/python3.10/site-packages/x.py", "/b/env/Lib/site-packages/x.py"],
+        3: ["/c/env/lib/python3.9/site-packages/x/y.py"],
+        4: ["/c/env/lib/python3.9/site-packages/x.py", "/dd/env/Lib/site-packages/x.py"],
+        5: ["/e/.venv/Lib/site-packages/x.py", "/o/site-packages/x.py"],
+        6: ["/f/.venv/Lib/site-packages/x.py", "/o/y.py"],
+    }
+    files = spark.createDataFrame([(k, p) for k, v in paths.items() for p in v], "project_id long, path string")
+    rows = [(1, "/a", None, "/a/env"), (2, "/b/", None, "/b/env"), (3, "/c", None, "/c/env/"), (4, "/d", None, "/dd/env"), (5, "/e", "/o/site-packages", None), (6, "/f", "/o", "/f/env"), (7, None, None, None)]
+    got = P.site_packages(files, spark.createDataFrame(rows, "project_id long, root string, override string, virtual_env string"))
+    assert {r.project_id: (r.site_packages, r.environment_status) for r in got.collect()} == {
+        1: ("/a/.venv/Lib/site-packages", "found"), 2: ("/b/.venv/lib/python3.10/site-packages", "found"), 3: ("/c/env/lib/python3.9/site-packages", "found"),
+        4: (None, "no_environment"), 5: ("/o/site-packages", "found"), 6: (None, "override_unusable"), 7: (None, "no_environment"),
+    }
+
+
 def test_distributions_and_files(spark):
     dirs = spark.createDataFrame([("a_b-1.0.dist-info",), ("c-d-2.dist-info",), ("junk",)], "dir string")
     assert {tuple(r) for r in P.installed_distributions(dirs).collect()} == {("a-b", "1.0"), ("c-d", "2")}

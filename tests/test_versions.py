@@ -37,6 +37,12 @@ def test_order_equality_and_text_agree_with_the_standard(spark):
     assert all(str(Version(r.v)) == r.c for r in rows)
 
 
+def test_dev_numbers_of_nineteen_digits_and_more(spark):
+    vs = ["1.0a1.dev9999999999999999999", "1.0a1", "1.0", "1.0.post1.dev99999999999999999999999", "1.0.post1"]
+    got = spark.createDataFrame([(v,) for v in reversed(vs)], "v string").orderBy(V.version_key(F.col("v"))).collect()
+    assert [r.v for r in got] == vs == sorted(vs, key=Version)
+
+
 def test_specifiers_agree_with_the_standard(spark):
     vs = [v for v in some_versions(150, 2) if known(v)] + ["1.0", "1.7.0.post1", "1.7rc1", "1.2.9rc1", "1.0+x"]
     df = spark.createDataFrame([(v, s) for v in vs for s in SPECS], "v string, s string")

@@ -6,6 +6,8 @@ the JVM and push down; text that is no version is NULL and never an error.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ PATTERN = (
 #: The release part of text that is a version.
 RELEASE = r"(?i)^\s*v?(?:\d+!)?(\d+(?:\.\d+)*)"
 NUM = "decimal(38,0)"
-NO_DEV = 10**18
+NO_DEV = Decimal(10**38 - 1)  # above every number that NUM holds but one
 
 
 def _let(value: Column, body) -> Column:

@@ -19,7 +19,7 @@ from triagelake.operators import findings as R
 from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve
 from triagelake.operators.graph import checkpointed
 from triagelake.plans import scan
-from triagelake.sources import cache, lockfiles
+from triagelake.sources import cache, lockfiles, projects
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,6 +337,20 @@ def import_names_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.import_names(p.filter("p_partkey % 100 <> 2").select("distribution", line.alias("line")), tops)
 
 
+@query("""
+SELECT k AS project_id, CASE WHEN k % 10 = 0 THEN '/o' || k || '/lib/python3.13/site-packages' WHEN k % 5 = 0 THEN NULL WHEN k % 4 = 0 THEN '/p' || k || '/.venv/lib/python3.11/site-packages'
+  WHEN k % 2 = 0 THEN '/p' || k || '/.venv/lib/python3.12/site-packages' WHEN k % 3 = 0 THEN '/p' || k || '/env/Lib/site-packages' END AS site_packages,
+  CASE WHEN k % 10 = 0 THEN 'found' WHEN k % 5 = 0 THEN 'override_unusable' WHEN k % 2 = 0 OR k % 3 = 0 THEN 'found' ELSE 'no_environment' END AS environment_status
+FROM (SELECT p_partkey AS k FROM part)""")
+def environment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("project_id"), F.expr("concat('/p', p_partkey)").alias("root"))
+    k = "project_id"
+    settings = p.select(k, "root", F.expr(f"if({k} % 5 = 0, concat('/o', {k}), null)").alias("override"), F.expr(f"if({k} % 3 = 0, concat(root, '/env'), '/q')").alias("virtual_env"))
+    found = F.expr(f"""array(if({k} % 2 = 0, concat(root, '/.venv/lib/python3.12/site-packages/a.py'), null), if({k} % 4 = 0, concat(root, '/.venv/lib/python3.11/site-packages/a.py'), null),
+      if({k} % 3 = 0, concat(root, '/env/Lib/site-packages/a.py'), null), '/q/lib/python3.9/site-packages/a.py', if({k} % 10 = 0, concat('/o', {k}, '/lib/python3.13/site-packages/b.py'), null))""")
+    return projects.site_packages(p.select(k, F.explode(found).alias("path")), settings)
+
+
 # fixes
 
 FIX_SQL = """

@@ -48,6 +48,32 @@ def discover(files: DataFrame, include_tests: bool = False) -> DataFrame:
     return out.filter("fqn <> ''").drop("src", "top", "in_src", "__name")
 
 
+def site_packages(files: DataFrame, settings: DataFrame) -> DataFrame:
+    """``project_id, site_packages, environment_status``: where each project's dependencies are installed.
+
+    ``files(project_id, path)`` lists whole paths, ``settings(project_id, root,
+    override, virtual_env)`` holds one row a project.  An override alone decides
+    where it is set, and may name a site-packages folder itself.  Else the
+    root's ``.venv`` comes first, then the active environment if it lies inside
+    the root; never another project's.  In an environment ``Lib`` comes before
+    the first ``lib/python*`` by name.  A folder without files is not seen.
+    Status: ``found``, ``override_unusable`` or ``no_environment``.
+    """
+    clean = lambda c: F.rtrim(F.col(c), F.lit("/"))
+    inside = F.startswith(F.concat(clean("virtual_env"), F.lit("/")), F.concat(clean("root"), F.lit("/")))
+    place = lambda i, base: F.struct(F.lit(i).alias("turn"), base.alias("base"))
+    turns = F.when(F.col("override").isNotNull(), F.array(place(0, clean("override")))).otherwise(F.array(place(1, F.concat(clean("root"), F.lit("/.venv"))), place(2, F.when(inside, clean("virtual_env")))))
+    bases = settings.select("project_id", F.inline(turns)).filter("base is not null")
+    below = files.filter(F.contains("path", F.lit("site-packages/"))).join(bases, "project_id").filter("startswith(path, concat(base, '/'))")
+    part = F.regexp_extract(F.expr("substring(path, length(base) + 2)"), r"^(Lib/site-packages|lib/python[^/]*/site-packages)/", 1)
+    itself = (F.col("turn") == 0) & F.col("base").rlike("(^|/)site-packages$")
+    rows = below.withColumn("part", part).withColumn("dir", F.when(F.col("part") != "", F.concat("base", F.lit("/"), "part")).when(itself, F.col("base"))).filter("dir is not null")
+    rank = F.when(F.col("part") == "", 2).when(F.startswith("part", F.lit("Lib/")), 0).otherwise(1)
+    best = rows.groupBy("project_id").agg(F.min(F.struct("turn", rank.alias("rank"), "dir")).alias("best"))
+    status = F.when(F.col("best").isNotNull(), "found").when(F.col("override").isNotNull(), "override_unusable").otherwise("no_environment")
+    return settings.select("project_id", "override").join(best, "project_id", "left").select("project_id", F.col("best.dir").alias("site_packages"), status.alias("environment_status"))
+
+
 def installed_distributions(dirs: DataFrame) -> DataFrame:
     """Normalised ``name, version`` from names of ``*.dist-info`` folders, by project where ``dirs`` has its id."""
     return dirs.select(*_project(dirs), normalise(F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 1)).alias("name"), F.regexp_extract("dir", r"^(.+)-([^-]+)\.dist-info$", 2).alias("version")).filter("name <> ''")
