@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import op3_block_labeller
 from .contamination import OP4_SQL, op4_spaced_seeds
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .hmm import op10_hidden_markov
 from .longmatch import op7_suffix_family
 from .media import op1_png_media
@@ -19,8 +20,8 @@ from .toxicity import op9_kneser_ney_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_spaced_seeds": OP4_SQL}
+    return {"op4_spaced_seeds": OP4_SQL, "op13_filter_audit": OP13_SQL}
