@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import op3_block_labeller
+from .bpe import op12_pair_index
 from .contamination import OP4_SQL, op4_spaced_seeds
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .hmm import op10_hidden_markov
@@ -20,7 +21,7 @@ from .toxicity import op9_kneser_ney_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov, op12_pair_index, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
