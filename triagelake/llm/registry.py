@@ -18,10 +18,11 @@ from .quality import op5_pairwise_quality
 from .simhash import op2_simhash_balls
 from .slots import op6_virtual_slots
 from .toxicity import op9_kneser_ney_toxicity
+from .variants import op11_full_neighbourhood
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov, op12_pair_index, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_png_media, op2_simhash_balls, op3_block_labeller, op4_spaced_seeds, op5_pairwise_quality, op6_virtual_slots, op7_suffix_family, op8_best_fit, op9_kneser_ney_toxicity, op10_hidden_markov, op11_full_neighbourhood, op12_pair_index, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
