@@ -115,3 +115,74 @@ def test_states_of_patches(spark):
     assert got == {1: ("reduced", "--- lib.core ---\n@@ -1 +1 @@\n-a\n+b"), 2: ("failed", None), 3: ("refused", ""), 4: ("skipped", None), 5: ("skipped", None), 6: ("reduced", ""), 7: ("reduced", "")}
     assert patches.patch_states(out.limit(0).select("patch_id", out.state.alias("url"), out.diff.alias("patch"))).count() == 0
 
+
+
+FORKED = """version = 1
+[[package]]
+name = "app"
+version = "0"
+source = { editable = "." }
+dependencies = [{ name = "par" }]
+[[package]]
+name = "par"
+version = "1.0"
+dependencies = [{ name = "q" }]
+[[package]]
+name = "par"
+version = "2.0"
+dependencies = [{ name = "q" }]
+[[package]]
+name = "q"
+version = "1.0"
+"""
+
+
+def forked_tables(spark):
+    parsed = lockfiles.parse_lockfiles(spark.createDataFrame([(1, FORKED)], "project_id long, text string"))
+    answers = [("q", "1.0", "failed", None), ("q", "1.0", "ok", ["A"]), ("Q", "1.0", "cached", ["B"]), ("par", "1.0", "ok", []), ("par", "2.0", "ok", ["P"])]
+    ranged = {"affected": [{"package": {"name": "q"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.5"}]}]}]}
+    bodies = [("A", body("A", **ranged), 2), ("A", body("A", aliases=["zzz"]), 1), ("B", body("B", aliases=["CVE-2"], **ranged), 1), ("P", body("P", aliases=[]), 1)]
+    releases = [("q", ["1.0", "2.5"]), ("q", None), ("Q", ["3.0"]), ("par", ["1.0"]), ("par", ["2.0"])]
+    meta = [("par", "1.0", ["q<2"]), ("par", "1.0", ["q<2"]), ("par", "1.0", None), ("par", "2.0", ["q<3"])]
+    make = lambda rows, kind: (rows, kind)
+    return parsed, make(answers, "name string, version string, status string, ids array<string>"), make(bodies, "id string, body string, ts int"), make(releases, "name string, versions array<string>"), make(meta, "name string, version string, requires array<string>")
+
+
+def test_forked_parents_and_clashing_rows_in_any_order(spark):
+    parsed, *rest = forked_tables(spark)
+    seen = set()
+    for turn in (1, -1):
+        found, state = scan.scan_findings(parsed, *(spark.createDataFrame(rows[::turn], kind) for rows, kind in rest))
+        rows = sorted(found.collect(), key=lambda r: (r.package, r.advisory_id))
+        assert [(r.package, r.version, r.advisory_id, r.shape, r.target_version) for r in rows] == [("par", "2.0", "P", "no_fix", None), ("q", "1.0", "CVE-1", "override", "2.5"), ("q", "1.0", "CVE-2", "override", "2.5")]
+        assert [(b.name, b.constraint, b.upgrade_to) for b in rows[1].blocking_parents] == [("par", "<2", "2.0")]  # the first entry alone is asked
+        seen.add(tuple(map(str, rows)) + tuple(sorted(map(str, state.collect()))))
+    assert len(seen) == 1
+    assert {(r.name, r.version, r.status) for r in state.collect()} == {("q", "1.0", "ok"), ("par", "1.0", "ok"), ("par", "2.0", "ok")}
+
+
+def test_a_thousand_projects_parse_each_body_once(spark):
+    parsed, answers, bodies, releases, meta = tables(spark)
+    many = parsed.filter("project_id = 1").drop("project_id").crossJoin(spark.range(1000).withColumnRenamed("id", "project_id")).select("project_id", "status", "entries")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    one = bodies.filter("body is not null").withColumn("body", counted.asNondeterministic()("body"))
+    found, _ = scan.scan_findings(many, answers, one, releases, meta)
+    rows = found.groupBy("advisory_id", "shape", "command").count().collect()
+    assert [tuple(r) for r in rows] == [("CVE-1", "override", 'uv add "web>=5.0"', 1000)]
+    assert read.value == 3  # A, B and one that nothing asks for
+
+
+def test_projects_differ_by_their_constraints_alone(spark):
+    texts = [(1, LOCK), (2, LOCK.replace('specifier = "==1.0"', 'specifier = ">=1.0"')), (3, LOCK.replace("requires-dist", "requires")), (4, LOCK)]
+    parsed = lockfiles.parse_lockfiles(spark.createDataFrame(texts, "project_id long, text string"))
+    _, *rest = tables(spark)
+    keyed, sets = scan.contexts(lockfiles.entries(parsed), rest[3].withColumn("name", N.normalise(F.col("name"))), spark.createDataFrame([("pyyaml",)], "name string"))
+    by = {r.project_id: r.context for r in keyed.collect()}
+    assert by[1] == by[4] and len(set(by.values())) == 3
+    assert sorted((r.declared or "", str(r.parents)) for r in sets.collect()) == [("", "{'web': '<2'}"), ("==1.0", "{'web': '<2'}"), (">=1.0", "{'web': '<2'}")]

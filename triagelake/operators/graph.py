@@ -17,7 +17,7 @@ from collections import defaultdict
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 2_000_000  # of a project that one task may walk
@@ -46,14 +46,27 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf.project_id.iloc[0], k, *v) for k, v in seen.items()], columns=["project_id", "node", "dist", "pred", "via_speculative"])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see: ``spark.checkpoint.dir``, or one of our own on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+    if not found:
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"triagelake-{uuid.uuid4().hex[:8]}"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
-        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), f"triagelake-{uuid.uuid4().hex[:8]}"))
-    return df.checkpoint()
+    """``df`` written as a table in the shared folder and read back.
+
+    Lineage ends here, so a lost executor costs no recomputation; unlike an RDD
+    checkpoint the table is columnar, later readers prune its columns, and its
+    size is known to the joins that read it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _dealt(sized: DataFrame, *tables: DataFrame, group_rows: int) -> tuple[list[DataFrame], list[DataFrame] | None]:

@@ -39,15 +39,43 @@ def parents(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.groupBy("project_id", F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
 
 
-def parent_constraints(edge_rows: DataFrame, packages: DataFrame, metadata: DataFrame) -> DataFrame:
-    """``project_id, name, parent, constraint``: what each parent's metadata asks of a package.
+def one_metadata(metadata: DataFrame) -> DataFrame:
+    """One row a (name, version); of several answers the greatest list counts, so order plays no part."""
+    return metadata.groupBy("name", "version").agg(F.max("requires").alias("requires"))
+
+
+def uses(edge_rows: DataFrame, packages: DataFrame) -> DataFrame:
+    """``project_id, name, parent, parent_version``: what stands above each package.
+
+    A parent that the lockfile holds at several versions is its first entry,
+    which alone has edges.  The root is no parent.
+    """
+    given = packages if "fork_ordinal" in packages.columns else split_forks(packages)
+    of = given.filter("fork_ordinal = 0 and not is_root").select("project_id", F.col("name").alias("src"), F.col("version").alias("parent_version"))
+    return edge_rows.join(of, ["project_id", "src"]).select("project_id", F.col("dst").alias("name"), F.col("src").alias("parent"), "parent_version")
+
 
-    ``metadata``: name, version, requires.  Parents without metadata drop out;
-    a constraint that asks for nothing is NULL.  The root is no parent.
+def constraints(asked: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``asked(name, parent, parent_version)`` with ``constraint``, once for each distinct row.
+
+    What a release asks of a package is the same in every project.  Parents
+    without metadata drop out; a constraint that asks for nothing is NULL.
     """
-    of = packages.filter("not is_root").select("project_id", F.col("name").alias("src"), "version")
-    rows = edge_rows.join(of, ["project_id", "src"]).join(metadata.select(F.col("name").alias("src"), "version", "requires"), ["src", "version"])
-    return rows.select("project_id", F.col("dst").alias("name"), F.col("src").alias("parent"), V.requirement_on(F.col("requires"), F.col("dst")).alias("constraint"))
+    meta = one_metadata(metadata).filter("requires is not null").select(F.col("name").alias("parent"), F.col("version").alias("parent_version"), "requires")
+    rows = asked.select("name", "parent", "parent_version").distinct().join(meta, ["parent", "parent_version"])
+    return rows.select("name", "parent", "parent_version", V.requirement_on(F.col("requires"), F.col("name")).alias("constraint"))
+
+
+def parent_constraints(edge_rows: DataFrame, packages: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``project_id, name, parent, constraint``: what each parent's metadata asks of a package."""
+    rows = uses(edge_rows, packages)
+    return rows.join(constraints(rows, metadata), ["name", "parent", "parent_version"]).select("project_id", "name", "parent", "constraint")
+
+
+def one_releases(releases: DataFrame) -> DataFrame:
+    """One row a name: the releases that any answer lists, NULL if none was had."""
+    rows = releases.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("versions")))).alias("versions"), F.count("versions").alias("n"))
+    return rows.select("name", F.when(F.col("n") > 0, F.col("versions")).alias("versions"))
 
 
 def parent_upgrades(blocked: DataFrame, releases: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -56,8 +84,8 @@ def parent_upgrades(blocked: DataFrame, releases: DataFrame, metadata: DataFrame
     A newest release that says nothing readable about the package counts as
     allowing it; unknown releases or metadata give NULL.
     """
-    latest = releases.select(F.col("name").alias("parent"), V.newest(F.col("versions")).alias("latest"))
-    of = metadata.select(F.col("name").alias("parent"), F.col("version").alias("latest"), "requires")
+    latest = one_releases(releases).select(F.col("name").alias("parent"), V.newest(F.col("versions")).alias("latest"))
+    of = one_metadata(metadata).select(F.col("name").alias("parent"), F.col("version").alias("latest"), "requires")
     rows = blocked.join(latest, "parent", "left").join(of, ["parent", "latest"], "left")
     asked = V.requirement_on(F.col("requires"), F.col("name"))
     fits = asked.isNull() | V.specifier(asked).isNull() | F.coalesce(V.satisfies(F.col("target"), asked), F.lit(False))

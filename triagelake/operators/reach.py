@@ -103,36 +103,34 @@ def reach_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return reach, flags.select("project_id", F.col("blind").isNotNull().alias("has_code"), F.coalesce("blind", F.lit(False)).alias("blind"))
 
 
-def _owned(findings: DataFrame, nodes: DataFrame) -> DataFrame:
+def _owned(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """Graph nodes under each finding's import names (the name itself or below it)."""
-    names = findings.select("project_id", "finding_id", F.explode("import_names").alias("n")).withColumn("head", F.substring_index("n", ".", 1))
+    names = names.withColumn("head", F.substring_index("n", ".", 1))
     heads = nodes.select("project_id", F.col("fqn").alias("node"), F.substring_index("fqn", ".", 1).alias("head"))
     return names.join(heads, ["project_id", "head"]).filter("node = n or startswith(node, concat(n, '.'))").select("project_id", "finding_id", "node").distinct()
 
 
-def _result(verdict: Column, confidence: Column, reason: Column) -> dict[str, Column]:
-    return {"verdict": verdict, "confidence": confidence, "reason_code": reason}
+def package_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, index: tuple[DataFrame, DataFrame] | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Findings with verdict, confidence, reason_code and path.
 
-
-def package_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """``findings(project_id, finding_id, import_names)`` with verdict, confidence, reason_code, path.
-
-    Missing import names (NULL or none) and a project without code are unknown.
+    Import names are an array of the finding (``import_names``), or rows of
+    ``names(project_id, finding_id, n)``.  Missing ones and a project without
+    code are unknown.  Empty tables give no row.
     """
     reach, flags = index or reach_index(nodes, edges)  # one traversal answers all findings
-    owned = _owned(findings, nodes)
-    hit = owned.join(reach.select("project_id", "node", "dist"), ["project_id", "node"], "left")
+    if names is None:
+        names = findings.select("project_id", "finding_id", F.explode("import_names").alias("n"))
+    hit = _owned(names, nodes).join(reach.select("project_id", "node", "dist"), ["project_id", "node"], "left")
     best = hit.groupBy("project_id", "finding_id").agg(F.count(F.lit(1)).alias("n_owned"), F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "node"))).alias("near"))
-    best = best.select("project_id", "finding_id", "n_owned", F.col("near.node").alias("node"))
+    best = names.select("project_id", "finding_id").distinct().join(best, ["project_id", "finding_id"], "left").select("project_id", "finding_id", F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.col("near.node").alias("node"))
     paths = evidence(reach, best.filter("node is not null").select("project_id", "node").distinct(), "auto")
     rows = findings.join(flags, "project_id", "left").join(best, ["project_id", "finding_id"], "left").join(paths, ["project_id", "node"], "left")
-    named = F.coalesce(F.size("import_names") > 0, F.lit(False))
     code = F.coalesce("has_code", F.lit(False))
-    reason = F.when(~code, "no_project_code").when(~named, "no_import_names").when(F.col("node").isNotNull(), F.when(F.col("speculative"), "guessed_path").otherwise("path")).when(F.coalesce("n_owned", F.lit(0)) == 0, "never_named").when(F.col("blind"), "blind_spot").otherwise("not_reached")
+    reason = F.when(~code, "no_project_code").when(F.col("n_owned").isNull(), "no_import_names").when(F.col("node").isNotNull(), F.when(F.col("speculative"), "guessed_path").otherwise("path")).when(F.col("n_owned") == 0, "never_named").when(F.col("blind"), "blind_spot").otherwise("not_reached")
     rows = rows.withColumn("reason_code", reason)
     verdict = F.when(F.col("reason_code").isin("path", "guessed_path"), "reachable").when(F.col("reason_code").isin("never_named", "not_reached"), "not_reachable").otherwise("unknown")
     confidence = F.when(F.col("reason_code").isin("path", "never_named", "not_reached"), "high").when(F.col("reason_code") == "guessed_path", "medium").otherwise("low")
-    return rows.withColumns({"verdict": verdict, "confidence": confidence}).drop("has_code", "n_owned", "node", "speculative")
+    return rows.withColumns({"verdict": verdict, "confidence": confidence}).drop("has_code", "blind", "n_owned", "node", "speculative")
 
 
 def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
@@ -142,7 +140,7 @@ def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, stat
     graph, expansion is complete, and nothing reached is a blind spot.
     """
     index = reach_index(nodes, edges)
-    base = package_verdict(findings, nodes, edges, index).withColumnRenamed("path", "package_path")
+    base = package_verdict(findings, nodes, edges, index).withColumnRenamed("path", "package_path").join(index[1].select("project_id", "blind"), "project_id", "left")
     reach = index[0]
     asked = findings.select("project_id", "finding_id", F.explode("symbols").alias("node"))
     seen = asked.join(nodes.select("project_id", F.col("fqn").alias("node"), F.lit(True).alias("known")), ["project_id", "node"], "left").join(reach.select("project_id", "node", "dist"), ["project_id", "node"], "left")

@@ -262,14 +262,19 @@ TREE = "SELECT (p_partkey - 1) % 10 AS p, (p_partkey - 1) // 10 AS j FROM part"
 TREE_EDGES = "SELECT a.p, a.j AS src, b.j AS dst FROM t a JOIN t b ON a.p = b.p AND (b.j BETWEEN 4 * a.j + 1 AND 4 * a.j + 4 OR (a.j % 5 = 0 AND b.j = a.j + 1))"
 
 
-def _tree_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lockfile texts, parsed: every project is a 4-ary tree with cross links; the root asks for p-9 under 2."""
+def _tree_parsed(spark: SparkSession, sf_dir: str, forks: bool = False) -> DataFrame:
+    """Lockfile texts, parsed: every project is a 4-ary tree with cross links; the root asks for p-9 under 2.
+
+    With ``forks`` every ninth package is resolved a second time, at 1.9 with other dependencies.
+    """
     rows = table(spark, sf_dir, "part").select(((c("p_partkey") - 1) % 10).alias("project_id"), F.expr("(p_partkey - 1) div 10").alias("j"))
     deps = F.expr("array_distinct(concat(transform(sequence(4 * j + 1, 4 * j + 4), x -> x), CASE WHEN j % 5 = 0 THEN array(j + 1) ELSE array() END))")
     names = F.array_join(F.transform(deps, lambda x: F.concat(F.lit('{ name = "P_'), x, F.lit('" }'))), ", ")
     source = F.when(c("j") == 0, '{ virtual = "." }').otherwise('{ registry = "https://example.org" }')
     own = F.when(c("j") == 0, '[package.metadata]\nrequires-dist = [{ name = "P.9", specifier = "<2" }]\n').otherwise("")
     entry = F.format_string('[[package]]\nname = "p.%s"\nversion = "1.%s"\nsource = %s\ndependencies = [%s]\n%s', c("j"), c("j") % 4, source, names, own)
+    if forks:
+        entry = F.concat(entry, F.when(c("j") % 9 == 4, F.format_string('[[package]]\nname = "P_%s"\nversion = "1.9"\ndependencies = [{ name = "p-1" }]\n', c("j"))).otherwise(""))
     texts = rows.select("project_id", "j", entry.alias("e")).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda x: x["e"]), "\n").alias("body"))
     return lockfiles.parse_lockfiles(texts.select("project_id", F.concat(F.lit("version = 1\n"), "body").alias("text")))
 
@@ -639,8 +644,9 @@ SCAN_SQL = f"""
 WITH RECURSIVE t AS ({TREE}), e AS ({TREE_EDGES}), w AS (SELECT p, CAST(0 AS BIGINT) AS j, 0 AS d FROM (SELECT DISTINCT p FROM t) UNION SELECT w.p, e.dst, d + 1 FROM w JOIN e ON w.p = e.p AND w.j = e.src WHERE d < 60),
 m AS (SELECT p, j, min(d) AS d FROM w GROUP BY ALL),
 par AS (SELECT p, dst AS j, bool_and(src % 2 = 0) AS lifted, string_agg('uv add "p-' || src || '>=3.0"', ' && ' ORDER BY 'p-' || src) AS ups FROM e WHERE src <> 0 GROUP BY ALL),
-f0 AS (SELECT p, j, 'CVE-' || j AS advisory_id, 'high' AS severity, 2 AS sr FROM t WHERE j <> 0 AND j % 7 <> 3 AND j % 3 = 0 UNION ALL SELECT p, j, 'C-' || j, 'medium', 1 FROM t WHERE j % 7 <> 3 AND j % 3 = 1 AND j % 5 <> 0),
-f1 AS (SELECT f0.*, lifted, ups, coalesce(m.d, -1) AS depth, CASE WHEN f0.j % 11 = 5 THEN 'releases_unanswered' WHEN f0.j % 3 = 1 THEN 'no_fix' WHEN f0.j % 2 = 0 AND lifted IS NOT NULL THEN 'parent_constraint' WHEN f0.j = 9 THEN 'own_constraint' ELSE 'in_range' END AS fix_reason,
+f0 AS (SELECT p, j, 'CVE-' || j AS advisory_id, 'high' AS severity, 2 AS sr, '1.' || j % 4 AS version FROM t WHERE j <> 0 AND j % 7 <> 3 AND j % 3 = 0 UNION ALL SELECT p, j, 'C-' || j, 'medium', 1, '1.' || j % 4 FROM t WHERE j % 7 <> 3 AND j % 3 = 1 AND j % 5 <> 0
+  UNION ALL SELECT p, j, 'F-' || j, 'critical', 3, '1.9' FROM t WHERE j % 9 = 4),
+f1 AS (SELECT f0.*, lifted, ups, coalesce(m.d, -1) AS depth, CASE WHEN f0.j % 11 = 5 THEN 'releases_unanswered' WHEN sr = 1 THEN 'no_fix' WHEN f0.j % 6 = 0 AND lifted IS NOT NULL THEN 'parent_constraint' WHEN f0.j = 9 THEN 'own_constraint' ELSE 'in_range' END AS fix_reason,
   CASE WHEN f0.j % 5 = 4 THEN 'unknown' WHEN f0.j % 4 = 0 THEN 'reachable' ELSE 'not_reachable' END AS verdict FROM f0 LEFT JOIN par USING (p, j) LEFT JOIN m USING (p, j)),
 f AS (SELECT *, CASE fix_reason WHEN 'releases_unanswered' THEN 'unknown' WHEN 'no_fix' THEN 'no_fix' WHEN 'parent_constraint' THEN 'override' WHEN 'own_constraint' THEN 'direct_bump' ELSE 'lockfile_refresh' END AS shape, fix_reason NOT IN ('releases_unanswered', 'no_fix') AS actionable FROM f1)"""
 
@@ -651,17 +657,32 @@ def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple
     js = t.select("j").distinct()
     name, version = F.concat(F.lit("P."), "j").alias("name"), F.concat(F.lit("1."), c("j") % 4).alias("version")
     ids = F.expr("CASE j % 3 WHEN 0 THEN array(concat('A-', j), concat('B-', j)) WHEN 1 THEN array(concat('C-', j)) ELSE cast(array() AS array<string>) END")
-    answers = js.filter("j % 7 <> 3").select(name, version, F.expr("CASE WHEN j % 2 = 0 THEN 'cached' ELSE 'ok' END").alias("status"), ids.alias("ids"))
-    a = F.format_string('{"id": "A-%s", "aliases": ["CVE-%s"], "summary": "long one", "database_specific": {"severity": "HIGH"}, "affected": [{"package": {"name": "P_%s"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.0"}]}]}]}', "j", "j", "j")
+    status = F.expr("CASE WHEN j % 2 = 0 THEN 'cached' ELSE 'ok' END").alias("status")
+    known, nothing = js.filter("j % 7 <> 3"), F.lit(None).cast("array<string>")
+    answers = known.filter("j % 4 <> 0").select(name, version, status, ids.alias("ids"))
+    answers = answers.unionAll(known.filter("j % 4 = 0").select(name, version, status, F.explode(F.transform(ids, lambda x: F.array(x)))))  # one list in several answers
+    answers = answers.unionAll(known.filter("j % 4 = 0 AND j % 3 = 2").select(name, version, status, nothing))
+    answers = answers.unionAll(js.filter("j % 5 = 2 OR j % 7 = 3").select(F.concat(F.lit("p_"), "j"), version, F.lit("failed"), nothing))  # clashes with an answer, or stands alone
+    fork = js.filter("j % 9 = 4")
+    answers = answers.unionAll(fork.select(name, F.lit("1.9"), F.lit("ok"), F.array(F.concat(F.lit("F-"), "j"))))
+    old, new = F.lit(1).alias("ts"), F.lit(2).alias("ts")
+    ranged = '"affected": [{"package": {"name": "P_%s"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.0"}]}]}]}'
+    a = F.format_string('{"id": "A-%s", "aliases": ["CVE-%s"], "summary": "long one", "database_specific": {"severity": "HIGH"}, ' + ranged, "j", "j", "j")
     b = F.format_string('{"id": "B-%s", "aliases": ["CVE-%s"], "database_specific": {"severity": "LOW"}}', "j", "j")
-    one = js.filter("j % 3 = 0").select(F.concat(F.lit("A-"), "j").alias("id"), a.alias("body")).unionAll(js.filter("j % 3 = 0").select(F.concat(F.lit("B-"), "j"), b))
-    bodies = one.unionAll(js.filter("j % 3 = 1 AND j % 5 <> 0").select(F.concat(F.lit("C-"), "j"), F.format_string('{"id": "C-%s", "database_specific": {"severity": "Moderate"}}', "j")))
-    releases = js.filter("j % 11 <> 5").select(name, F.array(*map(F.lit, ("1.0", "1.1", "1.2", "1.3", "2.0", "3.0"))).alias("versions"))
-    parsed = checkpointed(_tree_parsed(spark, sf_dir))
+    one = js.filter("j % 3 = 0").select(F.concat(F.lit("A-"), "j").alias("id"), a.alias("body"), new).unionAll(js.filter("j % 3 = 0").select(F.concat(F.lit("B-"), "j"), b, new))
+    some = js.filter("j % 3 = 1 AND j % 5 <> 0")
+    bodies = one.unionAll(some.select(F.concat(F.lit("C-"), "j"), F.format_string('{"id": "C-%s", "database_specific": {"severity": "Moderate"}}', "j"), new))
+    bodies = bodies.unionAll(some.select(F.concat(F.lit("C-"), "j"), F.format_string('{"id": "C-%s", "summary": "withdrawn", "database_specific": {"severity": "critical"}}', "j"), old))
+    bodies = bodies.unionAll(fork.select(F.concat(F.lit("F-"), "j"), F.format_string('{"id": "F-%s", "database_specific": {"severity": "CRITICAL"}, ' + ranged, "j", "j"), new))
+    listed = js.filter("j % 11 <> 5")
+    releases = listed.select(name, F.array(*map(F.lit, ("1.0", "1.1", "1.2", "1.3", "2.0"))).alias("versions")).unionAll(listed.select(name, F.array(F.lit("3.0"), F.lit("2.0")))).unionAll(js.select(name, nothing))
+    parsed = checkpointed(_tree_parsed(spark, sf_dir, forks=True))
     pairs = packages.edges(lockfiles.entries(parsed)).select(F.expr("int(substring(src, 3))").alias("j"), F.expr("int(substring(dst, 3))").alias("k")).distinct()
     old = F.when((c("k") % 6 == 0), F.format_string("p-%s <2", "k")).otherwise(F.format_string("p-%s", "k"))
     node = F.format_string("p-%s", "j").alias("name")
     meta = pairs.groupBy(node, version).agg(F.collect_set(old).alias("requires")).unionAll(pairs.filter("j % 2 = 0").groupBy(node, F.lit("3.0").alias("version")).agg(F.collect_set(F.format_string("p-%s>=1", "k")).alias("requires")))
+    meta = meta.unionAll(meta).unionAll(meta.select("name", "version", nothing))  # asked twice, and once in vain
+    meta = meta.unionAll(pairs.filter("j % 9 = 4").groupBy(node, F.lit("1.9").alias("version")).agg(F.collect_set(F.format_string("p-%s<0.1", "k"))))  # a fork has no say
     names = t.filter("j % 5 <> 4").select("project_id", F.format_string("p-%s", "j").alias("distribution"), F.format_string("m_%s", "j").alias("import_name"))
     no = F.lit(False)
     app = t.select("project_id").distinct().select("project_id", F.lit("app").alias("fqn"), F.lit("module").alias("kind"), F.lit("project").alias("origin"), no.alias("dynamic"), no.alias("unresolved"))
@@ -672,7 +693,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple
 
 
 @query(SCAN_SQL + """
-SELECT p AS project_id, 'p-' || j AS package, '1.' || j % 4 AS version, advisory_id, severity, CAST(depth AS INTEGER) AS depth, shape, fix_reason, actionable, verdict,
+SELECT p AS project_id, 'p-' || j AS package, version, advisory_id, severity, CAST(depth AS INTEGER) AS depth, shape, fix_reason, actionable, verdict,
   CASE WHEN shape IN ('override', 'direct_bump', 'lockfile_refresh') THEN '2.0' END AS target_version,
   CASE shape WHEN 'lockfile_refresh' THEN 'uv lock --upgrade-package p-' || j WHEN 'direct_bump' THEN 'uv add "p-' || j || '>=2.0"' WHEN 'override' THEN CASE WHEN lifted THEN ups ELSE '[tool.uv]' || chr(10) || 'override-dependencies = ["p-' || j || '>=2.0"]' END END AS command,
   row_number() OVER (PARTITION BY p ORDER BY CASE verdict WHEN 'reachable' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, NOT actionable, -sr, depth, advisory_id, 'p-' || j) AS rank FROM f""")
@@ -682,7 +703,7 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SCAN_SQL + """,
-q AS (SELECT p, count(*) AS packages_scanned, count(*) FILTER (WHERE j % 7 <> 3 AND j % 2 = 0) AS advisories_from_cache, count(*) FILTER (WHERE j % 7 = 3) AS packages_unqueried, count(*) FILTER (WHERE j % 7 <> 3 AND j % 3 = 1 AND j % 5 = 0) AS bodies_missing FROM t WHERE j <> 0 GROUP BY 1),
+q AS (SELECT p, count(*) + count(*) FILTER (WHERE j % 9 = 4) AS packages_scanned, count(*) FILTER (WHERE j % 7 <> 3 AND j % 2 = 0) AS advisories_from_cache, count(*) FILTER (WHERE j % 7 = 3) AS packages_unqueried, count(*) FILTER (WHERE j % 7 <> 3 AND j % 3 = 1 AND j % 5 = 0) AS bodies_missing FROM t WHERE j <> 0 GROUP BY 1),
 s AS (SELECT p, count(*) FILTER (WHERE j % 4 <> 1) AS dependency_modules_parsed, count(*) FILTER (WHERE j % 4 = 1) AS unparsed_source_files, 1 + count(*) FILTER (WHERE j % 2 = 0) AS graph_nodes FROM t GROUP BY 1),
 n AS (SELECT p, count(*) AS findings, count(DISTINCT j) AS packages_affected, count(DISTINCT j) FILTER (WHERE j % 11 = 5) AS fix_lookups_failed, count(*) FILTER (WHERE j % 2 = 1) AS advisories_narrowed, CAST(sum(j % 3) AS BIGINT) AS symbols_dropped, count(*) FILTER (WHERE j % 13 = 0) AS extractions_failed FROM f GROUP BY 1)
 SELECT p AS project_id, q.* EXCLUDE (p), findings, packages_affected, fix_lookups_failed, graph_nodes, dependency_modules_parsed, unparsed_source_files, advisories_narrowed, symbols_dropped, extractions_failed,

@@ -4,13 +4,20 @@ Sources are tables with states.  A question without an answer is a row less
 (or a NULL), counted and never taken for a clean answer:
 
 answers    name, version, status (ok, cached, failed), ids (array)
-bodies     id, body (JSON text, NULL or absent if it could not be had)
+bodies     id, body (JSON text, NULL or absent if it could not be had), ts if there is one
 releases   name, versions (array, NULL or absent if unanswered)
 metadata   name, version, requires (array)
 
+The work is factored.  A body is parsed once an id, advisories are merged once
+a (name, version), fixes are found once a (name, version, set of constraints);
+projects meet them by keys alone, and texts and lists join the ranked rows last.
+
 Defined cases: a package without an answer has no findings and counts as
 unqueried; an id without a body, or whose body is no record, counts as missing;
-names are matched normalised; equal rows count once; empty tables give no row.
+names are matched normalised; equal rows count once; where rows of one key
+clash, an answer comes before a failure, ids and releases are united, the
+newest body counts (without ``ts`` the greatest text), and row order plays no
+part; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -44,42 +51,82 @@ def whole_batches(replies: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("name", "version", F.when(F.col("results").isNull(), "failed").otherwise("ok").alias("status"), F.when(F.col("results").isNotNull(), F.coalesce(ids, F.array().cast("array<string>"))).alias("ids"))
 
 
-def matched(pkgs: DataFrame, answers: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged advisories of each package, and each package's state (status, ids without a body)."""
-    known = answers.select(N.normalise(F.col("name")).alias("name"), "version", "status", "ids").dropDuplicates(["name", "version"])
-    state = pkgs.join(known, ["name", "version"], "left").withColumn("status", F.coalesce("status", F.lit("failed")))
-    asked = state.filter("status <> 'failed'").select(*KEYS, F.posexplode(F.array_distinct("ids")).alias("ord", "id"))
-    texts = bodies.groupBy("id").agg(F.max("body").alias("body"))
-    met = asked.join(texts, "id", "left").withColumn("record", advisories.parse(F.col("body")))
+def answered(answers: DataFrame) -> DataFrame:
+    """``name, version, status, ids``: one row a package version, united over all its answers."""
+    good = F.col("status") != "failed"
+    rank = F.when(F.col("status") == "ok", 0).otherwise(1)
+    listed = F.when(good, F.struct(rank.alias("rank"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids")))
+    rows = answers.groupBy(N.normalise(F.col("name")).alias("name"), "version").agg(F.min(F.when(good, rank)).alias("best"), F.array_sort(F.collect_set(listed)).alias("lists"))
+    status = F.when(F.col("best") == 0, "ok").when(F.col("best") == 1, "cached").otherwise("failed")
+    return rows.select("name", "version", status.alias("status"), F.array_distinct(F.flatten("lists.ids")).alias("ids"))
+
+
+def records(wanted: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``key, record, severity`` of each distinct id in ``wanted(key)`` that has a record.
+
+    The only parse of a scan: once an id, from its newest body.
+    """
+    order = F.struct(*[c for c in ("ts", "body") if c in bodies.columns])
+    texts = bodies.filter("body is not null").withColumnRenamed("id", "key").join(wanted.select("key").distinct(), "key", "left_semi")
+    newest = texts.groupBy("key").agg(F.max_by("body", order).alias("body"))
+    return checkpointed(newest.select("key", advisories.parse(F.col("body")).alias("record"), advisories.word_severity(F.col("body")).alias("severity"))).filter("record.id is not null")
+
+
+def advisory_facts(asked: DataFrame, read: DataFrame) -> DataFrame:
+    """``asked(name, key)`` with what the record of that id says of that package."""
     record, name = F.col("record"), F.col("name")
-    rows = met.filter("record.id is not null").select(
-        *KEYS, "ord", F.col("record.id").alias("id"), F.col("record.aliases").alias("aliases"), F.col("record.summary").alias("summary"), F.col("record.details").alias("details"),
-        advisories.word_severity(F.col("body")).alias("severity"), advisories.fixed_versions(record, name).alias("fixed_versions"), advisories.reference_urls(record).alias("references"),
+    return asked.join(read, "key").select(
+        "name", "key", record["id"].alias("id"), record["aliases"].alias("aliases"), record["summary"].alias("summary"), record["details"].alias("details"), "severity",
+        advisories.fixed_versions(record, name).alias("fixed_versions"), advisories.reference_urls(record).alias("references"),
         advisories.fix_commits(record).alias("fix_commits"), advisories.affected_ranges(record, name).alias("affected_ranges"),
     )
-    gaps = met.filter("record.id is null").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("bodies_missing"))
-    return advisories.merge(rows, KEYS), state.select(*KEYS, "status").join(gaps, KEYS, "left").fillna(0, ["bodies_missing"])
 
 
-def with_context(found: DataFrame, entries: DataFrame, releases: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Adds what a fix depends on: depth, releases, own constraint and the parents' constraints."""
-    tree = packages.edges(entries)
-    asked = packages.parent_constraints(tree, entries, metadata).groupBy("project_id", "name").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("parent", "constraint")))).alias("parents"))
-    offered = releases.select("name", F.col("versions").alias("released")).dropDuplicates(["name"])
-    rows = found.join(packages.depths(entries), ["project_id", "name"], "left").join(offered, "name", "left")
-    rows = rows.join(lockfiles.declared(entries).withColumnRenamed("specifier", "declared"), ["project_id", "name"], "left").join(asked, ["project_id", "name"], "left")
-    none = F.create_map().cast("map<string,string>")
-    return rows.withColumns({"fixed": F.col("fixed_versions"), "ranges": F.col("affected_ranges"), "parents": F.coalesce("parents", none), "parent_upgrades": none})
+def version_findings(versions: DataFrame, answers: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged advisories of each (name, version), and its state: status, ids without a body."""
+    keys = ["name", "version"]
+    state = checkpointed(versions.join(answered(answers), keys, "left").withColumn("status", F.coalesce("status", F.lit("failed"))))
+    asked = state.filter("status <> 'failed'").select(*keys, F.posexplode("ids").alias("ord", "key"))
+    read = records(asked, bodies)
+    facts = advisory_facts(asked.select("name", "key").distinct(), read)
+    gaps = asked.join(read.select("key"), "key", "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("bodies_missing"))
+    merged = advisories.merge(asked.join(facts, ["name", "key"]).drop("key"), keys)
+    return merged, state.select(*keys, "status").join(gaps, keys, "left").fillna(0, ["bodies_missing"])
+
+
+def contexts(entries: DataFrame, metadata: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of constraints that projects put on ``names(name)``.
+
+    First ``project_id, name, context``, then ``name, context, declared,
+    parents`` (parent to constraint).  Projects with equal sets share a context:
+    two 64-bit fingerprints over its rows that ignore their order.  A package
+    under no constraint has no row.
+    """
+    above = packages.uses(packages.edges(entries), entries).join(names, "name", "left_semi")
+    asked = checkpointed(packages.constraints(above, metadata).filter("constraint is not null"))
+    held = above.join(asked.select("name", "parent", "parent_version"), ["name", "parent", "parent_version"], "left_semi")
+    own = lockfiles.declared(entries).join(names, "name", "left_semi")
+    marks = checkpointed(held.select("project_id", "name", "parent", F.col("parent_version").alias("mark")).unionAll(own.select("project_id", "name", F.lit(None).cast("string"), "specifier")))
+    one, two = F.bit_xor(F.xxhash64("parent", "mark")), F.bit_xor(F.xxhash64(F.lit(1), F.col("mark"), F.col("parent")))
+    keyed = marks.groupBy("project_id", "name").agg(F.concat(F.hex(one), F.lit("-"), F.hex(two)).alias("context"))
+    shown = marks.join(keyed.groupBy("name", "context").agg(F.min("project_id").alias("project_id")), ["project_id", "name"])  # one project of each
+    rows = shown.join(asked.withColumnRenamed("parent_version", "mark"), ["name", "parent", "mark"], "left")
+    pairs = F.collect_list(F.when(F.col("parent").isNotNull(), F.struct("parent", "constraint")))
+    sets = rows.groupBy("name", "context").agg(F.max(F.when(F.col("parent").isNull(), F.col("mark"))).alias("declared"), F.map_from_entries(F.array_sort(pairs)).alias("parents"))
+    return keyed, sets
 
 
 def with_fixes(rows: DataFrame, releases: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Fixes in two phases: parents' upgrades are looked up only where a parent is known to block."""
+    """Fixes in two phases: parents' upgrades are looked up only where a parent is known to block.
+
+    ``rows``: what ``fixes.with_fix`` reads, distinct by name, version, context and display_id.
+    """
     given = rows.columns
     first = checkpointed(fixes.with_fix(rows))
-    held = first.filter("shape = 'override'").select("project_id", "name", F.explode("blocking_parents.name").alias("parent"), F.col("target_version").alias("target")).distinct()
+    held = first.filter("shape = 'override'").select("name", F.explode("blocking_parents.name").alias("parent"), F.col("target_version").alias("target")).distinct()
     ups = packages.parent_upgrades(held, releases, metadata).filter("upgrade_to is not null")
-    maps = ups.groupBy("project_id", "name", "target").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("parent", "upgrade_to")))).alias("found"))
-    again = first.filter("shape = 'override'").withColumnRenamed("target_version", "target").join(maps, ["project_id", "name", "target"], "left")
+    maps = ups.groupBy("name", "target").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("parent", "upgrade_to")))).alias("found"))
+    again = first.filter("shape = 'override'").withColumnRenamed("target_version", "target").join(maps, ["name", "target"], "left")
     again = again.withColumn("parent_upgrades", F.coalesce("found", "parent_upgrades")).select(given)
     return first.filter("shape <> 'override'").unionByName(fixes.with_fix(again))
 
@@ -96,24 +143,44 @@ def scan_findings(
     symbols) where ``status`` (project_id, complete) is given; without them
     every verdict is unknown.
     """
-    entries = lockfiles.entries(parsed.filter("status = 'ok'"))
+    entries = checkpointed(lockfiles.entries(parsed.filter("status = 'ok'")))
     releases, metadata = (df.withColumn("name", N.normalise(F.col("name"))) for df in (releases, metadata))
-    found, state = matched(scannable(entries), answers, bodies)
+    pkgs = scannable(entries)
+    merged, state = version_findings(pkgs.select("name", "version").distinct(), answers, bodies)
     if floor is not None:
-        found = found.filter(N.passes_floor(F.col("severity"), F.lit(floor)))
-    rows = with_fixes(with_context(found, entries, releases, metadata), releases, metadata)
-    rows = rows.select(*KEYS, F.col("display_id").alias("advisory_id"), "severity", "summary", "aliases", "fix_commits", F.col("depth"), "shape", "target_version", "command", "actionable", F.col("reason_code").alias("fix_reason"), "reason", "blocking_parents", F.col("released").isNull().alias("lookup_failed"))
+        merged = merged.filter(N.passes_floor(F.col("severity"), F.lit(floor)))
+    merged = checkpointed(merged)
+    keyed, sets = contexts(entries, metadata, merged.select("name").distinct())
+    hit = pkgs.join(merged.select("name", "version").distinct(), ["name", "version"], "left_semi")
+    hit = checkpointed(hit.join(keyed, ["project_id", "name"], "left").withColumn("context", F.coalesce("context", F.lit(""))))  # keys of findings, by project
+    rows = merged.join(hit.select("name", "version", "context").distinct(), ["name", "version"]).join(sets, ["name", "context"], "left")
+    rows = rows.join(packages.one_releases(releases).withColumnRenamed("versions", "released"), "name", "left")
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumns({"fixed": F.col("fixed_versions"), "ranges": F.col("affected_ranges"), "parents": F.coalesce("parents", none), "parent_upgrades": none})
+    fixed = with_fixes(rows, releases, metadata)
+    fixed = checkpointed(fixed.select("name", "version", "context", F.col("display_id").alias("advisory_id"), "severity", "summary", "aliases", "fix_commits", "shape", "target_version", "command", "actionable", F.col("reason_code").alias("fix_reason"), "reason", "blocking_parents", F.col("released").isNull().alias("lookup_failed")))
+    slim = hit.join(fixed.select("name", "version", "context", "advisory_id", "severity", "actionable"), ["name", "version", "context"])
+    slim = slim.join(packages.depths(entries), ["project_id", "name"], "left")
+    paths = None
     if graph is None or import_names is None:
-        out = rows.withColumns({"verdict": F.lit("unknown"), "confidence": F.lit("low"), "reason_code": F.lit("no_project_code"), "path": F.lit(None).cast("array<string>")})
+        slim = slim.withColumns({"verdict": F.lit("unknown"), "confidence": F.lit("low"), "reason_code": F.lit("no_project_code")})
+    elif symbols is None or status is None:
+        names = import_names.select("project_id", F.col("distribution").alias("finding_id"), F.col("import_name").alias("n")).distinct()
+        judged = reach.package_verdict(slim.select("project_id", F.col("name").alias("finding_id")).distinct(), *graph, names=names)
+        judged = checkpointed(judged.withColumnRenamed("finding_id", "name"))  # once a package, whatever its findings
+        slim = slim.join(judged.drop("path"), ["project_id", "name"])
+        paths, by = judged.filter("path is not null").select("project_id", "name", "path"), ["project_id", "name"]
     else:
+        by = ["project_id", *KEYS[1:], "advisory_id"]
         names = import_names.groupBy("project_id", F.col("distribution").alias("name")).agg(F.array_sort(F.collect_set("import_name")).alias("import_names"))
-        rows = rows.join(names, ["project_id", "name"], "left").withColumn("finding_id", F.xxhash64("name", "version", "advisory_id"))
-        if symbols is None or status is None:
-            out = reach.package_verdict(rows, *graph)
-        else:
-            out = reach.symbol_verdict(rows.join(symbols, ["project_id", "advisory_id"], "left"), *graph, status)
-        out = out.drop("finding_id", "import_names")
-    return findings.ranked(out.withColumn("package", F.col("name"))), state
+        asked = slim.select(*by).join(names, ["project_id", "name"], "left").join(symbols, ["project_id", "advisory_id"], "left").withColumn("finding_id", F.struct("name", "version", "advisory_id"))
+        judged = checkpointed(reach.symbol_verdict(asked, *graph, status).select(*by, "verdict", "confidence", "reason_code", "path"))
+        slim = slim.join(judged.drop("path"), by)
+        paths = judged.filter("path is not null").select(*by, "path")
+    slim = findings.ranked(slim.withColumn("package", F.col("name")))
+    out = slim.join(fixed.drop("severity", "actionable"), ["name", "version", "context", "advisory_id"]).drop("context")
+    out = out.withColumn("path", F.lit(None).cast("array<string>")) if paths is None else out.join(paths, by, "left")
+    return out, pkgs.join(state, ["name", "version"]).select(*KEYS, "status", "bodies_missing")
 
 
 def scan_counters(found: DataFrame, state: DataFrame, parsed_sources: DataFrame | None = None, graph: tuple[DataFrame, DataFrame] | None = None, verified: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
