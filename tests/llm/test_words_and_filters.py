@@ -130,6 +130,19 @@ def test_any_text_is_encoded_as_the_library_does(texts):
     assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+LATIN = st.text(alphabet=st.characters(min_codepoint=1, max_codepoint=0x180), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LATIN, max_size=4))
+def test_latin_text_is_encoded_as_the_library_does(texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    every = [*texts, "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(1, 0x250)))]
+    got = bpe.encode_batch([t.encode() for t in every], bpe._vocabulary(bpe.default_path()))
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in every]
+
+
 def tiny_file(folder, merges):
     letters = "abcd"
     vocab = {}
@@ -157,8 +170,10 @@ def test_merges_that_wake_lower_ranks_keep_the_librarys_order(tmp_path):
         path = tiny_file(tmp_path, merges)
         library, vocab = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary(path)
         words = ["".join(rng.choices("abcd", k=rng.randint(1, 14))) for _ in range(60)]
-        got = bpe.merged([vocab.symbols(w.encode()) for w in words], vocab)
-        assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+        got = bpe.encode_words([*(w.encode() for w in set(words)), *set(words)], vocab)
+        for w in words:
+            ids = library.encode(w, add_special_tokens=False).ids
+            assert np.frombuffer(got[w.encode()], np.int32).tolist() == np.frombuffer(got[w], np.int32).tolist() == ids
 
 
 def test_forgetting_and_pieces_change_nothing(monkeypatch):

@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,16 @@ from ._common import documents, id_text, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECE = 4 << 20  # bytes of a text that are split at once
-KEPT = 48 << 20  # bytes of encoded pieces that a worker remembers; forgetting changes no result
+KEPT = 160 << 20  # bytes of encoded stretches that a worker remembers; forgetting changes no result
+ENTRY = 170  # bytes of a remembered stretch beside its own text and ids
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: How the tokenizer file normalises and cuts text.  Printed ASCII and the letters of Latin-1
+#: follow from it without the library, everything else is cut by the library itself.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = ["NFC", "Replace", "Lowercase"]
+LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+STOP, MERGED, UNKNOWN = -1, -2, -3
 
 
 def default_path() -> str:
@@ -39,6 +48,13 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_names() -> list[str]:
+    """The letter that stands for each byte: printed ones for themselves, the others from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printed]
+    return [chr(b) if b in printed else chr(256 + others.index(b)) for b in range(256)]
+
+
 class Vocabulary:
     """Ids, merge rules and special strings of a tokenizer file."""
 
@@ -55,90 +71,129 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rules = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(self.rules)}
+        self.pair_keys = np.array(sorted(self.rank) or [-1], np.int64)
+        self.pair_ranks = np.array([self.rank.get(k, -1) for k in self.pair_keys.tolist()], np.int64)
         self.special = {t["content"].encode(): t["id"] for t in added}
         self.names = dict(zip(self.ids.values(), self.ids, strict=True)) | {t["id"]: t["content"] for t in added}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         tokenizer = Tokenizer.from_file(path)
         self.normalise, self.words = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
-        self.known_words: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        cuts = (data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [n["type"] for n in (data.get("normalizer") or {}).get("normalizers", [])]
+        self.latin = steps == STEPS and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": CUT}
+        names = byte_names()
+        self.inner = np.array([self.ids.get(n, UNKNOWN) for n in names])
+        self.last = np.array([self.ids.get(n + self.suffix, UNKNOWN) for n in names])
+        self.known: dict[bytes | str, bytes] = {}  # stretches and words; a word in the vocabulary's letters is a str
         self.kept = 0
+        self.by_id = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+
+    def cut_words(self, part: bytes) -> list[bytes | str]:
+        """Words of a stretch without white space: bytes, or strings of the vocabulary's letters."""
+        if self.latin:
+            if part.isalpha():
+                return [part.lower()]
+            text = part.decode()
+            if LATIN.fullmatch(text):
+                return [w.encode() for w in WORDS.findall(text.lower())]
+        return [w for w, _ in self.words(self.normalise(part.decode()))]
 
     def symbols(self, word: str) -> list[int]:
-        """Ids of a word's letters; letters outside the vocabulary have none."""
-        found = [self.ids.get(ch, -1) for ch in word[:-1]] + [self.ids.get(word[-1] + self.suffix, -1)]
-        return [i for i in found if i >= 0]
+        return [self.ids.get(ch, UNKNOWN) for ch in word[:-1]] + [self.ids.get(word[-1] + self.suffix, UNKNOWN)]
+
+    def laid_out(self, words: list[bytes | str]) -> tuple[np.ndarray, list[bytes | str]]:
+        """Ids of all words' letters in a row with a stop before and after each, and the words in that order.
 
+        Letters outside the vocabulary have none.
+        """
+        plain, other = [w for w in words if isinstance(w, bytes)], [w for w in words if isinstance(w, str)]
+        raw = np.frombuffer(b"".join([b"\0", *(w + b"\0" for w in plain)]), np.uint8)
+        ends = np.append(raw[1:] == 0, False)
+        at = np.where(raw == 0, STOP, np.where(ends, self.last[raw], self.inner[raw]))
+        if other:
+            at = np.concatenate([at, np.fromiter((i for w in other for i in (*self.symbols(w), STOP)), np.int64)])
+        return at[at != UNKNOWN], plain + other
 
-def merged(words: list[list[int]], vocab: Vocabulary) -> list[list[int]]:
-    """The words after all merges, lowest rank first and from left to right.
 
-    ``at`` holds all words, each with a stop (-1) before and after it.  Places
-    that a merge has made stale stay in the lists and are passed over.  Should
-    a merge make a pair of a lower rank, that rank comes before the places that
-    are left.
+def merged(row: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The row of ``laid_out`` after all merges, lowest rank first and from left to right.
+
+    Places that a merge has made stale stay in the lists and are passed over.
+    Should a merge make a pair of a lower rank, that rank comes before the
+    places that are left.
     """
-    at, starts = [-1], []
-    for w in words:
-        starts.append(len(at))
-        at += w
-        at.append(-1)
-    after, before = list(range(1, len(at) + 1)), list(range(-1, len(at) - 1))
-    rank, rules = vocab.rank, vocab.rules
-    places: dict[int, list[int]] = {}
-    for i in range(len(at) - 1):
-        r = rank.get(at[i] << 32 | at[i + 1]) if at[i] >= 0 <= at[i + 1] else None
-        if r is not None:
-            places.setdefault(r, []).append(i)
-    active = list(places)
-    heapq.heapify(active)
+    pairs = row[:-1] << 32 | row[1:]
+    slot = np.minimum(np.searchsorted(vocab.pair_keys, pairs), len(vocab.pair_keys) - 1)
+    first = np.flatnonzero((vocab.pair_keys[slot] == pairs) & (row[:-1] >= 0) & (row[1:] >= 0))
+    ranks = vocab.pair_ranks[slot[first]]
+    order = np.argsort(ranks, kind="stable")
+    ranks, first = ranks[order], first[order]
+    cuts = np.flatnonzero(np.diff(ranks)) + 1
+    active: list[int] = ranks[np.append(0, cuts)].tolist() if len(ranks) else []  # ascending, so a heap
+    places: dict[int, list[int]] = dict(zip(active, (x.tolist() for x in np.split(first, cuts)), strict=False))
+    at, after, before = row.tolist(), list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
+    rank, rules, push = vocab.rank.get, vocab.rules, heapq.heappush
     while active:
         r = heapq.heappop(active)
-        here = places.pop(r, None)
-        if here is None:
-            continue
+        here = places.pop(r)
         left, right, made = rules[r]
         here.sort()
         for k, i in enumerate(here):
+            if at[i] != left:
+                continue
             j = after[i]
-            if at[i] != left or at[j] != right:
+            if at[j] != right:
                 continue
-            n, p = after[j], before[i]
-            at[i], at[j], after[i], before[n] = made, -2, n, i
+            p, n = before[i], after[j]
+            at[i], at[j], after[i], before[n] = made, MERGED, n, i
             woken = False
-            for a, b, place in ((at[p], made, p), (made, at[n], i)):
-                q = rank.get(a << 32 | b) if a >= 0 <= b else None
+            a, b = at[p], at[n]
+            if a >= 0:
+                q = rank(a << 32 | made)
                 if q is not None:
                     if q in places:
-                        places[q].append(place)
+                        places[q].append(p)
                     else:
-                        places[q] = [place]
-                        heapq.heappush(active, q)
+                        places[q] = [p]
+                        push(active, q)
+                    woken = q < r
+            if b >= 0:
+                q = rank(made << 32 | b)
+                if q is not None:
+                    if q in places:
+                        places[q].append(i)
+                    else:
+                        places[q] = [i]
+                        push(active, q)
                     woken |= q < r
             if woken and k + 1 < len(here):
+                if r not in places:
+                    push(active, r)
                 places[r] = here[k + 1 :] + places.get(r, [])
-                heapq.heappush(active, r)
                 break
-    out = []
-    for start, w in zip(starts, words, strict=True):
-        ids, i = [], start
-        while w and at[i] >= 0:
-            ids.append(at[i])
-            i = after[i]
-        out.append(ids)
-    return out
+    out = np.array(at, np.int64)
+    return out[out != MERGED]
+
+
+def encode_words(words: list[bytes | str], vocab: Vocabulary) -> dict[bytes | str, bytes]:
+    """Ids (32-bit integers) of each distinct word, given as its bytes or in the vocabulary's letters."""
+    row, named = vocab.laid_out(words)
+    done = merged(row, vocab)
+    stops = np.flatnonzero(done == STOP)
+    ids = done[done != STOP].astype(np.int32).tobytes()
+    ends = (4 * (stops - np.arange(len(stops)))).tolist()
+    return {w: ids[a:b] for w, a, b in zip(named, ends[:-1], ends[1:], strict=True)}
 
 
 def _learn(parts: set[bytes], vocab: Vocabulary) -> None:
-    """Encode pieces without white space that were not met before."""
-    cut = {p: [w for w, _ in vocab.words(vocab.normalise(p.decode()))] for p in parts}
-    new = list({w for ws in cut.values() for w in ws} - vocab.known_words.keys())
-    for w, ids in zip(new, merged([vocab.symbols(w) for w in new], vocab), strict=True):
-        vocab.known_words[w] = np.array(ids, np.int32).tobytes()
-        vocab.kept += 2 * len(w) + 150
+    """Encode stretches without white space that were not met before."""
+    known = vocab.known
+    cut = {p: vocab.cut_words(p) for p in parts}
+    new = [w for w in {w for ws in cut.values() for w in ws} if w not in known]
+    known.update(encode_words(new, vocab))
     for p, ws in cut.items():
-        vocab.known[p] = ids = b"".join([vocab.known_words[w] for w in ws])
-        vocab.kept += len(p) + len(ids) + 150
+        known[p] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+    vocab.kept += sum(ENTRY + 2 * len(w) for w in new) + sum(ENTRY + 2 * len(p) for p in cut)
 
 
 def _pieces(raw: bytes):
@@ -165,15 +220,17 @@ def encode_batch(texts: list[bytes | None], vocab: Vocabulary) -> list[bytes]:
     out: list[list[bytes]] = [[] for _ in texts]
     waiting: list[tuple[int, list[bytes]]] = []
     size = 0
-    special = {s: np.array([i], np.int32).tobytes() for s, i in vocab.special.items()}
+    special = {s: np.array([i], np.int32).tobytes() for s, i in vocab.special.items()}  # no stretch holds one inside
+    vocab.known.update(special)
 
     def settle() -> None:
         if vocab.kept > KEPT:
-            vocab.known, vocab.known_words, vocab.kept = {}, {}, 0
-        _learn({p for _, parts in waiting for p in parts} - vocab.known.keys() - special.keys(), vocab)
+            vocab.known, vocab.kept = {}, 0
+            vocab.known.update(special)
         table = vocab.known
+        _learn({p for _, parts in waiting for p in parts}.difference(table), vocab)
         for k, parts in waiting:
-            out[k].append(b"".join([table[p] if p in table else special[p] for p in parts]))
+            out[k].append(b"".join([table[p] for p in parts]))
         waiting.clear()
 
     for k, raw in enumerate(texts):
@@ -210,12 +267,13 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        names = _vocabulary(path or default_path()).names
+        names = _vocabulary(path or default_path()).by_id
+        ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())])
+        known = len(ids) == 0 or (0 <= ids.min() and ids.max() < len(names) and "" not in names)
         out = []
-        for row in lists:
-            ids = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32)
-            parts = [" ".join([names[i] for i in ids[k : k + PIECE].tolist() if i in names]) for k in range(0, len(ids), PIECE)]
-            out.append(" ".join(p for p in parts if p))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            mine = ids[a:b].tolist()
+            out.append(" ".join([names[i] for i in mine] if known else [names[i] for i in mine if 0 <= i < len(names) and names[i]]))
         return pa.array(out, pa.string())
 
     return run(ids)
