@@ -2,95 +2,154 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.functions.names import module_splits
+
+from . import pysource
 from .graph import bfs, checkpointed, evidence
+from .parse_store import ParseStore, listed
 from .resolve import import_table, owners, resolve, stars
-from . import pysource
 
 BUDGET = 2000
 REEXPORT_DEPTH = 3
 VERDICTS = ("reachable", "unknown", "not_reachable")
 
 
+def leads(parsed: DataFrame) -> DataFrame:
+    """``project_id, module, target``: names that a module imports, calls through imports, or re-exports by a star."""
+    good = parsed.filter("parse_ok")
+    imports = import_table(good)
+    sites = pysource.calls(good).drop("line", "pos").unionByName(pysource.bases(good)).distinct()
+    through = sites.withColumn("local", F.substring_index("name", ".", 1)).join(imports.drop("origin"), ["project_id", "module", "local"])
+    beyond = F.concat("target", F.expr("substring(name, length(local) + 1)"))
+    return imports.select("project_id", "module", "target").unionAll(through.select("project_id", "module", beyond)).unionAll(stars(good).select("project_id", "module", "source")).distinct()
+
+
+def _within(rows: DataFrame, project: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Reached modules (with ``dist`` and ``parse_ok``) that the budget keeps, and a status row for each project."""
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("parse_ok").desc(), "dist", "fqn")))
+    kept = rows.filter((F.col("rank") <= budget) | ~F.col("parse_ok"))
+    counts = rows.groupBy("project_id").agg(F.count_if("parse_ok").alias("n"), F.count_if(~F.col("parse_ok")).alias("unparsed"))
+    n, unparsed = F.coalesce("n", F.lit(0)), F.coalesce("unparsed", F.lit(0))
+    status = project.select("project_id").distinct().join(counts, "project_id", "left")
+    return kept.drop("dist", "rank"), status.select("project_id", F.least(n, F.lit(budget)).cast("long").alias("modules_parsed"), unparsed.cast("long").alias("unparsed"), ((n <= budget) & (unparsed == 0)).alias("complete"))
+
+
 def expand(project: DataFrame, installed: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Dependency modules that the project's names lead to, and a status row for each project.
 
     Both arguments are parsed modules.  A module leads on to the owners of all
-    names that it imports, calls through imports, or re-exports by a star; the
-    result is the fixpoint, nearest modules first while the budget lasts (then
-    by name).  ``status``: modules_parsed, unparsed, complete.
+    names that it ``leads`` to; the result is the fixpoint, nearest modules
+    first while the budget lasts (then by name).  ``status``: modules_parsed,
+    unparsed, complete.
     """
     project, installed = checkpointed(project), checkpointed(installed)
-    both = project.unionByName(installed).filter("parse_ok")
-    imports = import_table(both)
-    sites = pysource.calls(both).drop("line", "pos").unionByName(pysource.bases(both)).distinct()
-    through = sites.withColumn("local", F.substring_index("name", ".", 1)).join(imports.drop("origin"), ["project_id", "module", "local"])
-    names = imports.select("project_id", "module", "target").unionAll(through.select("project_id", "module", F.concat("target", F.expr("substring(name, length(local) + 1)")))).unionAll(stars(both).select("project_id", "module", "source")).distinct()
+    names = leads(project.unionByName(installed))
     owned = owners(names, installed)
     links = checkpointed(names.join(owned, ["project_id", "target"]).select("project_id", F.concat("module").alias("src"), F.col("owner").alias("dst")).filter("src <> dst").distinct())
     starts = project.filter("parse_ok").select("project_id", F.col("fqn").alias("node")).distinct()
     met = bfs(links, starts, "auto").filter("dist > 0").select("project_id", F.col("node").alias("fqn"), "dist")
-    rows = installed.join(met, ["project_id", "fqn"])
-    order = Window.partitionBy("project_id").orderBy(F.col("parse_ok").desc(), "dist", "fqn")
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    kept = rows.filter((F.col("rank") <= budget) | ~F.col("parse_ok"))
-    status = (
-        project.select("project_id").distinct().join(rows.groupBy("project_id").agg(F.count_if("parse_ok").alias("n"), F.count_if(~F.col("parse_ok")).alias("unparsed")), "project_id", "left")
-        .select("project_id", F.least(F.coalesce("n", F.lit(0)), F.lit(budget)).cast("long").alias("modules_parsed"), F.coalesce("unparsed", F.lit(0)).cast("long").alias("unparsed"), ((F.coalesce("n", F.lit(0)) <= budget) & (F.coalesce("unparsed", F.lit(0)) == 0)).alias("complete"))
-    )
-    return kept.drop("dist", "rank"), status
+    return _within(installed.join(met, ["project_id", "fqn"]), project, budget)
+
 
+def expand_on_demand(project: DataFrame, installed: DataFrame, budget: int = BUDGET, store: ParseStore | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``expand`` from sources: only modules at the frontier are parsed, equal ones once for all projects.
 
-def verify_symbols(symbols: DataFrame, installed: DataFrame, depth: int = REEXPORT_DEPTH) -> DataFrame:
+    Both arguments are modules with ``source``.  Each round parses the new
+    contents of all frontiers, finds the names that a content leads to once,
+    and meets every project's installed modules by joins.  A project whose
+    budget is spent goes no further; what it would still have met is neither
+    parsed nor counted.  Returns the project's parsed modules, the parsed
+    dependency modules, and the status.  Tables may be empty; a project without
+    modules has no status; of modules with one name the least digest counts.
+    """
+    store = store or ParseStore.of(project, installed)
+    there = checkpointed(listed(installed))
+    content = F.concat_ws(":", "digest", F.col("is_package").cast("string"), "fqn").alias("content")
+    front = checkpointed(listed(project).select("*", content, F.lit(0).alias("dist")))
+    levels, spent = [], None
+    while True:
+        distinct = front.select("fqn", "is_package", "digest", "content").distinct()
+        facts = checkpointed(store.parsed(distinct).withColumnRenamed("content", "project_id").withColumn("origin", F.lit("")))
+        names = checkpointed(leads(facts).select(F.col("project_id").alias("content"), "target"))
+        level = checkpointed(front.join(facts.select(F.col("project_id").alias("content"), "parse_ok"), "content"))
+        levels.append(level)
+        every = reduce(DataFrame.unionAll, levels)
+        spent = every.filter("dist > 0 and parse_ok").groupBy("project_id").count().filter(F.col("count") > budget)
+        ahead = level.filter("parse_ok").join(spent, "project_id", "left_anti").select("project_id", "content", F.col("fqn").alias("module")).join(names, "content").select("project_id", "module", "target").distinct()
+        met = ahead.join(owners(ahead, there), ["project_id", "target"]).filter("owner <> module").select("project_id", F.col("owner").alias("fqn")).distinct()
+        fresh = met.join(every.select("project_id", "fqn"), ["project_id", "fqn"], "left_anti").join(there, ["project_id", "fqn"])
+        front = checkpointed(fresh.select("project_id", "fqn", "is_package", "digest", content, F.lit(len(levels)).alias("dist")))
+        if front.isEmpty():
+            break
+    rows = reduce(DataFrame.unionAll, levels[1:]) if len(levels) > 1 else levels[0].limit(0)
+    kept, status = _within(rows.drop("content"), project, budget)
+    parsed = lambda df, origin: store.parsed(df.select("project_id", "fqn", "is_package", "digest")).withColumn("origin", F.lit(origin))
+    return parsed(levels[0], "project"), parsed(kept, "dependency"), status
+
+
+Lookup = Callable[[DataFrame], DataFrame]
+
+
+def stored_modules(listing: DataFrame, store: ParseStore) -> Lookup:
+    """Parsed modules for wanted names, parsed on demand: ``listing(project_id, fqn, is_package, digest)``."""
+    return lambda wanted: store.parsed(listing.join(wanted, ["project_id", "fqn"], "left_semi")).withColumn("origin", F.lit("dependency"))
+
+
+def verify_symbols(symbols: DataFrame, installed: DataFrame | Lookup, depth: int = REEXPORT_DEPTH) -> DataFrame:
     """``symbols(project_id, symbol)`` with ``resolved``: where it is defined, NULL if it isn't.
 
-    Re-exports are followed inside each project's installed modules.
+    A symbol is tried as attribute of every module that its name may hold,
+    longest module first: a definition of that name, then what an import or
+    (in order) the stars of the module re-export, then the only function or
+    method nested there that ends so.  Re-exports are followed ``depth`` times.
+
+    Down, each round joins symbols that no earlier round saw with the modules,
+    imports and stars of their project; up, each round joins the re-exports
+    with the answers so far.  Work and tables grow with distinct symbols, not
+    with paths or modules; a project may be of any size.  ``installed`` is
+    parsed modules, or a function that gives those of ``wanted(project_id,
+    fqn)``.  A name that a longer path met first at its end is still followed
+    from the shorter one.  Empty tables give no row.
     """
-    good = installed.filter("parse_ok")
-    table = import_table(good).select("project_id", "module", "local", "target")
-    wild = stars(good).select("project_id", "module", "source", "pos")
-    defs = pysource.definitions(good).select("project_id", "module", "fqn", "kind")
-    facts = defs.select("project_id", F.lit("def").alias("what"), "module", F.col("fqn").alias("a"), F.col("kind").alias("b"), F.lit(0).alias("pos"))
-    facts = facts.unionAll(table.select("project_id", F.lit("import"), "module", "local", "target", F.lit(0))).unionAll(wild.select("project_id", F.lit("star"), "module", "source", F.lit(""), "pos"))
-    facts = facts.unionAll(symbols.select("project_id", F.lit("ask"), F.lit(""), F.col("symbol"), F.lit(""), F.lit(0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = {k: g for k, g in pdf.groupby("what")}
-        rows = lambda k: part[k].sort_values("pos")[["module", "a", "b"]].itertuples(index=False) if k in part else ()
-        here: dict[str, dict[str, str]] = {}
-        for m, fqn, kind in rows("def"):
-            here.setdefault(m, {})[fqn] = kind
-        bound = {(m, local): target for m, local, target in rows("import")}
-        wide: dict[str, list[str]] = {}
-        for m, source, _ in rows("star"):
-            wide.setdefault(m, []).append(source)
-
-        def find(symbol: str, left: int, seen: set[str]) -> str | None:
-            if left < 0 or symbol in seen:
-                return None
-            seen.add(symbol)
-            parts = symbol.split(".")
-            for cut in range(len(parts) - 1, 0, -1):
-                module, names = ".".join(parts[:cut]), parts[cut:]
-                if module not in here:
-                    continue
-                if symbol in here[module]:
-                    return symbol
-                onward = [".".join([bound[module, names[0]], *names[1:]])] if (module, names[0]) in bound else []
-                onward += [".".join([s, *names]) for s in wide.get(module, ())]
-                nested = [f for f, k in here[module].items() if k in ("method", "function") and f.endswith("." + ".".join(names))]
-                found = next((r for r in (find(s, left - 1, seen) for s in onward) if r), None) or (nested[0] if len(nested) == 1 else None)
-                if found:
-                    return found
-            return None
-
-        asked = sorted(set(part["ask"]["a"])) if "ask" in part else []
-        return pd.DataFrame([(pdf.project_id.iloc[0], s, find(s, depth, set())) for s in asked], columns=["project_id", "symbol", "resolved"])
-
-    return facts.groupBy("project_id").applyInPandas(run, "project_id long, symbol string, resolved string")
+    lookup = installed if callable(installed) else lambda wanted: installed.join(wanted, ["project_id", "fqn"], "left_semi")
+    new = checkpointed(symbols.select("project_id", "symbol").distinct())
+    seen, local, onward = [new], [], []
+    rank = lambda kind, pos: F.struct(F.col("i").alias("i"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
+    for left in range(depth, -1, -1):
+        splits = new.select("project_id", "symbol", F.posexplode(module_splits(F.col("symbol"))).alias("i", "s")).select("project_id", "symbol", "i", "s.module", "s.attribute")
+        good = checkpointed(lookup(splits.select("project_id", F.col("module").alias("fqn")).distinct()).filter("parse_ok"))
+        live = checkpointed(splits.join(good.select("project_id", F.col("fqn").alias("module")).distinct(), ["project_id", "module"]))
+        last = pysource.definitions(good).groupBy("project_id", "module", "fqn", "tail").agg(F.max_by("kind", "line").alias("kind"))
+        exact = live.join(last.select("project_id", "module", F.col("fqn").alias("symbol")), ["project_id", "module", "symbol"])
+        local.append(exact.select("project_id", "symbol", rank(0, F.lit(0)).alias("rank"), F.col("symbol").alias("value")))
+        inner = live.withColumn("tail", F.substring_index("attribute", ".", -1)).join(last.filter("kind in ('method', 'function')"), ["project_id", "module", "tail"]).filter("endswith(fqn, concat('.', attribute))")
+        only = inner.groupBy("project_id", "symbol", "i").agg(F.min("fqn").alias("value"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+        local.append(only.select("project_id", "symbol", rank(3, F.lit(0)).alias("rank"), "value"))
+        if left == 0:
+            break
+        bound = live.withColumn("local", F.substring_index("attribute", ".", 1)).join(import_table(good).drop("origin"), ["project_id", "module", "local"])
+        wide = live.join(stars(good).select("project_id", "module", "source", F.col("pos").alias("at")), ["project_id", "module"])
+        steps = bound.select("project_id", "symbol", rank(1, F.lit(0)).alias("rank"), F.concat("target", F.expr("substring(attribute, length(local) + 1)")).alias("child"))
+        steps = checkpointed(steps.unionAll(wide.select("project_id", "symbol", rank(2, F.col("at")), F.concat("source", F.lit("."), "attribute"))))
+        onward.append(steps)
+        ahead = steps.select("project_id", F.col("child").alias("symbol")).distinct()
+        new = checkpointed(ahead.join(reduce(DataFrame.unionAll, seen), ["project_id", "symbol"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen.append(new)
+    found = checkpointed(reduce(DataFrame.unionAll, local))
+    best = lambda rows: rows.groupBy("project_id", "symbol").agg(F.min_by("value", "rank").alias("value"))
+    known, steps = best(found), reduce(DataFrame.unionAll, onward) if onward else None
+    for _ in range(depth if steps is not None else 0):
+        led = steps.join(known.withColumnRenamed("symbol", "child"), ["project_id", "child"]).select("project_id", "symbol", "rank", "value")
+        known = best(found.unionAll(led))
+    return symbols.select("project_id", "symbol").distinct().join(known.withColumnRenamed("value", "resolved"), ["project_id", "symbol"], "left")
 
 
 def reach_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,4 +221,4 @@ def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, stat
     return rows.withColumns({"path": path, "confidence": confidence, "verdict": verdict}).drop("package_path", "symbol_path", "all_known", "node", "speculative", "complete", "blind")
 
 
-__all__ = ["expand", "package_verdict", "reach_index", "resolve", "symbol_verdict", "verify_symbols"]
+__all__ = ["expand", "expand_on_demand", "package_verdict", "reach_index", "resolve", "stored_modules", "symbol_verdict", "verify_symbols"]

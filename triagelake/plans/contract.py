@@ -18,6 +18,7 @@ from triagelake.operators import advisories as A
 from triagelake.operators import findings as R
 from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve
 from triagelake.operators.graph import checkpointed
+from triagelake.operators.parse_store import ParseStore, listed
 from triagelake.plans import scan
 from triagelake.sources import cache, lockfiles, projects
 
@@ -549,14 +550,25 @@ def evidence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE t AS ({TREE}), w AS (SELECT p, CAST(0 AS BIGINT) AS j FROM (SELECT DISTINCT p FROM t) UNION SELECT t.p, t.j FROM w JOIN t ON w.p = t.p AND w.j % 3 <> 2 AND t.j IN (2 * w.j + 1, 2 * w.j + 2))
-SELECT p AS project_id, least(count(*), 50) AS modules_parsed, CAST(0 AS BIGINT) AS unparsed, count(*) <= 50 AS complete FROM w GROUP BY p""")
+WITH RECURSIVE t AS ({TREE}), w AS (SELECT p, CAST(0 AS BIGINT) AS j, 1 AS d FROM (SELECT DISTINCT p FROM t) UNION SELECT t.p, t.j, d + 1 FROM w JOIN t ON w.p = t.p AND w.j % 3 <> 2 AND t.j IN (2 * w.j + 1, 2 * w.j + 2)),
+b AS (SELECT * FROM (VALUES (50), (2000)) b(budget)), c AS (SELECT p, d, count(*) AS n FROM w GROUP BY ALL),
+u AS (SELECT p, d, coalesce(sum(n) OVER (PARTITION BY p ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM c),
+s AS (SELECT budget, count(DISTINCT j) + 1 AS sources_parsed FROM w JOIN u USING (p, d), b WHERE earlier <= budget GROUP BY budget)
+SELECT budget, p AS project_id, least(count(*), budget) AS modules_parsed, CAST(0 AS BIGINT) AS unparsed, count(*) <= budget AS complete, sources_parsed FROM w, b JOIN s USING (budget) GROUP BY budget, p, sources_parsed""")
 def expand_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules in reach, by two budgets; ``sources_parsed`` counts what was parsed for all projects together."""
     rows = table(spark, sf_dir, "part").select(((c("p_partkey") - 1) % 10).alias("project_id"), F.expr("(p_partkey - 1) div 10").alias("j"))
-    source = F.expr("CASE WHEN j % 3 <> 2 THEN concat('import d', 2 * j + 1, '\\nfrom d', 2 * j + 2, ' import f\\n') ELSE 'x = 1\\n' END")
-    installed = rows.select("project_id", F.lit("dependency").alias("origin"), F.concat(F.lit("d"), "j").alias("fqn"), F.lit(False).alias("is_package"), source.alias("source"))
-    app = rows.select("project_id").distinct().select("project_id", F.lit("project").alias("origin"), F.lit("app").alias("fqn"), F.lit(False).alias("is_package"), F.lit("import d0\n\ndef main():\n    d0.run()\n").alias("source"))
-    return reach.expand(pysource.parse_modules(app), pysource.parse_modules(installed), 50)[1]
+    source = F.expr("CASE WHEN j % 3 <> 2 THEN concat('import d', 2 * j + 1, '\\nfrom d', 2 * j + 2, ' import f\\n') ELSE concat('x = ', j, '\\n') END")
+    installed = rows.select("project_id", F.concat(F.lit("d"), "j").alias("fqn"), F.lit(False).alias("is_package"), source.alias("source"))
+    app = rows.select("project_id").distinct().select("project_id", F.lit("app").alias("fqn"), F.lit(False).alias("is_package"), F.lit("import d0\n\ndef main():\n    d0.run()\n").alias("source"))
+    out = None
+    for budget in (50, 2000):
+        store = ParseStore.of(app, installed)
+        status = reach.expand_on_demand(app, installed, budget, store)[2]
+        parsed = store.held().agg(F.countDistinct("digest").alias("sources_parsed"))
+        one = status.join(F.broadcast(parsed)).withColumn("budget", F.lit(budget))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _apps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -588,18 +600,19 @@ def symbol_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey AS project_id, s.symbol, s.resolved FROM nation, (VALUES ('pkg.load', 'pkg.core.load'), ('pkg.wide', 'pkg.more.wide'), ('pkg.core.only', 'pkg.core.L.only'), ('pkg.nope', NULL), ('pkg.a.deep', NULL), ('pkg.loop', NULL)) AS s(symbol, resolved)""")
+WITH t AS (SELECT p_partkey AS k, p_partkey % 10 AS p, p_partkey // 10 % 6 AS hops, p_partkey % 5 AS kind FROM part)
+SELECT p AS project_id, 'p' || k || '.f' AS symbol, CASE kind WHEN 0 THEN 'p' || k || '.core.f' WHEN 1 THEN 'p' || k || '.core.f' WHEN 4 THEN CASE WHEN hops <= 3 THEN 'p' || k - 10 * hops || '.f' END END AS resolved FROM t
+UNION ALL SELECT p, 'p' || k || '.core.f', CASE kind WHEN 0 THEN 'p' || k || '.core.f' WHEN 1 THEN 'p' || k || '.core.f' WHEN 2 THEN 'p' || k || '.core.L.f' END FROM t
+UNION ALL SELECT p, 'p' || k || '.loop', NULL FROM t WHERE kind = 3""")
 def verify_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = {
-        "pkg": ("from .core import load\nfrom .more import *\nfrom .ring import loop\n", True), "pkg.core": ("def load():\n    pass\n\nclass L:\n    def only(self):\n        pass\n", False),
-        "pkg.more": ("def wide():\n    pass\n", False), "pkg.ring": ("from . import loop\n", False),
-        "pkg.a": ("from .b import deep\n", True), "pkg.a.b": ("from .c import deep\n", True), "pkg.a.b.c": ("from .d import deep\n", True), "pkg.a.b.c.d": ("from .e import deep\n", True), "pkg.a.b.c.d.e": ("from .f import deep\n", True), "pkg.a.b.c.d.e.f": ("def deep():\n    pass\n", False),
-    }
-    cells = F.array(*[F.struct(F.lit(k).alias("fqn"), F.lit(p).alias("is_package"), F.lit(t).alias("source")) for k, (t, p) in texts.items()])
-    n = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("project_id"))
-    modules = n.select("project_id", F.explode(cells).alias("m")).select("project_id", F.lit("dependency").alias("origin"), "m.*")
-    asked = n.select("project_id", F.explode(F.array(*[F.lit(x) for x in ("pkg.load", "pkg.wide", "pkg.core.only", "pkg.nope", "pkg.a.deep", "pkg.loop")])).alias("symbol"))
-    return reach.verify_symbols(asked, pysource.parse_modules(modules)).select(c("project_id").cast("int").alias("project_id"), "symbol", "resolved")
+    """Symbols behind imports, stars, classes, rings and chains of packages that are longer than is followed."""
+    t = table(spark, sf_dir, "part").select(c("p_partkey").alias("k"), (c("p_partkey") % 10).alias("project_id"), F.expr("p_partkey div 10 % 6").alias("hops"))
+    init = F.expr("""CASE k % 5 WHEN 0 THEN 'from .core import f' WHEN 1 THEN 'from .empty import *\\nfrom .core import *' WHEN 2 THEN 'import os' WHEN 3 THEN 'from . import loop' WHEN 4 THEN CASE WHEN hops = 0 THEN 'def f():\\n    pass' ELSE concat('from p', k - 10, ' import f') END END""")
+    core = F.expr("""CASE k % 5 WHEN 0 THEN 'def f():\\n    pass' WHEN 1 THEN 'def f():\\n    pass' WHEN 2 THEN 'class L:\\n    def f(self):\\n        pass' WHEN 3 THEN 'class L:\\n    def f(self):\\n        pass\\nclass M:\\n    def f(self):\\n        pass' ELSE 'x = 1' END""")
+    name = F.concat(F.lit("p"), "k")
+    modules = t.select("project_id", name.alias("fqn"), F.lit(True).alias("is_package"), init.alias("source")).unionAll(t.select("project_id", F.concat(name, F.lit(".core")), F.lit(False), core)).unionAll(t.select("project_id", F.concat(name, F.lit(".empty")), F.lit(False), F.lit("")))
+    asked = t.select("project_id", F.concat(name, F.lit(".f")).alias("symbol")).unionAll(t.select("project_id", F.concat(name, F.lit(".core.f")))).unionAll(t.filter("k % 5 = 3").select("project_id", F.concat(name, F.lit(".loop"))))
+    return reach.verify_symbols(asked, reach.stored_modules(listed(modules), ParseStore.of(modules)))
 
 
 # diffs
@@ -651,7 +664,8 @@ f1 AS (SELECT f0.*, lifted, ups, coalesce(m.d, -1) AS depth, CASE WHEN f0.j % 11
 f AS (SELECT *, CASE fix_reason WHEN 'releases_unanswered' THEN 'unknown' WHEN 'no_fix' THEN 'no_fix' WHEN 'parent_constraint' THEN 'override' WHEN 'own_constraint' THEN 'direct_bump' ELSE 'lockfile_refresh' END AS shape, fix_reason NOT IN ('releases_unanswered', 'no_fix') AS actionable FROM f1)"""
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+def _scan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[DataFrame], DataFrame]:
+    """Packages (project_id, j), parsed lockfiles, the four answer tables, and import names."""
     j = F.expr("(p_partkey - 1) div 10").alias("j")
     t = table(spark, sf_dir, "part").select(((c("p_partkey") - 1) % 10).alias("project_id"), j)
     js = t.select("j").distinct()
@@ -684,11 +698,16 @@ def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple
     meta = meta.unionAll(meta).unionAll(meta.select("name", "version", nothing))  # asked twice, and once in vain
     meta = meta.unionAll(pairs.filter("j % 9 = 4").groupBy(node, F.lit("1.9").alias("version")).agg(F.collect_set(F.format_string("p-%s<0.1", "k"))))  # a fork has no say
     names = t.filter("j % 5 <> 4").select("project_id", F.format_string("p-%s", "j").alias("distribution"), F.format_string("m_%s", "j").alias("import_name"))
+    return t, parsed, [answers, bodies, releases, meta], names
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    t, parsed, tables, names = _scan_tables(spark, sf_dir)
     no = F.lit(False)
     app = t.select("project_id").distinct().select("project_id", F.lit("app").alias("fqn"), F.lit("module").alias("kind"), F.lit("project").alias("origin"), no.alias("dynamic"), no.alias("unresolved"))
     nodes = app.unionAll(t.filter("j % 2 = 0").select("project_id", F.format_string("m_%s", "j"), F.lit("module"), F.lit("dependency"), no, no))
     links = t.filter("j % 4 = 0").select("project_id", F.lit("app").alias("src"), F.format_string("m_%s", "j").alias("dst"), F.lit("calls").alias("kind"), no.alias("speculative"))
-    found, state = scan.scan_findings(parsed, answers, bodies, releases, meta, "low", names, (nodes, links))
+    found, state = scan.scan_findings(parsed, *tables, "low", names, (nodes, links))
     return found, state, (nodes, links)
 
 
@@ -719,6 +738,46 @@ def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_counters(found, state, sources, graph_, verified, model)
 
 
+# from source text to verdicts
+
+VERDICT_SQL = SCAN_SQL + """,
+g AS (SELECT f.p, f.j, f.advisory_id, f.version, j % 2 = 0 AND (j % 4 = 0 OR j % 16 = 2) AND EXISTS (SELECT 1 FROM t WHERE t.p = f.p AND t.j = CASE WHEN f.j % 4 = 0 THEN f.j ELSE f.j - 2 END) AS reached,
+  CASE WHEN starts_with(advisory_id, 'CVE-') AND j % 5 <> 4 AND j % 2 = 0 THEN j % 9 END AS kind, p % 5 = 3 AS broken FROM f),
+h AS (SELECT *, CASE WHEN j % 5 = 4 THEN 'no_import_names' WHEN NOT reached THEN 'never_named' WHEN kind = 0 THEN 'symbol_path' WHEN kind = 3 AND broken THEN 'expansion_incomplete' WHEN kind = 3 THEN 'symbol_not_reached' ELSE 'path' END AS reason_code FROM g)"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Apps that call m_j.f of every fourth package, whose sources import on; in two of five environments m_4 is broken."""
+    t, parsed, tables, names = _scan_tables(spark, sf_dir)
+    called = t.filter("j % 4 = 0").groupBy("project_id").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    lines = lambda text: F.array_join(F.transform("js", lambda x: F.format_string(text, *[x] * text.count("%s"))), "")
+    project = called.select("project_id", F.lit("app").alias("fqn"), F.lit(False).alias("is_package"), F.concat(lines("import m_%s\n"), F.lit("\ndef main():\n"), lines("    m_%s.f()\n")).alias("source"))
+    body = F.format_string("def f():\n    g()\n%s\ndef g():\n    pass\n\ndef idle():\n    return %s\n", F.when(c("j") % 16 == 0, F.format_string("    m_%s.f()\n", c("j") + 2)).otherwise(""), "j")
+    source = F.concat(F.when(c("j") % 16 == 0, F.format_string("import m_%s\n", c("j") + 2)).otherwise(""), body)
+    source = F.when((c("j") == 4) & (c("project_id") % 5 == 3), "def broken(:\n").otherwise(source)
+    installed = t.filter("j % 2 = 0").select("project_id", F.format_string("m_%s", "j").alias("fqn"), F.lit(False).alias("is_package"), source.alias("source"))
+    said = t.filter("j % 3 = 0").select(F.format_string("P.%s", "j").alias("name"), F.format_string("CVE-%s", "j").alias("advisory_id"), F.array(F.concat(F.format_string("m_%s.", "j"), F.expr("CASE j % 9 WHEN 0 THEN 'g' WHEN 3 THEN 'idle' ELSE 'gone' END")), F.lit("other.f")).alias("symbols")).distinct()
+    found, _, counters = scan.scan_sources(parsed, *tables, project, installed, names, said, "low")
+    return found, counters
+
+
+@query(VERDICT_SQL + """
+SELECT p AS project_id, 'p-' || j AS package, version, advisory_id, reason_code, CASE WHEN reason_code IN ('path', 'symbol_path') THEN 'reachable' WHEN reason_code IN ('never_named', 'symbol_not_reached') THEN 'not_reachable' ELSE 'unknown' END AS verdict,
+  CASE WHEN reason_code IN ('no_import_names', 'expansion_incomplete') THEN 'low' ELSE 'high' END AS confidence,
+  CASE reason_code WHEN 'path' THEN 'app>' || CASE WHEN j % 16 = 2 THEN 'm_' || j - 2 || '>' ELSE '' END || 'm_' || j WHEN 'symbol_path' THEN 'app.main>' || CASE WHEN j % 16 = 2 THEN 'm_' || j - 2 || '.f>' ELSE '' END || 'm_' || j || '.f>m_' || j || '.g' END AS path FROM h""")
+def source_to_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = _verdicts(spark, sf_dir)
+    return found.select("project_id", "package", "version", "advisory_id", "reason_code", "verdict", "confidence", F.array_join("path", ">").alias("path"))
+
+
+@query(VERDICT_SQL + """,
+r AS (SELECT p, count(*) FILTER (WHERE j % 4 = 0 OR (j % 16 = 2 AND j - 2 IN (SELECT j FROM t x WHERE x.p = t.p))) AS n FROM t WHERE j % 2 = 0 GROUP BY p)
+SELECT p AS project_id, n - CASE WHEN p % 5 = 3 THEN 1 ELSE 0 END AS dependency_modules_parsed, CASE WHEN p % 5 = 3 THEN 1 ELSE 0 END AS unparsed_source_files, count(*) FILTER (WHERE kind IN (0, 3)) AS advisories_narrowed, count(*) FILTER (WHERE starts_with(advisory_id, 'CVE-') AND j % 5 <> 4 AND (j % 2 = 1 OR j % 9 = 6)) AS symbols_dropped FROM h JOIN r USING (p) GROUP BY p, n""")
+def source_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, counters = _verdicts(spark, sf_dir)
+    return counters.select("project_id", "dependency_modules_parsed", "unparsed_source_files", "advisories_narrowed", "symbols_dropped")
+
+
 # lists of merged records, and walks over graphs with branches and cycles
 
 LIST_SQL = """

@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import names as N
-from triagelake.operators import advisories, findings, fixes, packages, reach
+from triagelake.operators import advisories, findings, fixes, packages, reach, resolve
 from triagelake.operators.graph import checkpointed
+from triagelake.operators.parse_store import ParseStore, environments, listed
 from triagelake.sources import lockfiles
 
 KEYS = ["project_id", "name", "version"]
@@ -140,8 +141,8 @@ def scan_findings(
     ``parsed``: lockfiles (project_id, status, entries).  With ``graph`` (nodes
     and edges) and ``import_names`` (project_id, distribution, import_name)
     verdicts come from reach, narrowed by ``symbols`` (project_id, advisory_id,
-    symbols) where ``status`` (project_id, complete) is given; without them
-    every verdict is unknown.
+    symbols, and the package's name if it matters) where ``status`` (project_id,
+    complete) is given; without them every verdict is unknown.
     """
     entries = checkpointed(lockfiles.entries(parsed.filter("status = 'ok'")))
     releases, metadata = (df.withColumn("name", N.normalise(F.col("name"))) for df in (releases, metadata))
@@ -173,7 +174,7 @@ def scan_findings(
     else:
         by = ["project_id", *KEYS[1:], "advisory_id"]
         names = import_names.groupBy("project_id", F.col("distribution").alias("name")).agg(F.array_sort(F.collect_set("import_name")).alias("import_names"))
-        asked = slim.select(*by).join(names, ["project_id", "name"], "left").join(symbols, ["project_id", "advisory_id"], "left").withColumn("finding_id", F.struct("name", "version", "advisory_id"))
+        asked = slim.select(*by).join(names, ["project_id", "name"], "left").join(symbols, [k for k in ("project_id", "name", "advisory_id") if k in symbols.columns], "left").withColumn("finding_id", F.struct("name", "version", "advisory_id"))
         judged = checkpointed(reach.symbol_verdict(asked, *graph, status).select(*by, "verdict", "confidence", "reason_code", "path"))
         slim = slim.join(judged.drop("path"), by)
         paths = judged.filter("path is not null").select(*by, "path")
@@ -183,6 +184,58 @@ def scan_findings(
     return out, pkgs.join(state, ["name", "version"]).select(*KEYS, "status", "bodies_missing")
 
 
+def verified_symbols(parsed: DataFrame, extracted: DataFrame, import_names: DataFrame, installed: DataFrame, store: ParseStore) -> DataFrame:
+    """``project_id, name, advisory_id, symbols, n_verified, n_dropped`` of symbols that installed source confirms.
+
+    ``extracted(name, advisory_id, symbols)`` says what each advisory's text
+    names.  Symbols of another package's names drop out first.  The others are
+    looked up once for each distinct environment: projects that have the same
+    modules installed share the answers.
+    """
+    pkgs = scannable(lockfiles.entries(parsed.filter("status = 'ok'"))).select("project_id", "name").distinct()
+    said = extracted.select(N.normalise(F.col("name")).alias("name"), "advisory_id", F.posexplode("symbols").alias("ord", "symbol"))
+    heads = import_names.select("project_id", F.col("distribution").alias("name"), F.col("import_name").alias("head")).distinct()
+    shaped = said.filter(N.plausible_symbol(F.col("symbol"), F.array(F.substring_index("symbol", ".", 1)))).withColumn("head", F.substring_index("symbol", ".", 1))
+    listing = checkpointed(listed(installed))
+    envs = environments(listing)
+    asked = checkpointed(pkgs.join(shaped, "name").join(heads, ["project_id", "name", "head"], "left_semi").join(envs, "project_id"))
+    shown = envs.groupBy("env").agg(F.min("project_id").alias("project_id"))  # one project of each environment
+    modules = listing.join(shown, "project_id").select(F.col("env").alias("project_id"), "fqn", "is_package", "digest")
+    found = reach.verify_symbols(asked.select(F.col("env").alias("project_id"), "symbol").distinct(), reach.stored_modules(checkpointed(modules), store))
+    rows = asked.join(found.withColumnRenamed("project_id", "env"), ["env", "symbol"], "left")
+    first = F.array_sort(F.collect_set(F.when(F.col("resolved").isNotNull(), F.struct("ord", "resolved"))))
+    out = rows.groupBy("project_id", "name", "advisory_id").agg(F.array_distinct(F.transform(first, lambda x: x["resolved"])).alias("symbols"), F.count_if(F.col("resolved").isNull()).alias("n_dropped"))
+    return out.withColumn("n_verified", F.size("symbols"))
+
+
+def scan_sources(
+    parsed: DataFrame, answers: DataFrame, bodies: DataFrame, releases: DataFrame, metadata: DataFrame, project: DataFrame, installed: DataFrame, import_names: DataFrame,
+    extracted: DataFrame | None = None, floor: str | None = None, budget: int = reach.BUDGET, store: ParseStore | None = None, model: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole way from source text to verdicts: ranked findings, package states, and counters.
+
+    ``project`` and ``installed`` are modules (project_id, fqn, is_package,
+    source); ``import_names`` (project_id, distribution, import_name) comes
+    from installed records.  Expansion parses what the projects' names lead to,
+    verification what ``extracted`` symbols may lie in, and both share one
+    store.  A project without modules gets unknown verdicts; empty tables give
+    no row.
+    """
+    store = store or ParseStore.of(project, installed)
+    own, deps, status = reach.expand_on_demand(project, installed, budget, store)
+    sources = checkpointed(own.unionByName(deps))
+    graph = resolve.build(sources)
+    checked = None
+    if extracted is not None:
+        checked = checkpointed(verified_symbols(parsed, extracted, import_names, installed, store))
+    found, state = scan_findings(parsed, answers, bodies, releases, metadata, floor, import_names, graph, None if checked is None else checked.select("project_id", "name", "advisory_id", "symbols"), status)
+    found = checkpointed(found)
+    used = None
+    if checked is not None:
+        used = checked.join(found.select("project_id", "name", "advisory_id").distinct(), ["project_id", "name", "advisory_id"], "left_semi").withColumn("failed", F.lit(False))
+    return found, state, scan_counters(found, state, sources.select("project_id", "origin", "parse_ok"), graph, used, model)
+
+
 def scan_counters(found: DataFrame, state: DataFrame, parsed_sources: DataFrame | None = None, graph: tuple[DataFrame, DataFrame] | None = None, verified: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
     """All counters of a scan, one row a project.
 
