@@ -82,6 +82,31 @@ def version_key(v: Column, with_local: bool = True) -> Column:
     return F.when(is_version(v), _let(_groups(v), key))
 
 
+def sort_key(v: Column) -> Column:
+    """Text that sorts, byte by byte, as versions do; NULL for text that is no version.
+
+    Numbers of up to 9,999 digits stand behind their length, so none is cut.
+    For tables of distinct versions: plain text sorts and joins faster than a struct.
+    """
+    bare = lambda s: F.regexp_replace(F.coalesce(s, F.lit("0")), "^0+(?=[0-9])", "")
+    sized = lambda s: F.concat(F.lpad(F.length(s).cast("string"), 4, "0"), s)
+    num = lambda s: sized(bare(s))
+
+    def key(g: Column) -> Column:
+        pre, dev, post = _part(g, 3), _part(g, 8), _post(g)
+        letter = F.lower(F.substring(pre, 1, 1))
+        rank = F.when(pre.isNull(), F.when(dev.isNotNull() & post.isNull(), "0").otherwise("4")).when(letter == "a", "1").when(letter == "b", "2").otherwise("3")
+        parts = F.array_join(F.transform(F.split(_part(g, 2), r"\."), lambda x: F.concat(F.lit("."), num(x))), "")
+        local = F.transform(F.split(F.lower(_part(g, 10)), "[-_.]"), lambda s: F.when(s.rlike(r"^\d+$"), F.concat(F.lit("b"), num(s))).otherwise(F.concat(F.lit("a"), s)))
+        return F.concat(
+            num(_part(g, 1)), F.regexp_replace(parts, r"(\.00010)+$", ""), F.lit("!"), rank, num(_part(g, 4)),
+            F.when(post.isNull(), "0").otherwise(F.concat(F.lit("1"), num(post))), F.when(dev.isNull(), "9").otherwise(F.concat(F.lit("0"), num(_part(g, 9)))),
+            F.coalesce(F.concat(F.array_join(local, "!"), F.lit("!")), F.lit("")),
+        )
+
+    return F.when(is_version(v), _let(_groups(v), key))
+
+
 def without_local(key: Column) -> Column:
     return F.struct(*[key[n].alias(n) for n in ("e", "r", "pl", "pn", "po", "d")], F.array().cast(f"array<struct<n:{NUM},s:string>>").alias("l"))
 

@@ -39,34 +39,32 @@ def reason_text(lifted: Column) -> Column:
     )
 
 
-def with_fix(rows: DataFrame) -> DataFrame:
-    """Adds shape, target_version, command, reason_code, reason, blocking and blocking_parents.
+def shaped(rows: DataFrame) -> DataFrame:
+    """Adds reason_code, shape and target_version; the first rule that holds counts.
 
-    ``rows``: name, version, fixed (array), ranges, released (array or NULL for
-    unanswered), declared, parents (map), parent_upgrades (map).  What isn't
-    known gives ``unknown``, never a clean answer.
+    ``rows``: ``readable`` (the installed version), ``answered`` (its releases),
+    ``unread_own`` and ``unread_parent`` (constraints), ``target_text`` and
+    ``back_text`` (NULL for none), ``back_first`` and ``block``.
     """
-    v, declared, parents = F.col("version"), F.col("declared"), F.col("parents")
-    unread = lambda c: c.isNotNull() & V.specifier(c).isNull()
-    rows = rows.withColumn("__target", V.select_target(v, F.col("fixed"))).withColumn("__back", V.backport(v, F.col("fixed"), F.col("ranges"), F.coalesce("released", F.array().cast("array<string>"))))
-    rows = rows.withColumn("__block", blockers(F.col("__target"), declared, parents))
-    back_first = F.col("__back").isNotNull() & (F.col("__target").isNull() | (V.version_key(F.col("__back")) < V.version_key(F.col("__target"))))
-    own_only = F.forall("__block", lambda b: b["name"] == OWN)
-    bad_parent = F.coalesce(F.exists(F.map_values(parents), unread), F.lit(False))
+    own_only = F.forall("block", lambda b: b["name"] == OWN)
     reason = (
-        F.when(~V.is_version(v), "version_unread").when(F.col("released").isNull(), "releases_unanswered")
-        .when(unread(declared), "constraint_unread").when(bad_parent, "parent_constraint_unread")
-        .when(back_first, "backport").when(F.col("__target").isNull(), "no_fix")
-        .when(F.size("__block") == 0, "in_range").when(own_only, "own_constraint").otherwise("parent_constraint")
+        F.when(~F.col("readable"), "version_unread").when(~F.col("answered"), "releases_unanswered")
+        .when(F.col("unread_own"), "constraint_unread").when(F.col("unread_parent"), "parent_constraint_unread")
+        .when(F.col("back_first"), "backport").when(F.col("target_text").isNull(), "no_fix")
+        .when(F.size("block") == 0, "in_range").when(own_only, "own_constraint").otherwise("parent_constraint")
     )
     shape = (
         F.when(F.col("reason_code").isin("version_unread", "releases_unanswered", "constraint_unread", "parent_constraint_unread"), "unknown")
         .when(F.col("reason_code") == "backport", "backport_exists").when(F.col("reason_code") == "no_fix", "no_fix")
         .when(F.col("reason_code") == "in_range", "lockfile_refresh").when(F.col("reason_code") == "own_constraint", "direct_bump").otherwise("override")
     )
-    rows = rows.withColumn("reason_code", reason).withColumn("shape", shape)
-    target = F.when(F.col("shape") == "backport_exists", V.canonical(F.col("__back"))).when(~F.col("shape").isin("unknown", "no_fix"), V.canonical(F.col("__target")))
-    held = F.filter("__block", lambda b: b["name"] != OWN)
+    target = F.when(F.col("shape") == "backport_exists", F.col("back_text")).when(~F.col("shape").isin("unknown", "no_fix"), F.col("target_text"))
+    return rows.withColumn("reason_code", reason).withColumn("shape", shape).withColumn("target_version", target)
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """``shaped`` rows with ``parent_upgrades`` (map) get blocking_parents, command, reason, blocking and actionable."""
+    held = F.filter("block", lambda b: b["name"] != OWN)
     rows = rows.withColumn("blocking_parents", F.when(F.col("shape") == "override", F.transform(held, lambda b: F.struct(b["name"].alias("name"), b["constraint"].alias("constraint"), F.try_element_at("parent_upgrades", b["name"]).alias("upgrade_to")))))
     bump = F.transform("blocking_parents", lambda b: F.format_string('uv add "%s>=%s"', b["name"], b["upgrade_to"]))
     lifted = F.forall("blocking_parents", lambda b: b["upgrade_to"].isNotNull())
@@ -76,8 +74,23 @@ def with_fix(rows: DataFrame) -> DataFrame:
         .when(F.col("shape").isin("direct_bump", "backport_exists"), F.format_string('uv add "%s>=%s"', F.col("name"), F.col("target_version")))
         .when(F.col("shape") == "override", override)
     )
-    return (
-        rows.withColumn("target_version", target).withColumn("command", command).withColumn("reason", reason_text(lifted))
-        .withColumn("blocking", F.transform("__block", lambda b: b["name"])).withColumn("actionable", ~F.col("shape").isin("no_fix", "unknown"))
-        .drop("__target", "__back", "__block")
-    )
+    return rows.withColumn("command", command).withColumn("reason", reason_text(lifted)).withColumn("blocking", F.transform("block", lambda b: b["name"])).withColumn("actionable", ~F.col("shape").isin("no_fix", "unknown")).drop("readable", "answered", "unread_own", "unread_parent", "target_text", "back_text", "back_first", "block")
+
+
+def with_fix(rows: DataFrame) -> DataFrame:
+    """Adds shape, target_version, command, reason_code, reason, blocking and blocking_parents, row by row.
+
+    ``rows``: name, version, fixed (array), ranges, released (array or NULL for
+    unanswered), declared, parents (map), parent_upgrades (map).  What isn't
+    known gives ``unknown``, never a clean answer.  A scan of many projects
+    finds the same by joins over distinct versions (``plans.scan.with_fixes``).
+    """
+    v, declared, parents = F.col("version"), F.col("declared"), F.col("parents")
+    unread = lambda c: c.isNotNull() & V.specifier(c).isNull()
+    rows = rows.withColumn("__target", V.select_target(v, F.col("fixed"))).withColumn("__back", V.backport(v, F.col("fixed"), F.col("ranges"), F.coalesce("released", F.array().cast("array<string>"))))
+    rows = rows.withColumns({
+        "readable": V.is_version(v), "answered": F.col("released").isNotNull(), "unread_own": unread(declared), "unread_parent": F.coalesce(F.exists(F.map_values(parents), unread), F.lit(False)),
+        "block": blockers(F.col("__target"), declared, parents), "target_text": V.canonical(F.col("__target")), "back_text": V.canonical(F.col("__back")),
+        "back_first": F.col("__back").isNotNull() & (F.col("__target").isNull() | (V.version_key(F.col("__back")) < V.version_key(F.col("__target")))),
+    })
+    return finished(shaped(rows)).drop("__target", "__back")

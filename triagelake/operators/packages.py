@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from triagelake.functions import versions as V
 from triagelake.functions.names import normalise
 
-from .graph import bfs
+from . import version_ranks
+from .graph import bfs, checkpointed
 
 
 def split_forks(entries: DataFrame) -> DataFrame:
@@ -84,12 +85,16 @@ def parent_upgrades(blocked: DataFrame, releases: DataFrame, metadata: DataFrame
     A newest release that says nothing readable about the package counts as
     allowing it; unknown releases or metadata give NULL.
     """
-    latest = one_releases(releases).select(F.col("name").alias("parent"), V.newest(F.col("versions")).alias("latest"))
+    parents = blocked.select(F.col("parent").alias("name")).distinct()
+    listed = releases.join(parents, "name", "left_semi").select("name", F.explode("versions").alias("v")).distinct()
+    ordered = listed.withColumn("key", V.sort_key(F.col("v"))).filter("key is not null")
+    latest = ordered.groupBy(F.col("name").alias("parent")).agg(F.max_by("v", F.struct("key", "v")).alias("latest"))
     of = one_metadata(metadata).select(F.col("name").alias("parent"), F.col("version").alias("latest"), "requires")
-    rows = blocked.join(latest, "parent", "left").join(of, ["parent", "latest"], "left")
-    asked = V.requirement_on(F.col("requires"), F.col("name"))
-    fits = asked.isNull() | V.specifier(asked).isNull() | F.coalesce(V.satisfies(F.col("target"), asked), F.lit(False))
-    return rows.withColumn("upgrade_to", F.when(F.col("requires").isNotNull() & fits, F.col("latest"))).drop("latest", "requires")
+    rows = checkpointed(blocked.join(latest, "parent", "left").join(of, ["parent", "latest"], "left").withColumn("constraint", V.requirement_on(F.col("requires"), F.col("name"))))
+    said = version_ranks.judged(rows.filter("constraint is not null"))
+    fits = F.col("constraint").isNull() | F.coalesce(~F.col("readable") | F.col("allowed"), F.lit(False))
+    rows = rows.join(said, ["target", "constraint"], "left")
+    return rows.withColumn("upgrade_to", F.when(F.col("requires").isNotNull() & fits, F.col("latest"))).select(*blocked.columns, "upgrade_to")
 
 
 def drift(locked: DataFrame, installed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from triagelake.functions import names as N
 from triagelake.functions import versions as V
 from triagelake.operators import advisories as A
 from triagelake.operators import findings as R
-from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve
+from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve, version_ranks
 from triagelake.operators.graph import checkpointed
 from triagelake.operators.parse_store import ParseStore, listed
 from triagelake.plans import scan
@@ -131,19 +131,27 @@ def specifier_satisfies(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELEASES = "SELECT DISTINCT l_partkey AS k, CAST(l_quantity AS INTEGER) % 5 AS a, l_linenumber AS b, l_suppkey % 10 AS c FROM lineitem"
 
 
-def _releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("p_partkey"), F.expr("concat(int(l_quantity) % 5, '.', l_linenumber, '.', l_suppkey % 10)").alias("v"))
-    return rows.groupBy("p_partkey").agg(F.array_sort(F.collect_set("v")).alias("released"))
-
-
 def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("installed", F.expr("concat(p_size % 5, '.', p_partkey % 8, '.0')"))
     null = "cast(null as string)"
     first = f"named_struct('introduced', concat(p_size % 4, '.0'), 'fixed', CASE WHEN p_partkey % 3 <> 0 THEN concat(p_size % 4 + 1, '.3') END, 'last_affected', {null})"
     second = f"named_struct('introduced', '4.1', 'fixed', {null}, 'last_affected', '4.2.5')"
     p = p.withColumn("ranges", F.expr(f"CASE WHEN p_partkey % 4 = 0 THEN array({first}, {second}) ELSE array({first}) END"))
-    p = p.withColumn("fixed", F.expr("CASE WHEN p_partkey % 3 <> 0 THEN array(concat(p_size % 4 + 1, '.3')) ELSE array() END").cast("array<string>"))
-    return p.join(_releases(spark, sf_dir), "p_partkey", "left")
+    return p.withColumn("fixed", F.expr("CASE WHEN p_partkey % 3 <> 0 THEN array(concat(p_size % 4 + 1, '.3')) ELSE array() END").cast("array<string>"))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Installed versions, releases, affected intervals and fixes of every part, by places in its own order."""
+    keys = ["p_partkey"]
+    rows = _installed(spark, sf_dir)
+    released = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("p_partkey"), F.expr("concat(int(l_quantity) % 5, '.', l_linenumber, '.', l_suppkey % 10)").alias("v")).distinct()
+    ranges = rows.select("p_partkey", F.inline("ranges"))
+    bounds = ranges.select("p_partkey", F.explode(F.array("introduced", "fixed", "last_affected")).alias("v"))
+    fixed = rows.select("p_partkey", F.explode("fixed").alias("v"))
+    mine = rows.select("p_partkey", c("installed").alias("v"))
+    places = checkpointed(version_ranks.dictionary(released.select("v").unionAll(bounds.select("v")).unionAll(fixed.select("v")).unionAll(mine.select("v"))))
+    at = lambda df: df.join(places, "v")
+    return at(mine), at(released), version_ranks.intervals(ranges, places, keys), at(fixed)
 
 
 @query(f"""
@@ -151,7 +159,8 @@ WITH r AS ({RELEASES}), i AS (SELECT p_partkey AS k, p_size % 5 AS m, (p_size %
 x AS (SELECT i.k, a, b, c, row_number() OVER (PARTITION BY i.k ORDER BY CASE WHEN a = m THEN 0 ELSE 1 END, a, b, c) AS n FROM i JOIN r ON i.k = r.k AND a * 10000 + b * 100 + c > v)
 SELECT i.k AS p_partkey, x.a || '.' || x.b || '.' || x.c AS target FROM i LEFT JOIN x ON i.k = x.k AND n = 1""")
 def select_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _installed(spark, sf_dir).select("p_partkey", V.select_target(c("installed"), c("released")).alias("target"))
+    rows, released, _, _ = _placed(spark, sf_dir)
+    return rows.select("p_partkey").join(version_ranks.targets(rows, released, ["p_partkey"]).select("p_partkey", "target"), "p_partkey", "left")
 
 
 AFFECTED = "((a * 10000 + b * 100 + c >= (p_size % 4) * 10000 AND (p_partkey % 3 = 0 OR a * 10000 + b * 100 + c < (p_size % 4 + 1) * 10000 + 300)) OR (p_partkey % 4 = 0 AND a * 10000 + b * 100 + c BETWEEN 40100 AND 40205))"
@@ -159,8 +168,9 @@ AFFECTED = "((a * 10000 + b * 100 + c >= (p_size % 4) * 10000 AND (p_partkey % 3
 
 @query(f"WITH r AS ({RELEASES}) SELECT p_partkey, count(*) AS releases, count(*) FILTER (WHERE {AFFECTED}) AS affected FROM part JOIN r ON p_partkey = k GROUP BY p_partkey")
 def is_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _installed(spark, sf_dir).select("p_partkey", "ranges", F.explode("released").alias("v"))
-    return rows.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("releases"), F.count_if(V.is_affected(c("v"), c("ranges"))).alias("affected"))
+    _, released, spans, _ = _placed(spark, sf_dir)
+    rows = version_ranks.affected(released.select("p_partkey", "place"), spans, ["p_partkey"])
+    return rows.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("releases"), F.count_if("affected").alias("affected"))
 
 
 @query(f"""
@@ -169,7 +179,9 @@ x AS (SELECT p_partkey, a || '.' || b || '.' || c AS v, row_number() OVER (PARTI
   WHERE a = p_size % 5 AND a * 10000 + b * 100 + c > (p_size % 5) * 10000 + (p_partkey % 8) * 100 AND NOT {AFFECTED} AND NOT (p_partkey % 3 <> 0 AND p_size % 4 + 1 = p_size % 5))
 SELECT p.p_partkey, x.v AS backport FROM part p LEFT JOIN x ON p.p_partkey = x.p_partkey AND n = 1""")
 def backport_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _installed(spark, sf_dir).select("p_partkey", V.backport(c("installed"), c("fixed"), c("ranges"), c("released")).alias("backport"))
+    rows, released, spans, fixed = _placed(spark, sf_dir)
+    found = version_ranks.backports(rows, fixed, spans, released, ["p_partkey"])
+    return rows.select("p_partkey").join(found.select("p_partkey", c("back").alias("backport")), "p_partkey", "left")
 
 
 # advisories

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import names as N
-from triagelake.operators import advisories, findings, fixes, packages, reach, resolve
+from triagelake.operators import advisories, findings, fixes, packages, reach, resolve, version_ranks
 from triagelake.operators.graph import checkpointed
 from triagelake.operators.parse_store import ParseStore, environments, listed
 from triagelake.sources import lockfiles
@@ -117,19 +117,52 @@ def contexts(entries: DataFrame, metadata: DataFrame, names: DataFrame) -> tuple
     return keyed, sets
 
 
-def with_fixes(rows: DataFrame, releases: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Fixes in two phases: parents' upgrades are looked up only where a parent is known to block.
+def version_targets(merged: DataFrame, released: DataFrame) -> DataFrame:
+    """``name, version, display_id`` with ``readable``, ``target``, ``target_text``, ``back_text`` and ``back_first``.
 
-    ``rows``: what ``fixes.with_fix`` reads, distinct by name, version, context and display_id.
+    ``merged``: fixed_versions and affected_ranges of each; ``released(name,
+    v)``.  All versions get places in one dictionary; what no project's
+    constraints can change is searched once, by places alone.
     """
-    given = rows.columns
-    first = checkpointed(fixes.with_fix(rows))
-    held = first.filter("shape = 'override'").select("name", F.explode("blocking_parents.name").alias("parent"), F.col("target_version").alias("target")).distinct()
-    ups = packages.parent_upgrades(held, releases, metadata).filter("upgrade_to is not null")
-    maps = ups.groupBy("name", "target").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("parent", "upgrade_to")))).alias("found"))
-    again = first.filter("shape = 'override'").withColumnRenamed("target_version", "target").join(maps, ["name", "target"], "left")
-    again = again.withColumn("parent_upgrades", F.coalesce("found", "parent_upgrades")).select(given)
-    return first.filter("shape <> 'override'").unionByName(fixes.with_fix(again))
+    keys = ["name", "version", "display_id"]
+    fixed = merged.select(*keys, F.explode("fixed_versions").alias("v"))
+    ranges = merged.select(*keys, F.inline("affected_ranges"))
+    bounds = ranges.select(F.explode(F.array("introduced", "fixed", "last_affected")).alias("v"))
+    offered = released.join(merged.select("name").distinct(), "name", "left_semi")
+    places = checkpointed(version_ranks.dictionary(merged.select(F.col("version").alias("v")).unionAll(fixed.select("v")).unionAll(bounds).unionAll(offered.select("v"))))
+    at = lambda df: df.join(places.drop("canonical"), "v")
+    own = merged.select(*keys, F.col("version").alias("v")).join(places.select("v", "place", "major"), "v", "left")
+    found = version_ranks.targets(own, at(fixed), keys)
+    back = version_ranks.backports(own, at(fixed), version_ranks.intervals(ranges, places, keys), at(offered), keys, ["name"])
+    rows = own.select(*keys, F.col("place").isNotNull().alias("readable")).join(found, keys, "left").join(back, keys, "left")
+    text = lambda c: places.select(F.col("v").alias(c), F.col("canonical").alias(f"{c}_text"))
+    rows = rows.join(text("target"), "target", "left").join(text("back"), "back", "left")
+    first = F.col("back").isNotNull() & (F.col("target").isNull() | (F.col("back_place") < F.col("target_place")))
+    return rows.select(*keys, "readable", "target", "target_text", "back_text", first.alias("back_first"))
+
+
+def with_fixes(merged: DataFrame, asked: DataFrame, sets: DataFrame, releases: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Fixes of ``merged`` advisories for each ``asked(name, version, context)``.
+
+    Every distinct pair of a target and a constraint is judged once.  Parents'
+    upgrades are looked up only where a parent is known to block.
+    """
+    keys = ["name", "version", "context", "display_id"]
+    listed_ = packages.one_releases(releases).filter("versions is not null")
+    targets = checkpointed(version_targets(merged, listed_.select("name", F.explode("versions").alias("v"))))
+    rows = checkpointed(asked.join(targets, ["name", "version"]).join(sets.select("name", "context", "declared"), ["name", "context"], "left").join(listed_.select("name", F.lit(True).alias("answered")), "name", "left").withColumn("answered", F.coalesce("answered", F.lit(False))))
+    every = F.concat(F.coalesce(F.when(F.col("declared").isNotNull(), F.array(F.struct(F.lit(fixes.OWN).alias("who"), F.col("declared").alias("constraint")))), F.array()), F.transform(F.map_entries("parents"), lambda e: F.struct(e["key"].alias("who"), e["value"].alias("constraint"))))
+    held = rows.select(*keys, F.coalesce("target", F.lit("")).alias("target")).join(sets.select("name", "context", F.inline(every)), ["name", "context"])
+    known = held.join(checkpointed(version_ranks.judged(held)), ["target", "constraint"])
+    own, bad = F.col("who") == fixes.OWN, ~F.col("readable")
+    stops = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.struct(F.col("who").alias("name"), "constraint")))).alias("block"), F.bool_or(own & bad).alias("unread_own"), F.bool_or(~own & bad).alias("unread_parent"))
+    rows = rows.join(stops, keys, "left").withColumns({"block": F.coalesce("block", F.array().cast("array<struct<name:string,constraint:string>>")), "unread_own": F.coalesce("unread_own", F.lit(False)), "unread_parent": F.coalesce("unread_parent", F.lit(False))})
+    rows = checkpointed(fixes.shaped(rows))
+    blocked = rows.filter("shape = 'override'").select("name", F.explode("block.name").alias("parent"), F.col("target_version").alias("target")).filter(F.col("parent") != fixes.OWN).distinct()
+    ups = packages.parent_upgrades(blocked, releases, metadata).filter("upgrade_to is not null")
+    maps = ups.groupBy("name", F.col("target").alias("target_version")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("parent", "upgrade_to")))).alias("parent_upgrades"))
+    out = rows.withColumn("lookup_failed", ~F.col("answered")).drop("target").join(maps, ["name", "target_version"], "left")
+    return fixes.finished(out.withColumn("parent_upgrades", F.coalesce("parent_upgrades", F.create_map().cast("map<string,string>"))))
 
 
 def scan_findings(
@@ -154,12 +187,9 @@ def scan_findings(
     keyed, sets = contexts(entries, metadata, merged.select("name").distinct())
     hit = pkgs.join(merged.select("name", "version").distinct(), ["name", "version"], "left_semi")
     hit = checkpointed(hit.join(keyed, ["project_id", "name"], "left").withColumn("context", F.coalesce("context", F.lit(""))))  # keys of findings, by project
-    rows = merged.join(hit.select("name", "version", "context").distinct(), ["name", "version"]).join(sets, ["name", "context"], "left")
-    rows = rows.join(packages.one_releases(releases).withColumnRenamed("versions", "released"), "name", "left")
-    none = F.create_map().cast("map<string,string>")
-    rows = rows.withColumns({"fixed": F.col("fixed_versions"), "ranges": F.col("affected_ranges"), "parents": F.coalesce("parents", none), "parent_upgrades": none})
-    fixed = with_fixes(rows, releases, metadata)
-    fixed = checkpointed(fixed.select("name", "version", "context", F.col("display_id").alias("advisory_id"), "severity", "summary", "aliases", "fix_commits", "shape", "target_version", "command", "actionable", F.col("reason_code").alias("fix_reason"), "reason", "blocking_parents", F.col("released").isNull().alias("lookup_failed")))
+    fixed = with_fixes(merged, hit.select("name", "version", "context").distinct(), sets, releases, metadata).select("name", "version", "context", "display_id", "shape", "target_version", "command", "actionable", F.col("reason_code").alias("fix_reason"), "reason", "blocking_parents", "lookup_failed")
+    texts = merged.select("name", "version", "display_id", "severity", "summary", "aliases", "fix_commits")
+    fixed = checkpointed(fixed.join(texts, ["name", "version", "display_id"]).withColumnRenamed("display_id", "advisory_id"))
     slim = hit.join(fixed.select("name", "version", "context", "advisory_id", "severity", "actionable"), ["name", "version", "context"])
     slim = slim.join(packages.depths(entries), ["project_id", "name"], "left")
     paths = None
