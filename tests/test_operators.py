@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import names as N
 from triagelake.operators import advisories as A
-from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve
+from triagelake.operators import fixes, graph, packages, parse_store, patches, pysource, reach, resolve
 from triagelake.operators import findings as R
 from triagelake.sources import cache, lockfiles, sinks
 
@@ -249,3 +249,126 @@ def test_starred_facades_and_last_definitions(spark):
     assert not any("_hidden" in src for src, _, kind in found if kind == "alias")
     assert {r.fqn: r.kind for r in nodes.collect()}["app.twice"] == "class"
 
+
+
+def test_fans_reach_what_the_multiplied_edges_reach(spark):
+    app = {"a": "import b\nfrom b import *\nclass K(unknown.Base):\n    def go(self):\n        self.go()\n        q.stop()\ndef run():\n    x.go()\n    K()\n    lost.gone()\n", "b": "import a\nclass Base:\n    pass\nclass L:\n    def go(self):\n        z.run()\n    def stop(self):\n        self.stop()\n", "c": "def stop():\n    w.only()\ndef only():\n    s.only()\n"}
+    parsed = modules(spark, app).unionByName(modules(spark, {"lib": "from .core import *\ndef go():\n    k.stop()\n", "lib.core": "class Base(Other):\n    pass\ndef run():\n    pass\n"}, "dependency")).unionByName(modules(spark, app, project=2))
+    nodes, edges = resolve.build(parsed)
+    fan_nodes, sure, fans = resolve.build_fans(parsed)
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, fan_nodes.select(nodes.columns).collect()))
+    starts = nodes.filter("fqn in ('a', 'a.run', 'c')").select("project_id", nodes.fqn.alias("node"))
+    want = sorted(map(str, graph.bfs(edges, starts).collect()))
+    for how in ("project", "frontier"):
+        assert sorted(map(str, graph.bfs(sure, starts, how, fans=fans).collect())) == want
+    assert sorted(map(str, graph.bfs(sure, starts, "auto", group_rows=1, fans=fans).collect())) == want
+    for f in (fans, (fans[0].limit(0), fans[1].limit(0))):
+        assert graph.bfs(sure.limit(0), starts.limit(0), "frontier", fans=f).count() == 0
+
+
+def test_a_tail_of_many_callers_and_definitions_stays_linear(spark):
+    many = 10_000
+    parsed = modules(spark, {"a": "".join(f"def f{i}():\n    x.go()\n" for i in range(many)), "b": "".join(f"class C{i}:\n    def go(self):\n        pass\n" for i in range(many))})
+    nodes, edges, (callers, holders) = resolve.build_fans(parsed)
+    assert (edges.count(), callers.count(), holders.count()) == (0, many, many)
+    starts = spark.createDataFrame([(1, "a.f7")], "project_id long, node string")
+    found = graph.bfs(edges, starts, fans=(callers, holders))
+    assert found.filter("dist = 1 and pred = 'a.f7' and via_speculative").count() == many and found.count() == many + 1
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    hops = 10_000
+    chain = spark.range(hops + 1).selectExpr("1L AS project_id", "concat('n', id) AS node", "int(id) AS dist", "CASE WHEN id > 0 THEN concat('n', id - 1) END AS pred", "id = 5000 AS via_speculative")
+    written = []
+    real = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (written.append(1), real(df))[1])
+    targets = spark.createDataFrame([(1, f"n{hops}"), (1, "n3"), (1, "n0"), (1, "absent")], "project_id long, node string")
+    rows = {r.node: r for r in graph.evidence(chain, targets, "frontier").collect()}
+    assert rows[f"n{hops}"].path == [f"n{i}" for i in range(hops + 1)] and rows[f"n{hops}"].speculative
+    assert (rows["n3"].path, rows["n3"].speculative, rows["n0"].path, len(rows)) == (["n0", "n1", "n2", "n3"], False, ["n0"], 3)
+    assert (len(written) - 1) / 3 < 16  # a round writes three tables
+
+
+def test_demand_and_fixpoint_agree_and_idle_files_stay_unread(spark):
+    app = {"app": "import pkg\nfrom wide import thing\ndef main():\n    pkg.load()\n", "app.sub": "from . import x\nimport broken\n"}
+    lib = {"pkg": "from .core import load\n", "pkg.core": "import deep.er\ndef load():\n    pass\n", "deep.er": "x = 1\n", "wide": "from deep import *\n", "deep": "y = 2\n", "broken": "def (:\n", "unused": "import pkg\n"}
+    raw = lambda texts: spark.createDataFrame([(p, k, False, v) for p in (1, 2) for k, v in texts.items()] + [(3, k, False, v) for k, v in list(texts.items())[:1]], "project_id long, fqn string, is_package boolean, source string")
+    own, there = raw(app), raw(lib).unionAll(spark.createDataFrame([(1, "nothing", False, None)], "project_id long, fqn string, is_package boolean, source string"))
+    for budget in (100, 2):
+        store = parse_store.ParseStore.of(own, there)
+        mine, deps, status = reach.expand_on_demand(own, there, budget, store)
+        parsed = lambda df, origin: pysource.parse_modules(df.select("project_id", F.lit(origin).alias("origin"), "fqn", "is_package", "source"))
+        want, want_status = reach.expand(parsed(own, "project"), parsed(there, "dependency"), budget)
+        key = lambda df: sorted((r.project_id, r.fqn, r.parse_ok, str(r.definitions), str(r.calls)) for r in df.select("*").collect() if r.parse_ok)
+        assert key(deps) == key(want)
+        assert {(r.project_id, r.modules_parsed, r.complete) for r in status.collect()} == {(r.project_id, r.modules_parsed, r.complete) for r in want_status.collect()}
+        assert mine.count() == 5
+    held = {d for (d,) in store.held().select("digest").collect()}
+    digests = {r.fqn: r.d for r in there.select("fqn", parse_store.digest(F.col("source")).alias("d")).collect()}
+    assert digests["unused"] not in held and digests["pkg"] in held
+    whole = reach.expand_on_demand(own.limit(0), there, 5)
+    assert [df.count() for df in whole] == [0, 0, 0]
+
+
+def test_a_store_serves_later_runs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", False, "x = 1\n"), (2, "b.c", False, "x = 1\n"), (2, "d", True, "def f():\n    f()\n")], "project_id long, fqn string, is_package boolean, source string")
+    first = parse_store.ParseStore.of(rows, folder=str(tmp_path / "facts"))
+    out = {(r.project_id, r.fqn): r for r in first.parsed(parse_store.listed(rows)).collect()}
+    assert [d.fqn for d in out[2, "d"].definitions] == ["d", "d.f"] and out[2, "b.c"].definitions[0].fqn == "b.c" and first.held().count() == 2
+    later = parse_store.ParseStore.of(rows.limit(0), folder=str(tmp_path / "facts"))
+    again = {(r.project_id, r.fqn): r for r in later.parsed(parse_store.listed(rows)).collect()}
+    assert again == out and later.held().count() == 2
+
+
+def plain_verify(texts, symbol, depth=3):
+    facts = {m: pysource.symbols(t, m) for m, (t, _) in texts.items()}
+
+    def base(m, level):
+        parts = m.split(".")
+        keep = len(parts) - level + texts[m][1]
+        return ".".join(parts[:keep]) if keep > 0 else None
+
+    def find(s, left):
+        parts = s.split(".")
+        for cut in range(len(parts) - 1, 0, -1):
+            m, rest = ".".join(parts[:cut]), parts[cut:]
+            if left < 0 or m not in facts or not facts[m]["parse_ok"]:
+                continue
+            defs = {f: k for f, k, _ in facts[m]["definitions"]}
+            if s in defs:
+                return s
+            bound, wide = {}, []
+            for mod, name, alias, level in facts[m]["imports"]:
+                pre = mod if not level else ".".join(x for x in (base(m, level), mod) if x)
+                if name == "*":
+                    wide.append(pre)
+                elif mod is None and not level:
+                    bound[alias or name.split(".")[0]] = name if alias else name.split(".")[0]
+                else:
+                    bound[alias or name] = f"{pre}.{name}"
+            onward = [".".join([bound[rest[0]], *rest[1:]])] if rest[0] in bound else []
+            onward += [".".join([w, *rest]) for w in wide]
+            nested = [f for f, k in defs.items() if k in ("method", "function") and f.endswith("." + ".".join(rest))]
+            got = next((r for r in (find(x, left - 1) for x in onward) if r), None) or (nested[0] if len(nested) == 1 else None)
+            if got:
+                return got
+        return None
+
+    return find(symbol, depth)
+
+
+def test_symbols_are_found_as_a_plain_search_finds_them(spark):
+    texts = {
+        "pkg": ("from .core import load\nfrom .more import *\nfrom .ring import loop\nfrom .core import C as D\nimport pkg.a as short\n", True), "pkg.core": ("def load():\n    pass\nclass C:\n    def m(self):\n        pass\n    def both(self):\n        pass\nclass E:\n    def both(self):\n        pass\n", False),
+        "pkg.more": ("from .empty import *\nfrom .core import *\ndef wide():\n    pass\ndef load():\n    pass\n", False), "pkg.empty": ("", False), "pkg.ring": ("from . import loop\nfrom .ring2 import *\n", False), "pkg.ring2": ("from .ring import *\n", False), "pkg.bad": ("def (", False),
+        "pkg.a": ("from .b import deep\nfrom .b import *\n", True), "pkg.a.b": ("from .c import deep\n", True), "pkg.a.b.c": ("from .d import deep\n", True), "pkg.a.b.c.d": ("from .e import deep\n", True), "pkg.a.b.c.d.e": ("def deep():\n    pass\nclass deep2:\n    pass\n", True),
+    }
+    asked = ["pkg.load", "pkg.wide", "pkg.D.m", "pkg.core.m", "pkg.core.both", "pkg.both", "pkg.loop", "pkg.nope", "pkg.a.deep", "pkg.short.deep", "pkg.a.b.deep", "pkg.a.b.c.d.deep", "pkg.bad.x", "pkg", "other.x", "pkg.more.C.m", "pkg.core.core.m", "pkg.E.both"]
+    rows = spark.createDataFrame([(p, k, is_package, t) for p in (1, 2) for k, (t, is_package) in texts.items()], "project_id long, fqn string, is_package boolean, source string")
+    symbols = spark.createDataFrame([(p, s) for p in (1, 2) for s in asked] + [(9, "pkg.load")], "project_id long, symbol string")
+    want = {(p, s): plain_verify(texts, s) for p in (1, 2) for s in asked} | {(9, "pkg.load"): None}
+    assert len({v for v in want.values() if v}) == 5
+    parsed = pysource.parse_modules(rows.withColumn("origin", F.lit("dependency")))
+    for given in (parsed, reach.stored_modules(parse_store.listed(rows), parse_store.ParseStore.of(rows))):
+        assert {(r.project_id, r.symbol): r.resolved for r in reach.verify_symbols(symbols, given).collect()} == want
+    assert reach.verify_symbols(symbols.limit(0), parsed).count() == 0 and reach.verify_symbols(symbols, parsed.limit(0)).filter("resolved is not null").count() == 0

@@ -28,10 +28,14 @@ OUT = "project_id long, node string, dist int, pred string, via_speculative bool
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = sorted(set(pdf.loc[pdf.kind == "start", "src"]))
-    ahead = defaultdict(list)
+    ahead, tails, holders = defaultdict(list), defaultdict(list), defaultdict(list)
     for src, dst, spec in pdf.loc[pdf.kind == "edge", ["src", "dst", "spec"]].itertuples(index=False):
         ahead[src].append((bool(spec), dst))
+    for kind, into in (("caller", tails), ("holder", holders)):
+        for src, dst in pdf.loc[pdf.kind == kind, ["src", "dst"]].itertuples(index=False):
+            into[src].append(dst)
     seen = {s: (0, None, False) for s in starts}
+    met: set[str] = set()
     level, dist = starts, 0
     while level:
         dist += 1
@@ -40,6 +44,13 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
             for spec, dst in ahead[src]:
                 if dst not in seen and (dst not in best or (spec, src) < best[dst]):
                     best[dst] = (spec, src)
+        for src in level:  # in order, so the first caller of a tail is the least
+            for tail in tails[src]:
+                if tail not in met:
+                    met.add(tail)
+                    for dst in holders[tail]:
+                        if dst not in seen and (dst not in best or (True, src) < best[dst]):
+                            best[dst] = (True, src)
         for dst, (spec, src) in best.items():
             seen[dst] = (dist, src, spec)
         level = sorted(best)
@@ -78,31 +89,52 @@ def _dealt(sized: DataFrame, *tables: DataFrame, group_rows: int) -> tuple[list[
     return [t.join(large, "project_id", "left_anti") for t in tables], [t.join(large, "project_id", "left_semi") for t in tables]
 
 
-def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project", group_rows: int = GROUP_ROWS) -> DataFrame:
+Fans = tuple[DataFrame, DataFrame]
+
+
+def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project", group_rows: int = GROUP_ROWS, fans: Fans | None = None) -> DataFrame:
     """``project_id, node, dist, pred, via_speculative`` of every node in reach.
 
     ``edges(project_id, src, dst[, speculative])``, ``starts(project_id, node)``.
+    ``fans``: callers (project_id, src, tail) and holders (project_id, tail,
+    dst) stand for a guessed edge from each caller of a tail to each holder.
+    They are walked as one hop and never multiplied out: the first level that
+    meets a tail reaches all its holders, from its least caller there.
     """
     if strategy == "auto":
-        small, large = _dealt(edges, edges, starts, group_rows=group_rows)
-        walked = bfs(*small, "project")
-        return walked if large is None else walked.unionByName(bfs(*large, "frontier"))
+        sized = edges.select("project_id")
+        for f in fans or ():
+            sized = sized.unionAll(f.select("project_id"))
+        small, large = _dealt(sized, edges, starts, *(fans or ()), group_rows=group_rows)
+        walk = lambda t, how: bfs(t[0], t[1], how, fans=(t[2], t[3]) if fans else None)
+        walked = walk(small, "project")
+        return walked if large is None else walked.unionByName(walk(large, "frontier"))
     spec = F.col("speculative") if "speculative" in edges.columns else F.lit(False)
     links = edges.select("project_id", "src", "dst", spec.alias("spec"))
     if strategy == "project":
-        rows = links.select(F.col("project_id").cast("long"), "src", "dst", "spec", F.lit("edge").alias("kind")).unionAll(
-            starts.select(F.col("project_id").cast("long"), F.col("node"), F.lit(None).cast("string"), F.lit(False), F.lit("start"))
-        )
+        row = lambda df, src, dst, kind: df.select(F.col("project_id").cast("long"), F.col(src), dst, F.lit(False), F.lit(kind))
+        rows = links.select(F.col("project_id").cast("long"), "src", "dst", "spec", F.lit("edge").alias("kind")).unionAll(row(starts, "node", F.lit(None).cast("string"), "start"))
+        if fans:
+            rows = rows.unionAll(row(fans[0], "src", F.col("tail"), "caller")).unionAll(row(fans[1], "tail", F.col("dst"), "holder"))
         return rows.groupBy("project_id").applyInPandas(_walk, OUT)
     if strategy != "frontier":
         raise ValueError(strategy)
     links = checkpointed(links.groupBy("project_id", "src", "dst").agg(F.bool_and("spec").alias("spec")))
+    callers, holders = (f.distinct() for f in fans) if fans else (None, None)
     front = starts.select(F.col("project_id").cast("long").alias("project_id"), "node").distinct()
     front = checkpointed(front.select("project_id", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("pred"), F.lit(False).alias("via_speculative")))
-    levels, dist = [front], 0
+    levels, met, dist = [front], [], 0
     while not front.isEmpty():
         dist += 1
-        step = front.select("project_id", F.col("node").alias("src")).join(links, ["project_id", "src"])
+        here = front.select("project_id", F.col("node").alias("src"))
+        step = here.join(links, ["project_id", "src"]).select("project_id", "dst", "spec", "src")
+        if fans:
+            led = here.join(callers, ["project_id", "src"]).groupBy("project_id", "tail").agg(F.min("src").alias("src"))
+            if met:
+                led = led.join(reduce(DataFrame.unionAll, met), ["project_id", "tail"], "left_anti")
+            led = checkpointed(led)
+            met = [checkpointed(reduce(DataFrame.unionAll, [*met, led.select("project_id", "tail")]))] if len(met) > LEVELS else [*met, led.select("project_id", "tail")]
+            step = step.unionAll(led.join(holders, ["project_id", "tail"]).select("project_id", "dst", F.lit(True), "src"))
         best = step.groupBy("project_id", F.col("dst").alias("node")).agg(F.min(F.struct("spec", "src")).alias("b"))
         fresh = best.join(reduce(DataFrame.unionByName, levels).select("project_id", "node"), ["project_id", "node"], "left_anti")
         front = checkpointed(fresh.select("project_id", "node", F.lit(dist).alias("dist"), F.col("b.src").alias("pred"), F.col("b.spec").alias("via_speculative")))
@@ -113,20 +145,25 @@ def bfs(edges: DataFrame, starts: DataFrame, strategy: str = "project", group_ro
 
 
 def _traced(targets: DataFrame, reach: DataFrame) -> DataFrame:
-    """Paths by one join a hop, for graphs too large for a task."""
-    back = reach.select("project_id", F.col("node").alias("at"), F.col("pred").alias("next"), F.coalesce("via_speculative", F.lit(False)).alias("guess"))
-    ahead = targets.distinct().select("project_id", "node", F.col("node").alias("at"), F.array().cast("array<string>").alias("path"), F.lit(False).alias("speculative"))
-    done = []
-    while not done or not ahead.isEmpty():
-        moved = checkpointed(
-            ahead.join(back, ["project_id", "at"])
-            .select("project_id", "node", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path"), (F.col("speculative") | F.col("guess")).alias("speculative"))
-        )
-        done.append(moved.filter("at is null").drop("at"))
-        ahead = moved.filter("at is not null")
-        if len(done) > LEVELS:
-            done = [checkpointed(reduce(DataFrame.unionByName, done))]
-    return reduce(DataFrame.unionByName, done)
+    """Paths by pointers that double their reach, for graphs too large for a task.
+
+    After round k every node points 2^k predecessors back, and each target
+    holds its nearest 2^k ancestors; a path of n hops takes log2(n) + 1 rounds
+    of joins on scalars.  A node's distance is its place on the path.
+    """
+    rows = checkpointed(reach.select("project_id", "node", "dist", "pred", F.coalesce("via_speculative", F.lit(False)).alias("guess")))
+    back = rows.filter("pred is not null").select("project_id", "node", F.col("pred").alias("far"))
+    held = targets.distinct().join(rows.select("project_id", "node"), ["project_id", "node"], "left_semi").select("project_id", "node", F.col("node").alias("at"))
+    while True:
+        ahead = held.join(back.withColumnRenamed("node", "at"), ["project_id", "at"]).select("project_id", "node", F.col("far").alias("at"))
+        ahead = checkpointed(ahead)
+        if ahead.isEmpty():
+            break
+        held = checkpointed(held.unionAll(ahead))
+        back = checkpointed(back.join(back.select("project_id", F.col("node").alias("far"), F.col("far").alias("further")), ["project_id", "far"]).select("project_id", "node", F.col("further").alias("far")))
+    full = held.join(rows.select("project_id", F.col("node").alias("at"), "dist", "guess"), ["project_id", "at"])
+    out = full.groupBy("project_id", "node").agg(F.array_sort(F.collect_list(F.struct("dist", "at"))).alias("p"), F.bool_or("guess").alias("speculative"))
+    return out.select("project_id", "node", F.transform("p", lambda x: x["at"]).alias("path"), "speculative")
 
 
 def evidence(reach: DataFrame, targets: DataFrame, strategy: str = "project", group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -156,7 +193,7 @@ def evidence(reach: DataFrame, targets: DataFrame, strategy: str = "project", gr
 
     schema = "project_id long, node string, path array<string>, speculative boolean"
     wanted = targets.select(F.col("project_id").cast("long").alias("project_id"), F.col("node").alias("node"))
-    steps = reach.select(F.col("project_id").cast("long").alias("project_id"), F.col("node").alias("node"), F.col("pred").alias("pred"), F.col("via_speculative").alias("via_speculative"))
+    steps = reach.select(F.col("project_id").cast("long").alias("project_id"), F.col("node").alias("node"), F.col("dist").alias("dist"), F.col("pred").alias("pred"), F.col("via_speculative").alias("via_speculative"))
     if strategy == "frontier":
         return _traced(wanted, steps)
     return wanted.groupBy("project_id").cogroup(steps.groupBy("project_id")).applyInPandas(chain, schema)

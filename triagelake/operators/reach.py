@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from triagelake.functions.names import module_splits
 
 from . import pysource
-from .graph import bfs, checkpointed, evidence
+from .graph import Fans, bfs, checkpointed, evidence
 from .parse_store import ParseStore, listed
 from .resolve import import_table, owners, resolve, stars
 
@@ -152,10 +152,10 @@ def verify_symbols(symbols: DataFrame, installed: DataFrame | Lookup, depth: int
     return symbols.select("project_id", "symbol").distinct().join(known.withColumnRenamed("value", "resolved"), ["project_id", "symbol"], "left")
 
 
-def reach_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reach_index(nodes: DataFrame, edges: DataFrame, fans: Fans | None = None) -> tuple[DataFrame, DataFrame]:
     """Reach from all project definitions, and flags of each project: has_code, blind."""
     starts = nodes.filter("origin = 'project' and kind <> 'external'").select("project_id", F.col("fqn").alias("node"))
-    reach = checkpointed(bfs(edges, starts, "auto"))
+    reach = checkpointed(bfs(edges, starts, "auto", fans=fans))
     seen = reach.join(nodes.select("project_id", F.col("fqn").alias("node"), "dynamic", "unresolved"), ["project_id", "node"], "left")
     blind = seen.groupBy("project_id").agg(F.bool_or(F.coalesce(F.col("dynamic") | F.col("unresolved"), F.lit(False))).alias("blind"))
     flags = nodes.select("project_id").distinct().join(blind, "project_id", "left")
@@ -192,13 +192,13 @@ def package_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, ind
     return rows.withColumns({"verdict": verdict, "confidence": confidence}).drop("has_code", "blind", "n_owned", "node", "speculative")
 
 
-def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
+def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, status: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Narrow package verdicts by verified symbols (``symbols``: array, NULL or empty for none).
 
     A reached symbol proves; absence proves only if every symbol is in the
     graph, expansion is complete, and nothing reached is a blind spot.
     """
-    index = reach_index(nodes, edges)
+    index = index or reach_index(nodes, edges)
     base = package_verdict(findings, nodes, edges, index).withColumnRenamed("path", "package_path").join(index[1].select("project_id", "blind"), "project_id", "left")
     reach = index[0]
     asked = findings.select("project_id", "finding_id", F.explode("symbols").alias("node"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.names import prefixes
 
 from . import pysource
-from .graph import checkpointed
+from .graph import Fans, checkpointed
 
 EDGE_RANK = {"calls": 0, "inherits": 1, "alias": 2, "imports": 3}
 KEYS = ["project_id", "module"]
@@ -52,13 +54,11 @@ def owners(targets: DataFrame, modules: DataFrame, column: str = "target") -> Da
     return found.groupBy("project_id", "target").agg(F.max_by("owner", F.length("owner")).alias("owner"))
 
 
-def resolve(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
-    """Sites ``(project_id, origin, module, caller, name)`` with their targets.
+def exact(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
+    """Sites ``(project_id, origin, module, caller, name)`` with ``exact`` (NULL for none) and ``tail``.
 
     In order: an imported head, a definition of the module, a definition of
-    that very name, else every other definition with the same last part (a
-    guess).  A site without any target keeps a NULL.  The last step is an
-    equi-join on the tail; adaptive execution splits hot tails.
+    that very name.
     """
     known = defs.select("project_id", "fqn").distinct()
     head, rest = F.substring_index("name", ".", 1), F.expr("substring(name, length(substring_index(name, '.', 1)) + 1)")
@@ -67,8 +67,18 @@ def resolve(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
     mine = known.select("project_id", F.col("fqn").alias("here"), F.lit(True).alias("is_here"))
     rows = rows.withColumn("here", F.concat("module", F.lit("."), "name")).join(mine, ["project_id", "here"], "left")
     rows = rows.join(known.select("project_id", F.col("fqn").alias("name"), F.lit(True).alias("is_named")), ["project_id", "name"], "left")
-    exact = F.coalesce("imported", F.when(F.col("is_here"), F.col("here")), F.when(F.col("is_named"), F.col("name")))
-    rows = rows.withColumn("exact", exact).select(*sites.columns, "exact", F.element_at(F.split("name", r"\."), -1).alias("tail"))
+    found = F.coalesce("imported", F.when(F.col("is_here"), F.col("here")), F.when(F.col("is_named"), F.col("name")))
+    return rows.withColumn("exact", found).select(*sites.columns, "exact", F.element_at(F.split("name", r"\."), -1).alias("tail"))
+
+
+def resolve(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
+    """Sites with their targets: the exact one, else every other definition with the same last part (a guess).
+
+    A site without any target keeps a NULL.  The last step makes a row for each
+    pair of a site and a definition of its tail; ``build_fans`` keeps the two
+    apart, for tails that thousands hold.
+    """
+    rows = exact(sites, imports, defs)
     tails = defs.select("project_id", "tail", F.col("fqn").alias("guess")).distinct()
     open_rows = rows.filter("exact is null")
     guessed = open_rows.join(tails, ["project_id", "tail"], "left").withColumn("guess", F.when(F.col("guess") != F.col("caller"), F.col("guess")))
@@ -92,6 +102,30 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id", "src", "dst").agg(F.min_by("kind", rank).alias("kind"), F.bool_and("speculative").alias("speculative"))
 
 
+def _linked(good: DataFrame, defs: DataFrame, imports: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Edges of imports, aliases and starred names, and imported names that no module owns."""
+    linked = imports.join(owners(imports, good), ["project_id", "target"], "left")
+    out = [linked.filter("owner is not null and owner <> module").select("project_id", F.col("module").alias("src"), F.col("owner").alias("dst"), F.lit("imports").alias("kind"), F.lit(False).alias("speculative"))]
+    alias = F.concat("module", F.lit("."), "local")
+    out.append(imports.filter("origin = 'dependency'").filter(alias != F.col("target")).select("project_id", alias.alias("src"), F.col("target").alias("dst"), F.lit("alias").alias("kind"), F.lit(False).alias("speculative")))
+    public = defs.filter("kind <> 'module'").select("project_id", F.col("fqn").alias("dst"), "tail", F.expr("substring(fqn, 1, length(fqn) - length(tail) - 1)").alias("source")).filter("not startswith(tail, '_')")
+    facade = stars(good).filter("origin = 'dependency'").join(public, ["project_id", "source"]).withColumn("src", F.concat("module", F.lit("."), "tail"))
+    out.append(facade.filter("src <> dst").select("project_id", "src", "dst", F.lit("alias").alias("kind"), F.lit(False).alias("speculative")))
+    return out, linked.filter("owner is null").select("project_id", F.col("target").alias("fqn"))
+
+
+def _graph(defs: DataFrame, parts: list[DataFrame], lone: DataFrame, blind: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and merged edges; ``blind(project_id, fqn)`` marks callers of a dotted name that leads nowhere."""
+    edges = checkpointed(merge_edges(reduce(DataFrame.unionAll, parts)))
+    last = F.struct(F.col("origin") == "dependency", "line", "kind")  # a name defined again is what its last definition says
+    own = defs.groupBy("project_id", "fqn").agg(F.max_by("kind", last).alias("kind"), F.max_by("origin", last).alias("origin"), F.bool_or("dynamic").alias("dynamic"))
+    ends = edges.select("project_id", F.explode(F.array("src", "dst")).alias("fqn")).unionAll(lone).distinct().join(own, ["project_id", "fqn"], "left_anti")
+    outer = ends.select("project_id", "fqn", F.lit("external").alias("kind"), F.lit("absent").alias("origin"), F.lit(False).alias("dynamic"))
+    marks = blind.select("project_id", "fqn", F.lit(True).alias("unresolved")).distinct()
+    nodes = own.unionByName(outer).join(marks, ["project_id", "fqn"], "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
+    return checkpointed(nodes), edges
+
+
 def build(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all modules, project and dependency ones.
 
@@ -100,31 +134,39 @@ def build(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     good = checkpointed(parsed.filter("parse_ok"))  # parsed once, read by every join below
     defs, imports = pysource.definitions(good), import_table(good)
+    out, lone = _linked(good, defs, imports)
     known = defs.select("project_id", F.col("fqn").alias("dst")).distinct()
-    owned = owners(imports, good)
-    linked = imports.join(owned, ["project_id", "target"], "left")
-    out = [linked.filter("owner is not null and owner <> module").select("project_id", F.col("module").alias("src"), F.col("owner").alias("dst"), F.lit("imports").alias("kind"), F.lit(False).alias("speculative"))]
-    alias = F.concat("module", F.lit("."), "local")
-    out.append(imports.filter("origin = 'dependency'").filter(alias != F.col("target")).select("project_id", alias.alias("src"), F.col("target").alias("dst"), F.lit("alias").alias("kind"), F.lit(False).alias("speculative")))
-    public = defs.filter("kind <> 'module'").select("project_id", F.col("fqn").alias("dst"), "tail", F.expr("substring(fqn, 1, length(fqn) - length(tail) - 1)").alias("source")).filter("not startswith(tail, '_')")
-    facade = stars(good).filter("origin = 'dependency'").join(public, ["project_id", "source"]).withColumn("src", F.concat("module", F.lit("."), "tail"))
-    out.append(facade.filter("src <> dst").select("project_id", "src", "dst", F.lit("alias").alias("kind"), F.lit(False).alias("speculative")))
     base = resolve(pysource.bases(good), imports, defs).withColumnRenamed("target", "dst").join(known, ["project_id", "dst"], "left_semi")
     out.append(base.select("project_id", F.col("caller").alias("src"), "dst", F.lit("inherits").alias("kind"), "speculative"))
     called = resolve(pysource.calls(good).drop("line", "pos").distinct(), imports, defs)
     out.append(called.filter("target is not null").select("project_id", F.col("caller").alias("src"), F.col("target").alias("dst"), F.lit("calls").alias("kind"), "speculative"))
-    edges = out[0]
-    for e in out[1:]:
-        edges = edges.unionAll(e)
-    edges = merge_edges(edges)
-    blind = called.filter("target is null and contains(name, '.') and origin = 'project'").select("project_id", F.col("caller").alias("fqn"), F.lit(True).alias("unresolved")).distinct()
-    last = F.struct(F.col("origin") == "dependency", "line", "kind")  # a name defined again is what its last definition says
-    own = defs.groupBy("project_id", "fqn").agg(F.max_by("kind", last).alias("kind"), F.max_by("origin", last).alias("origin"), F.bool_or("dynamic").alias("dynamic"))
-    lone = linked.filter("owner is null").select("project_id", F.col("target").alias("fqn"))
-    ends = edges.select("project_id", F.explode(F.array("src", "dst")).alias("fqn")).unionAll(lone).distinct().join(own, ["project_id", "fqn"], "left_anti")
-    outer = ends.select("project_id", "fqn", F.lit("external").alias("kind"), F.lit("absent").alias("origin"), F.lit(False).alias("dynamic"))
-    nodes = own.unionByName(outer).join(blind, ["project_id", "fqn"], "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
-    return checkpointed(nodes), checkpointed(edges)
+    blind = called.filter("target is null and contains(name, '.') and origin = 'project'").select("project_id", F.col("caller").alias("fqn"))
+    return _graph(defs, out, lone, blind)
+
+
+def build_fans(parsed: DataFrame) -> tuple[DataFrame, DataFrame, Fans]:
+    """``build`` whose guesses are not multiplied out: nodes, sure edges, and the fans that ``bfs`` walks.
+
+    Callers (project_id, src, tail) and holders (project_id, tail, dst) of the
+    tails that calls and bases could not resolve: rows grow with the sum of
+    callers and definitions of a tail, not with their product.
+    """
+    good = checkpointed(parsed.filter("parse_ok"))
+    defs, imports = pysource.definitions(good), import_table(good)
+    out, lone = _linked(good, defs, imports)
+    known = defs.select("project_id", F.col("fqn").alias("dst")).distinct()
+    sites = [("inherits", pysource.bases(good)), ("calls", pysource.calls(good).drop("line", "pos"))]
+    rows = checkpointed(reduce(DataFrame.unionByName, (exact(df.distinct(), imports, defs).withColumn("kind", F.lit(kind)) for kind, df in sites)))
+    sure = rows.filter("exact is not null").select("project_id", F.col("caller").alias("src"), F.col("exact").alias("dst"), "kind", F.lit(False).alias("speculative"))
+    out += [sure.filter("kind = 'inherits'").join(known, ["project_id", "dst"], "left_semi").select(sure.columns), sure.filter("kind = 'calls'")]
+    tails = defs.select("project_id", "tail", "fqn").distinct()
+    size = tails.groupBy("project_id", "tail").agg(F.count(F.lit(1)).alias("n"))
+    mine = tails.select("project_id", "tail", F.col("fqn").alias("caller"), F.lit(1).alias("own"))
+    loose = rows.filter("exact is null").join(size, ["project_id", "tail"], "left").join(mine, ["project_id", "tail", "caller"], "left").withColumn("others", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0)))
+    callers = checkpointed(loose.filter("others > 0").select("project_id", F.col("caller").alias("src"), "tail").distinct())
+    holders = checkpointed(tails.join(callers.select("project_id", "tail").distinct(), ["project_id", "tail"], "left_semi").select("project_id", "tail", F.col("fqn").alias("dst")))
+    blind = loose.filter("kind = 'calls' and others = 0 and contains(name, '.') and origin = 'project'").select("project_id", F.col("caller").alias("fqn"))
+    return *_graph(defs, out, lone, blind), (callers, holders)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, parsed: DataFrame) -> DataFrame:

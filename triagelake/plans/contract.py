@@ -561,6 +561,23 @@ def evidence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", "node", F.size("path").alias("hops"), "speculative")
 
 
+@query("""
+WITH t AS (SELECT p_partkey % 10 AS p, p_partkey // 10 AS j FROM part), m AS (SELECT p, min(j) AS least FROM t GROUP BY p)
+SELECT strategy, r.* FROM (
+  SELECT p AS project_id, 'a' || j || '.f' AS node, 0 AS dist, CAST(NULL AS VARCHAR) AS pred FROM t WHERE j % 3 = 0
+  UNION ALL SELECT t.p, 'b' || j || '.C.go', 1, (SELECT min('a' || x.j || '.f') FROM t x WHERE x.p = t.p AND x.j % 3 = 0) FROM t
+  UNION ALL SELECT t.p, 'b' || j || '.stop', 2, (SELECT min('b' || x.j || '.C.go') FROM t x WHERE x.p = t.p) FROM t) r, (VALUES ('project'), ('frontier')) s(strategy)""")
+def tail_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks over tails that many callers and many definitions share, by both strategies, no pair of them made."""
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS project_id", "p_partkey div 10 AS j")
+    module = lambda head, text: t.select("project_id", F.lit("project").alias("origin"), F.concat(F.lit(head), "j").alias("fqn"), F.lit(False).alias("is_package"), F.lit(text).alias("source"))
+    parsed = pysource.parse_modules(module("a", "def f():\n    x.go()\n").unionAll(module("b", "class C:\n    def go(self):\n        self.y.stop()\n\ndef stop():\n    pass\n")))
+    _, edges, fans = resolve.build_fans(parsed)
+    starts = t.filter("j % 3 = 0").select("project_id", F.concat(F.lit("a"), "j", F.lit(".f")).alias("node"))
+    out = [graph.bfs(edges, starts, how, fans=fans).withColumn("strategy", F.lit(how)) for how in ("project", "frontier")]
+    return out[0].unionByName(out[1]).select("strategy", "project_id", "node", "dist", "pred")
+
+
 @query(f"""
 WITH RECURSIVE t AS ({TREE}), w AS (SELECT p, CAST(0 AS BIGINT) AS j, 1 AS d FROM (SELECT DISTINCT p FROM t) UNION SELECT t.p, t.j, d + 1 FROM w JOIN t ON w.p = t.p AND w.j % 3 <> 2 AND t.j IN (2 * w.j + 1, 2 * w.j + 2)),
 b AS (SELECT * FROM (VALUES (50), (2000)) b(budget)), c AS (SELECT p, d, count(*) AS n FROM w GROUP BY ALL),

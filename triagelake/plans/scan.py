@@ -167,12 +167,12 @@ def with_fixes(merged: DataFrame, asked: DataFrame, sets: DataFrame, releases: D
 
 def scan_findings(
     parsed: DataFrame, answers: DataFrame, bodies: DataFrame, releases: DataFrame, metadata: DataFrame,
-    floor: str | None = None, import_names: DataFrame | None = None, graph: tuple[DataFrame, DataFrame] | None = None, symbols: DataFrame | None = None, status: DataFrame | None = None,
+    floor: str | None = None, import_names: DataFrame | None = None, graph: tuple | None = None, symbols: DataFrame | None = None, status: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked findings, and each package's state.
 
     ``parsed``: lockfiles (project_id, status, entries).  With ``graph`` (nodes
-    and edges) and ``import_names`` (project_id, distribution, import_name)
+    and edges, of ``build``, and fans if it comes from ``build_fans``) and ``import_names`` (project_id, distribution, import_name)
     verdicts come from reach, narrowed by ``symbols`` (project_id, advisory_id,
     symbols, and the package's name if it matters) where ``status`` (project_id,
     complete) is given; without them every verdict is unknown.
@@ -197,7 +197,7 @@ def scan_findings(
         slim = slim.withColumns({"verdict": F.lit("unknown"), "confidence": F.lit("low"), "reason_code": F.lit("no_project_code")})
     elif symbols is None or status is None:
         names = import_names.select("project_id", F.col("distribution").alias("finding_id"), F.col("import_name").alias("n")).distinct()
-        judged = reach.package_verdict(slim.select("project_id", F.col("name").alias("finding_id")).distinct(), *graph, names=names)
+        judged = reach.package_verdict(slim.select("project_id", F.col("name").alias("finding_id")).distinct(), *graph[:2], reach.reach_index(*graph), names)
         judged = checkpointed(judged.withColumnRenamed("finding_id", "name"))  # once a package, whatever its findings
         slim = slim.join(judged.drop("path"), ["project_id", "name"])
         paths, by = judged.filter("path is not null").select("project_id", "name", "path"), ["project_id", "name"]
@@ -205,7 +205,7 @@ def scan_findings(
         by = ["project_id", *KEYS[1:], "advisory_id"]
         names = import_names.groupBy("project_id", F.col("distribution").alias("name")).agg(F.array_sort(F.collect_set("import_name")).alias("import_names"))
         asked = slim.select(*by).join(names, ["project_id", "name"], "left").join(symbols, [k for k in ("project_id", "name", "advisory_id") if k in symbols.columns], "left").withColumn("finding_id", F.struct("name", "version", "advisory_id"))
-        judged = checkpointed(reach.symbol_verdict(asked, *graph, status).select(*by, "verdict", "confidence", "reason_code", "path"))
+        judged = checkpointed(reach.symbol_verdict(asked, *graph[:2], status, reach.reach_index(*graph)).select(*by, "verdict", "confidence", "reason_code", "path"))
         slim = slim.join(judged.drop("path"), by)
         paths = judged.filter("path is not null").select(*by, "path")
     slim = findings.ranked(slim.withColumn("package", F.col("name")))
@@ -254,7 +254,7 @@ def scan_sources(
     store = store or ParseStore.of(project, installed)
     own, deps, status = reach.expand_on_demand(project, installed, budget, store)
     sources = checkpointed(own.unionByName(deps))
-    graph = resolve.build(sources)
+    graph = resolve.build_fans(sources)
     checked = None
     if extracted is not None:
         checked = checkpointed(verified_symbols(parsed, extracted, import_names, installed, store))
