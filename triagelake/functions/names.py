@@ -76,9 +76,13 @@ def module_splits(symbol: Column) -> Column:
     return F.when(n >= 2, made).otherwise(F.array().cast("array<struct<module:string,attribute:string>>"))
 
 
+#: One identifier: letters of any script, their marks and digits (UAX 31).
+IDENTIFIER = r"[_\p{javaUnicodeIdentifierStart}][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\u00B7\u0387]*"
+
+
 def plausible_symbol(symbol: Column, heads: Column) -> Column:
-    """At least two identifier parts, the first among the distribution's import names."""
-    return symbol.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$") & F.array_contains(heads, F.substring_index(symbol, ".", 1))
+    """At least two identifier parts and nothing else, the first among the distribution's import names."""
+    return symbol.rlike(rf"\A{IDENTIFIER}(\.{IDENTIFIER})+\z") & F.array_contains(heads, F.substring_index(symbol, ".", 1))
 
 
 def fetchable(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.names import severity_rank
+from triagelake.functions.names import normalise, severity_rank
 
 BAR = 20
 
@@ -56,10 +56,46 @@ def scanner_parity(theirs: DataFrame, ours: DataFrame) -> DataFrame:
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("missed")).unionAll(b.join(a, keys, "left_anti").withColumn("side", F.lit("extra")))
 
 
-def fail_gate(findings: DataFrame, fail_on: str) -> DataFrame:
-    """Exit code of each project: 1 where the gate (never, any, reachable) is met."""
+def parity_report(theirs: DataFrame, ours: DataFrame, state: DataFrame) -> DataFrame:
+    """One row a project: status, and how the CVE and package sets of two scanners differ.
+
+    ``theirs`` and ``ours``: project_id, package, id, aliases; ``state``:
+    project_id, status.  An incomplete scan can't be compared, so a project
+    with an unqueried package is ``skipped`` and proves nothing; a CVE that only
+    they report is a failure; other differences are notes.
+    """
+    unqueried = state.groupBy("project_id").agg(F.count_if(F.col("status") == "failed").alias("unqueried"))
+    cves = scanner_parity(theirs, ours).groupBy("project_id").agg(F.count_if(F.col("side") == "missed").alias("missed"), F.count_if(F.col("side") == "extra").alias("extra"))
+    named = lambda df, side: df.select("project_id", normalise(F.col("package")).alias("package"), F.lit(side).alias("side"))
+    seen = named(theirs, 1).unionAll(named(ours, 2)).distinct().groupBy("project_id", "package").agg(F.sum("side").alias("sides"))
+    packages = seen.groupBy("project_id").agg(F.count_if(F.col("sides") == 1).alias("packages_missed"), F.count_if(F.col("sides") == 2).alias("packages_extra"))
+    records = theirs.groupBy("project_id").agg(F.count(F.lit(1)).alias("records"))
+    every = theirs.select("project_id").unionAll(ours.select("project_id")).unionAll(state.select("project_id")).distinct()
+    for t in (unqueried, cves, packages, records):
+        every = every.join(t, "project_id", "left")
+    rows = every.fillna(0)
+    status = F.when(F.col("unqueried") > 0, "skipped").when(F.col("missed") > 0, "failed").otherwise("passed")
+    return rows.withColumn("status", status).withColumn("exit_code", F.when(F.col("status") == "failed", 1).otherwise(0))
+
+
+GATES = ("never", "any", "reachable")
+
+
+def fail_gate(findings: DataFrame, fail_on: str, parsed: DataFrame | None = None) -> DataFrame:
+    """Exit code of each project: 2 without a usable lockfile, 1 where the gate (never, any, reachable) is met, else 0.
+
+    ``parsed`` (project_id, status) names all projects that were asked for,
+    those without findings too; without it only projects with findings have a
+    row.  Another gate is a mistake of the caller and raises.
+    """
+    if fail_on not in GATES:
+        raise ValueError(f"fail_on is one of {', '.join(GATES)}")
     hit = {"never": F.lit(False), "any": F.lit(True), "reachable": F.col("verdict") == "reachable"}[fail_on]
-    return findings.groupBy("project_id").agg(F.max(F.when(hit, 1).otherwise(0)).alias("exit_code"))
+    met = findings.groupBy("project_id").agg(F.max(F.when(hit, 1).otherwise(0)).alias("exit_code"))
+    if parsed is None:
+        return met
+    rows = parsed.groupBy("project_id").agg(F.bool_and(F.col("status") == "ok").alias("ok")).join(met, "project_id", "left")
+    return rows.select("project_id", F.when(F.col("ok"), F.coalesce("exit_code", F.lit(0))).otherwise(2).alias("exit_code"))
 
 
 def scan_summary(queried: DataFrame, findings: DataFrame) -> DataFrame:

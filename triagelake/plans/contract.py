@@ -16,7 +16,7 @@ from triagelake.functions import names as N
 from triagelake.functions import versions as V
 from triagelake.operators import advisories as A
 from triagelake.operators import findings as R
-from triagelake.operators import fixes, graph, packages, patches, pysource, reach, resolve, version_ranks
+from triagelake.operators import extraction, fixes, graph, packages, patches, pysource, reach, resolve, version_ranks
 from triagelake.operators.graph import checkpointed
 from triagelake.operators.parse_store import ParseStore, listed
 from triagelake.plans import scan
@@ -264,9 +264,8 @@ WITH m AS (SELECT max(ts) AS now FROM events), x AS (SELECT user_id, event_type,
 SELECT user_id, event_type, event_id, ts FROM x, m WHERE r = 1 AND ts >= now - INTERVAL 24 HOURS""")
 def query_cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
-    now = e.agg(F.max("ts").alias("now"))
-    rows = cache.newest(e, ["user_id", "event_type"], "ts", "event_id").join(F.broadcast(now))  # one row
-    return rows.filter(c("ts") >= c("now") - F.expr("INTERVAL 24 HOURS")).drop("now")
+    now = e.agg(F.max("ts")).first()[0]
+    return cache.fresh(e, ["user_id", "event_type"], F.lit(now), "ts", "event_id")
 
 
 # packages
@@ -447,6 +446,19 @@ def fail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fail_gate(_findings(spark, sf_dir).filter(~R.suppressible(c("verdict"))), "reachable")
 
 
+@query(FINDINGS_SQL + """,
+a AS (SELECT project_id, max(CASE WHEN vr = 0 THEN 1 ELSE 0 END) AS reachable FROM findings WHERE vr <> 2 GROUP BY 1), l AS (SELECT DISTINCT p_partkey % 60 AS project_id FROM part)
+SELECT gate, project_id, CAST(CASE WHEN project_id % 9 = 4 THEN 2 WHEN gate = 'never' THEN 0 WHEN gate = 'any' THEN CASE WHEN reachable IS NULL THEN 0 ELSE 1 END ELSE coalesce(reachable, 0) END AS INTEGER) AS exit_code
+FROM l LEFT JOIN a USING (project_id), (VALUES ('never'), ('any'), ('reachable')) g(gate)""")
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates over projects with findings, without any, and without a usable lockfile."""
+    found = _findings(spark, sf_dir).filter("verdict <> 'not_reachable'")
+    status = F.when(c("project_id") % 9 == 4, F.lit("not_toml")).otherwise("ok")
+    parsed = table(spark, sf_dir, "part").select((c("p_partkey") % 60).alias("project_id")).distinct().withColumn("status", status)
+    out = [R.fail_gate(found, gate, parsed).withColumn("gate", F.lit(gate)) for gate in R.GATES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("""
 WITH a AS (SELECT DISTINCT p_partkey % 7 AS project_id, 'CVE-' || p_partkey % 300 AS cve FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_partkey % 7, 'CVE-9-' || p_partkey FROM part WHERE p_partkey % 10 = 0),
 b AS (SELECT DISTINCT p_partkey % 7 AS project_id, 'CVE-' || p_partkey % 300 AS cve FROM part WHERE p_partkey % 3 = 0)
@@ -459,6 +471,44 @@ def scanner_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scanner_parity(theirs, ours)
 
 
+@query("""
+WITH s AS (SELECT p_partkey AS k, p_partkey % 7 AS p FROM part),
+a AS (SELECT DISTINCT p, 'CVE-' || k % 300 AS cve FROM s WHERE k % 2 = 0 AND p <> 3), b AS (SELECT DISTINCT p, 'CVE-' || k % 300 AS cve FROM s WHERE k % 3 = 0 OR p = 2),
+pa AS (SELECT DISTINCT p, k % 20 AS n FROM s WHERE k % 2 = 0 AND p <> 3), pb AS (SELECT DISTINCT p, k % 20 AS n FROM s WHERE k % 3 = 0 OR p = 2),
+m AS (SELECT p, count(*) AS missed FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY p), x AS (SELECT p, count(*) AS extra FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY p),
+pm AS (SELECT p, count(*) AS packages_missed FROM (SELECT * FROM pa EXCEPT SELECT * FROM pb) GROUP BY p), px AS (SELECT p, count(*) AS packages_extra FROM (SELECT * FROM pb EXCEPT SELECT * FROM pa) GROUP BY p),
+r AS (SELECT p, count(*) AS records FROM s WHERE k % 2 = 0 AND p <> 3 GROUP BY p), u AS (SELECT p, count(*) FILTER (WHERE p = 5 AND k % 50 = 5) AS unqueried FROM s GROUP BY p),
+z AS (SELECT p, unqueried, coalesce(missed, 0) AS missed, coalesce(extra, 0) AS extra, coalesce(packages_missed, 0) AS packages_missed, coalesce(packages_extra, 0) AS packages_extra, coalesce(records, 0) AS records
+  FROM u LEFT JOIN m USING (p) LEFT JOIN x USING (p) LEFT JOIN pm USING (p) LEFT JOIN px USING (p) LEFT JOIN r USING (p))
+SELECT p AS project_id, z.* EXCLUDE (p), CASE WHEN unqueried > 0 THEN 'skipped' WHEN missed > 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN unqueried = 0 AND missed > 0 THEN 1 ELSE 0 END AS exit_code FROM z""")
+def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scanners over projects that agree, differ, miss, have nothing, or could not be asked."""
+    s = table(spark, sf_dir, "part").select(c("p_partkey").alias("k"), (c("p_partkey") % 7).alias("project_id"), F.concat(F.lit("CVE-"), c("p_partkey") % 300).alias("cve"))
+    theirs = s.filter("k % 2 = 0 AND project_id <> 3").select("project_id", F.concat(F.lit("Pkg_"), c("k") % 20).alias("package"), c("cve").alias("id"), F.array(F.lit("GHSA-x")).alias("aliases"))
+    ours = s.filter("k % 3 = 0 OR project_id = 2").select("project_id", F.concat(F.lit("pkg-"), c("k") % 20).alias("package"), F.lit("GHSA-y").alias("id"), F.array("cve").alias("aliases"))
+    state = s.select("project_id", F.when((c("project_id") == 5) & (c("k") % 50 == 5), "failed").otherwise("ok").alias("status"))
+    return R.parity_report(theirs, ours, state)
+
+
+@query("""
+WITH q AS (SELECT user_id AS scan_id, event_id AS ord, event_type AS t, event_id % 4 AS b, event_id % 7 AS w, user_id % 5 <> 2 AS configured FROM events),
+g AS (SELECT *, t = 'signup' AS kept, t <> 'click' AND (t = 'purchase' OR b = 0) AS good1, t = 'error' AS refused1, t = 'view' AND b = 3 AS fresh FROM q)
+SELECT scan_id, ord, CASE WHEN kept THEN 'cached' WHEN NOT configured OR w = 6 THEN 'unavailable' WHEN ord > stop THEN 'stopped' WHEN fresh THEN 'ask' WHEN good1 THEN 'answered' WHEN t = 'click' THEN 'retry' WHEN b = 1 THEN 'answered' ELSE 'failed' END AS state
+FROM g LEFT JOIN (SELECT scan_id, min(ord) AS stop FROM g WHERE configured AND NOT kept AND w <> 6 AND NOT fresh AND NOT good1 AND t <> 'click' AND b = 2 GROUP BY 1) e USING (scan_id)""")
+def extraction_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans that meet kept answers, refusals, unreadable replies and the end of a quota."""
+    e = table(spark, sf_dir, "events").select(c("user_id").alias("scan_id"), c("event_id").alias("ord"), c("event_type").alias("t"), (c("event_id") % 4).alias("b"), (c("event_id") % 7).alias("w"), F.concat(F.lit("A-"), "event_id").alias("advisory_id"))
+    questions = e.select("scan_id", "ord", "advisory_id", F.when(c("w") != 6, F.array(F.lit("pkg"))).alias("import_names"))
+    kept = e.filter("t = 'signup'").select(extraction.answer_key(c("advisory_id")).alias("key"), F.array().cast("array<string>").alias("symbols"))
+    said, none = F.array(F.lit("pkg.f"), F.lit("other.g")), F.lit(None).cast("array<string>")
+    good = (c("t") == "purchase") | ((c("b") == 0) & (c("t") != "click"))
+    tried = e.filter("t <> 'signup' AND NOT (t = 'view' AND b = 3)")
+    one = tried.select("scan_id", "advisory_id", F.lit(1).alias("attempt"), F.when(good, 200).when(c("t") == "error", 429).otherwise(200).alias("code"), F.lit("7").alias("retry_after"), F.lit("").alias("text"), F.when(good, said).otherwise(none).alias("symbols"))
+    two = tried.filter(~good & (c("t") != "click")).select("scan_id", "advisory_id", F.lit(2), F.when(c("b") == 2, 429).otherwise(200), F.lit(None).cast("string"), F.lit("please retry in 90.5s"), F.when(c("b") == 1, said).otherwise(none))
+    settings = e.select("scan_id", (c("scan_id") % 5 != 2).alias("configured")).distinct()
+    return extraction.control(questions, kept, one.unionAll(two), settings).select("scan_id", "ord", "state")
+
+
 @query(FINDINGS_SQL + """,
 q AS (SELECT (c_custkey - 1) % 60 AS project_id, count(*) AS packages, count(*) FILTER (WHERE c_custkey % 5 = 0) AS cache_hits, count(*) FILTER (WHERE c_custkey % 50 = 1) AS unqueried FROM customer GROUP BY 1),
 n AS (SELECT project_id, count(*) AS findings, count(DISTINCT package) AS packages_affected FROM findings GROUP BY 1)

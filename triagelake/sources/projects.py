@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.names import is_test_path, module_fqn, normalise
 
-#: Folders that hold no project source; so do all that start with a dot.
-SKIP_DIRS = (".venv", "venv", "env", "site-packages", "build", "dist", "__pycache__", "node_modules")
+from .filewalk import SKIP_DIRS, read_trees
+
+#: Fixed value: characters of an advisory's prose in a question.
 DETAIL_CHARS = 6000
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """``path, source`` of all Python files below a folder; undecodable text is NULL."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.expr("substring(path, locate(:p, path) + length(:p))".replace(":p", f"'{path.rstrip('/')}/'")).alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("source"))
+    """``path, source`` of the Python files below a folder; undecodable text is NULL.
+
+    Skipped folders are pruned by the walk itself (``filewalk``): nothing in them is listed or read.
+    """
+    return read_trees(spark, [path]).select("path", "source")
 
 
 def _project(df: DataFrame) -> list[str]:
@@ -95,12 +98,33 @@ def owning_distribution(modules: DataFrame, import_names: DataFrame) -> DataFram
     return modules.withColumn("head", F.substring_index("fqn", ".", 1)).join(heads, [*keys, "head"], "left").drop("head")
 
 
+def _whole_json(text: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing more, else NULL.
+
+    The parser stops after the first value; only at the end of the text do both
+    brackets close it.
+    """
+    array, pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    alone = F.size(F.try_variant_get(array, "$", "array<variant>")) == 1
+    return F.when(alone & pair.isNotNull(), F.try_variant_get(pair, "$.k", "variant"))
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
 def reply_symbols(reply: Column) -> Column:
-    """Symbols of a model's JSON envelope; NULL for any other shape (ask again later), empty if it names none."""
-    text = F.get_json_object(reply, "$.candidates[0].content.parts[0].text")
-    parsed = F.from_json(text, "symbols array<string>")
-    listed = F.get_json_object(text, "$.symbols").rlike(r"^\s*\[")
-    return F.when(F.coalesce(listed, F.lit(False)) & ~F.exists(parsed["symbols"], lambda s: s.isNull()), parsed["symbols"])
+    """Symbols of a model's JSON envelope; NULL for any other shape (ask again later), empty if it names none.
+
+    The text must be one JSON object; ``symbols``, where it is there, a list of
+    strings alone.
+    """
+    told = F.try_variant_get(_whole_json(reply), "$.candidates[0].content.parts[0].text", "variant")
+    said = _whole_json(F.when(_kind(told) == "STRING", F.try_variant_get(told, "$", "string")))
+    listed = F.try_variant_get(said, "$.symbols", "variant")
+    items = F.try_variant_get(listed, "$", "array<variant>")
+    good = F.startswith(_kind(listed), F.lit("ARRAY")) & F.forall(items, lambda x: _kind(x) == "STRING")
+    return F.when(F.startswith(_kind(said), F.lit("OBJECT")), F.when(listed.isNull(), F.array().cast("array<string>")).when(good, F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))))
 
 
 def prompt(advisory: Column, details: Column, diff: Column) -> Column:

@@ -10,8 +10,3 @@ def newest_answers(stream: DataFrame, keys: list[str], ts: str = "ts", late: str
     """State is one row a key; answers older than the watermark are dropped."""
     rest = [c for c in stream.columns if c not in keys]
     return stream.withWatermark(ts, late).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("r")).select(*keys, "r.*")
-
-
-def answer_counts(stream: DataFrame, ts: str = "ts", late: str = "1 hour", window: str = "1 hour") -> DataFrame:
-    """Answers by status and tumbling window, final once the watermark passes."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "status", "n")
