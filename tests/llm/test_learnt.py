@@ -229,3 +229,10 @@ def test_nothing_else_imports_this_subpackage():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(corpus_pipeline.__file__).parent))
 
 
+
+
+def test_few_pages_in_many_rows_still_teach(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(12)
+    many = pages.crossJoin(spark.range(3000)).drop("id")
+    assert blocks.train_labeller(many, most=4) is not None
+    assert blocks.train_labeller(pages.limit(0)) is None

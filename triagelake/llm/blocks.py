@@ -407,7 +407,7 @@ def lessons(html: str | None, seed: int) -> list[tuple[np.ndarray, list[int]]]:
 def train_labeller(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller | None:
     """Fit on a bounded sample of the table and its variants, made on executors; none without a block to learn from."""
     h = F.xxhash64("page_id", "url", "html")
-    total = max(pages.count(), 1)
+    total = max(pages.select(h.alias("h")).distinct().count(), 1)  # repeated rows are one page here too
     near = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4 * most / total
     sample = pages.filter(near).select(h.alias("h"), "html").groupBy("h").agg(F.min("html").alias("html"))
 
