@@ -186,3 +186,31 @@ def test_projects_differ_by_their_constraints_alone(spark):
     by = {r.project_id: r.context for r in keyed.collect()}
     assert by[1] == by[4] and len(set(by.values())) == 3
     assert sorted((r.declared or "", str(r.parents)) for r in sets.collect()) == [("", "{'web': '<2'}"), ("==1.0", "{'web': '<2'}"), (">=1.0", "{'web': '<2'}")]
+
+
+def test_a_rescan_does_again_what_changed_and_equals_a_full_scan(spark):
+    parsed, *rest = tables(spark)
+    kinds = [t.schema for t in rest]
+    rows = [[tuple(r) for r in t.collect()] for t in rest]
+    before = scan.Inputs(parsed, *rest)
+    found, state = scan.scan_findings(*before)
+    found, state = found.cache(), state.cache()
+
+    def changed(new):
+        return scan.Inputs(parsed, *(spark.createDataFrame(new.get(i, rows[i]), kinds[i]) for i in range(4)))
+
+    late = lockfiles.parse_lockfiles(spark.createDataFrame([(4, LOCK.replace('"==1.0"', '">=1.0"')), (5, LOCK)], "project_id long, text string"))
+    cases = {
+        "nothing": (before, set()),
+        "answer": (changed({0: [r if r[0] != "web" else ("web", "1.0", "ok", ["A"]) for r in rows[0]]}), {(p, "web") for p in (1, 4)}),
+        "body and metadata": (changed({1: [*rows[1], ("gone", body("gone", aliases=["CVE-7"]))], 3: [rows[3][0], ("web", "5.0", ["PyYAML<2"])]}), {(p, "pyyaml") for p in (1, 4)}),
+        "release": (changed({2: [("web", ["1.0"]), rows[2][1]]}), {(p, n) for p in (1, 4) for n in ("web", "pyyaml")}),
+        "lockfiles": (before._replace(parsed=late), {(p, n) for p in (4, 5) for n in ("web", "pyyaml")}),
+    }
+    text = lambda df: sorted(str(r.asDict(True)) for r in df.select(sorted(df.columns)).collect())
+    for name, (after, want) in cases.items():
+        full, full_state = scan.scan_findings(*after)
+        again, again_state, redo = scan.rescan(found, state, before, after)
+        assert {tuple(r) for r in redo.collect()} == want, name
+        assert text(again) == text(full), name
+        assert text(again_state) == text(full_state), name

@@ -586,6 +586,23 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.graph_summary(*resolve.build(parsed), parsed)
 
 
+@query("""
+WITH t AS (SELECT p_partkey % 10 AS p, p_partkey // 10 AS j, 'm' || p_partkey // 10 AS m, 'lib' || p_partkey // 10 AS l FROM part)
+SELECT p AS project_id, e.src, e.dst, e.kind, e.speculative FROM t, LATERAL (VALUES
+  (m, l || '.core', 'imports', false), (m || '.K', l || '.core.Base', CASE WHEN j % 2 = 0 THEN 'calls' ELSE 'inherits' END, false),
+  (m || '.K.run', m || '.helper_' || j, 'calls', false), (m || '.K.run', l || '.core.lone_' || j, 'calls', true),
+  (l, l || '.core', 'imports', false), (l || '.Base', l || '.core.Base', 'alias', false), (l || '.util', l || '.core.util', 'alias', false), (l || '.core.Sub', l || '.core.Base', 'inherits', false)) e(src, dst, kind, speculative)""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all kinds: bases, aliases, the stronger of two kinds, and a guess beside a sure sighting."""
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS project_id", "p_partkey div 10 AS j")
+    made = F.when(c("j") % 2 == 0, "    made = B()\n").otherwise("")
+    own = F.format_string("from lib%s.core import Base as B\n\nclass K(B):\n%s    def run(self):\n        helper_%s()\n        x.helper_%s()\n        y.lone_%s()\n\ndef helper_%s():\n    pass\n", "j", made, "j", "j", "j", "j")
+    core = F.format_string("class Base:\n    pass\n\nclass Sub(Base):\n    pass\n\ndef util():\n    pass\n\ndef lone_%s():\n    pass\n", "j")
+    module = lambda origin, name, package, text: t.select("project_id", F.lit(origin).alias("origin"), F.format_string(name, "j").alias("fqn"), F.lit(package).alias("is_package"), text.alias("source"))
+    rows = module("project", "m%s", False, own).unionAll(module("dependency", "lib%s", True, F.lit("from .core import Base, util\n"))).unionAll(module("dependency", "lib%s.core", False, core))
+    return resolve.build(pysource.parse_modules(rows))[1]
+
+
 def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = resolve.build(_chain(spark, sf_dir))
     first = table(spark, sf_dir, "part").groupBy((c("p_partkey") % 20).alias("project_id")).agg(F.min("p_partkey").alias("k"))
@@ -790,16 +807,42 @@ def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple
     return found, state, (nodes, links)
 
 
-@query(SCAN_SQL + """
+FINDINGS_OF_SCAN = SCAN_SQL + """
 SELECT p AS project_id, 'p-' || j AS package, version, advisory_id, severity, CAST(depth AS INTEGER) AS depth, shape, fix_reason, actionable, verdict,
   CASE WHEN shape IN ('override', 'direct_bump', 'lockfile_refresh') THEN '2.0' END AS target_version,
   CASE shape WHEN 'lockfile_refresh' THEN 'uv lock --upgrade-package p-' || j WHEN 'direct_bump' THEN 'uv add "p-' || j || '>=2.0"' WHEN 'override' THEN CASE WHEN lifted THEN ups ELSE '[tool.uv]' || chr(10) || 'override-dependencies = ["p-' || j || '>=2.0"]' END END AS command,
-  row_number() OVER (PARTITION BY p ORDER BY CASE verdict WHEN 'reachable' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, NOT actionable, -sr, depth, advisory_id, 'p-' || j) AS rank FROM f""")
+  row_number() OVER (PARTITION BY p ORDER BY CASE verdict WHEN 'reachable' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, NOT actionable, -sr, depth, advisory_id, 'p-' || j) AS rank FROM f"""
+
+
+@query(FINDINGS_OF_SCAN)
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, _ = _scan(spark, sf_dir)
     return found.select("project_id", "package", "version", "advisory_id", "severity", "depth", "shape", "fix_reason", "actionable", "verdict", "target_version", "command", "rank")
 
 
+@query(FINDINGS_OF_SCAN)
+def incremental_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings from an older scan's: answers, bodies, releases, metadata and lockfiles changed since."""
+    _, parsed, tables, names = _scan_tables(spark, sf_dir)
+    after = scan.Inputs(parsed, *map(checkpointed, tables))
+    j = F.expr("int(substring(name, 3))")
+    before = scan.Inputs(
+        parsed.filter("project_id <> 7").withColumn("entries", F.when(c("project_id") == 3, F.filter("entries", lambda x: ~x["name"].endswith("1"))).otherwise(c("entries"))),
+        after.answers.filter(j % 10 != 6).unionByName(after.answers.filter(j % 25 == 9).withColumn("ids", F.array(F.lit("gone")))),
+        after.bodies.withColumn("body", F.when(c("id").endswith("5"), F.regexp_replace("body", "HIGH|CRITICAL", "LOW")).otherwise(c("body"))),
+        after.releases.withColumn("versions", F.when(j % 12 == 8, F.filter("versions", lambda v: v != "3.0")).otherwise(c("versions"))),
+        after.metadata.filter("version <> '3.0' OR NOT endswith(name, '2')"),
+    )
+    no = F.lit(False)
+    t = table(spark, sf_dir, "part").select(((c("p_partkey") - 1) % 10).alias("project_id"), F.expr("(p_partkey - 1) div 10").alias("j"))
+    nodes = t.select("project_id", F.lit("app").alias("fqn"), F.lit("project").alias("origin")).distinct().unionAll(t.filter("j % 2 = 0").select("project_id", F.format_string("m_%s", "j"), F.lit("dependency"))).select("*", F.lit("module").alias("kind"), no.alias("dynamic"), no.alias("unresolved"))
+    links = t.filter("j % 4 = 0").select("project_id", F.lit("app").alias("src"), F.format_string("m_%s", "j").alias("dst"), no.alias("speculative"))
+    options = {"floor": "low", "import_names": names, "graph": (nodes, links)}
+    found, state = scan.scan_findings(*before, **options)
+    out, _, _ = scan.rescan(checkpointed(found), checkpointed(state), before, after, **options)
+    return out.select("project_id", "package", "version", "advisory_id", "severity", "depth", "shape", "fix_reason", "actionable", "verdict", "target_version", "command", "rank")
+
+
 @query(SCAN_SQL + """,
 q AS (SELECT p, count(*) + count(*) FILTER (WHERE j % 9 = 4) AS packages_scanned, count(*) FILTER (WHERE j % 7 <> 3 AND j % 2 = 0) AS advisories_from_cache, count(*) FILTER (WHERE j % 7 = 3) AS packages_unqueried, count(*) FILTER (WHERE j % 7 <> 3 AND j % 3 = 1 AND j % 5 = 0) AS bodies_missing FROM t WHERE j <> 0 GROUP BY 1),
 s AS (SELECT p, count(*) FILTER (WHERE j % 4 <> 1) AS dependency_modules_parsed, count(*) FILTER (WHERE j % 4 = 1) AS unparsed_source_files, 1 + count(*) FILTER (WHERE j % 2 = 0) AS graph_nodes FROM t GROUP BY 1),

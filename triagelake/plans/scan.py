@@ -22,6 +22,9 @@ part; empty tables give no row.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,18 +171,27 @@ def with_fixes(merged: DataFrame, asked: DataFrame, sets: DataFrame, releases: D
 def scan_findings(
     parsed: DataFrame, answers: DataFrame, bodies: DataFrame, releases: DataFrame, metadata: DataFrame,
     floor: str | None = None, import_names: DataFrame | None = None, graph: tuple | None = None, symbols: DataFrame | None = None, status: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked findings, and each package's state.
 
+    ``only`` (project_id, name) limits the packages that are looked at; ranks
+    then count among them.
+
     ``parsed``: lockfiles (project_id, status, entries).  With ``graph`` (nodes
     and edges, of ``build``, and fans if it comes from ``build_fans``) and ``import_names`` (project_id, distribution, import_name)
     verdicts come from reach, narrowed by ``symbols`` (project_id, advisory_id,
     symbols, and the package's name if it matters) where ``status`` (project_id,
     complete) is given; without them every verdict is unknown.
     """
-    entries = checkpointed(lockfiles.entries(parsed.filter("status = 'ok'")))
+    usable = parsed.filter("status = 'ok'")
+    if only is not None:
+        usable = usable.join(only.select("project_id").distinct(), "project_id", "left_semi")
+    entries = checkpointed(lockfiles.entries(usable))
     releases, metadata = (df.withColumn("name", N.normalise(F.col("name"))) for df in (releases, metadata))
     pkgs = scannable(entries)
+    if only is not None:
+        pkgs = checkpointed(pkgs.join(only, ["project_id", "name"], "left_semi"))
     merged, state = version_findings(pkgs.select("name", "version").distinct(), answers, bodies)
     if floor is not None:
         merged = merged.filter(N.passes_floor(F.col("severity"), F.lit(floor)))
@@ -214,6 +226,70 @@ def scan_findings(
     return out, pkgs.join(state, ["name", "version"]).select(*KEYS, "status", "bodies_missing")
 
 
+class Inputs(NamedTuple):
+    """What a scan reads: lockfiles and the four tables of answers."""
+
+    parsed: DataFrame
+    answers: DataFrame
+    bodies: DataFrame
+    releases: DataFrame
+    metadata: DataFrame
+
+
+def _changed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose row is new, gone or another; both hold one row a key."""
+    rest = [c for c in after.columns if c not in keys]
+    side = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("here"), *rest).alias(name))
+    return side(before, "__a").join(side(after, "__b"), keys, "full").filter(~F.col("__a").eqNullSafe(F.col("__b"))).select(*keys)
+
+
+def to_redo(before: Inputs, after: Inputs) -> DataFrame:
+    """``project_id, name`` of the packages whose findings may differ from the last scan's.
+
+    Changes are found where they lie (an id, a version, a package, a lockfile)
+    and led on to projects by semi-joins: a body to the versions that list it,
+    releases and metadata to the package and to what stands below it.
+    """
+    entries = checkpointed(lockfiles.entries(after.parsed.filter("status = 'ok'")))
+    pkgs = checkpointed(scannable(entries))
+    one = lambda df: df.groupBy("project_id").agg(F.max(F.struct("status", "entries")).alias("e"))
+    projects = _changed(one(before.parsed), one(after.parsed), ["project_id"])
+    now = answered(after.answers)
+    versions = _changed(answered(before.answers), now, ["name", "version"])
+    newest = lambda df: df.filter("body is not null").groupBy("id").agg(F.max_by("body", F.struct(*[c for c in ("ts", "body") if c in df.columns])).alias("body"))
+    ids = _changed(newest(before.bodies), newest(after.bodies), ["id"])
+    listing = now.select("name", "version", F.explode("ids").alias("id")).join(ids, "id", "left_semi").select("name", "version")
+    named = lambda df: df.withColumn("name", N.normalise(F.col("name")))
+    offered = _changed(packages.one_releases(named(before.releases)), packages.one_releases(named(after.releases)), ["name"])
+    asked = _changed(packages.one_metadata(named(before.metadata)), packages.one_metadata(named(after.metadata)), ["name", "version"]).select("name")
+    above = offered.unionAll(asked).select(F.col("name").alias("parent")).distinct()
+    below = packages.uses(packages.edges(entries), entries).join(above, "parent", "left_semi").select("project_id", "name")
+    hit = [pkgs.join(projects, "project_id", "left_semi"), pkgs.join(versions.unionAll(listing).distinct(), ["name", "version"], "left_semi"), pkgs.join(offered, "name", "left_semi")]
+    return checkpointed(reduce(DataFrame.unionAll, [*(h.select("project_id", "name") for h in hit), below]).distinct())
+
+
+def rescan(found: DataFrame, state: DataFrame, before: Inputs, after: Inputs, **options) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN003
+    """A scan of ``after`` from the last one's rows: only what changed is looked at again.
+
+    ``found`` and ``state`` are the last scan's, made from ``before`` with the
+    same ``options`` (those of ``scan_findings``; a project whose graph or
+    symbols changed has to be given another lockfile row or a full scan).
+    Returns findings, states, and the packages that were done again.  Findings
+    of packages and projects that are gone go; ranks are renewed in projects
+    that have any change, and the rows of others are carried as they are.
+    """
+    redo = to_redo(before, after)
+    fresh, fresh_state = scan_findings(*after, only=redo, **options)
+    there = checkpointed(scannable(lockfiles.entries(after.parsed.filter("status = 'ok'"))))
+    kept = lambda df: df.join(redo, ["project_id", "name"], "left_anti").join(there, KEYS, "left_semi")
+    touched = redo.select("project_id").unionAll(found.join(there, KEYS, "left_anti").select("project_id")).distinct()
+    touched = checkpointed(touched)
+    old = kept(found)
+    still, moved = old.join(touched, "project_id", "left_anti"), old.join(touched, "project_id", "left_semi")
+    renewed = findings.ranked(moved.select(fresh.columns).unionAll(fresh).drop("rank"))
+    return still.unionByName(renewed), kept(state).unionByName(fresh_state), redo
+
+
 def verified_symbols(parsed: DataFrame, extracted: DataFrame, import_names: DataFrame, installed: DataFrame, store: ParseStore) -> DataFrame:
     """``project_id, name, advisory_id, symbols, n_verified, n_dropped`` of symbols that installed source confirms.
 
