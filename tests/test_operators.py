@@ -1,3 +1,4 @@
+import os
 import random
 import textwrap
 
@@ -372,3 +373,36 @@ def test_symbols_are_found_as_a_plain_search_finds_them(spark):
     for given in (parsed, reach.stored_modules(parse_store.listed(rows), parse_store.ParseStore.of(rows))):
         assert {(r.project_id, r.symbol): r.resolved for r in reach.verify_symbols(symbols, given).collect()} == want
     assert reach.verify_symbols(symbols.limit(0), parsed).count() == 0 and reach.verify_symbols(symbols, parsed.limit(0)).filter("resolved is not null").count() == 0
+
+
+def test_an_owner_deletes_its_tables(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "project_id long, src string, dst string")
+    with graph.workspace(spark) as folder:
+        kept = graph.checkpointed(df)
+        with graph.workspace(spark) as inner:
+            assert graph.checkpointed(df).inputFiles()[0].count("/" + inner.rpartition("/")[2] + "/") == 1
+        assert not os.path.exists(inner.removeprefix("file:")) and kept.count() == 1
+        found = graph.bfs(df, df.select("project_id", df.src.alias("node")), "frontier").collect()
+    assert len(found) == 2 and not os.path.exists(folder.removeprefix("file:"))
+    assert graph.checkpointed(df).count() == 1
+
+
+def test_empty_and_null_rows(spark):
+    none = modules(spark, {"a": "x = 1\n"}).limit(0)
+    for part in (*resolve.build(none), *resolve.build_fans(none)[:2], resolve.graph_summary(*resolve.build(none), none)):
+        assert part.count() == 0
+    empty = spark.createDataFrame([], "project_id long, ordinal int, name string, version string, is_root boolean, dependencies array<string>, declared array<struct<name:string,specifier:string>>")
+    meta = spark.createDataFrame([], "name string, version string, requires array<string>")
+    rows = packages.uses(packages.edges(empty), empty)
+    assert [df.count() for df in (packages.split_forks(empty), packages.edges(empty), packages.depths(empty), rows, packages.constraints(rows, meta), packages.one_metadata(meta))] == [0] * 6
+    odd = spark.createDataFrame([(1, 0, "a", "1", False, None, None), (1, 1, "b", None, False, ["a", "gone"], [])], empty.schema)
+    assert [tuple(r) for r in packages.edges(odd).collect()] == [(1, "b", "a")]
+    assert {(r.name, r.depth) for r in packages.depths(odd).collect()} == {("a", 0), ("b", 0)}
+    assert [(r.name, r.parent, r.parent_version) for r in packages.uses(packages.edges(odd), odd).collect()] == [("a", "b", None)]
+    assert packages.parent_constraints(packages.edges(odd), odd, meta).count() == 0
+    found = spark.createDataFrame([], "project_id long, package string, advisory_id string, verdict string, severity string, depth int, actionable boolean")
+    assert [df.count() for df in (R.ranked(found), R.package_groups(found), R.verdict_totals(found), R.severity_bars(found), R.fail_gate(found, "any"))] == [0] * 5
+    nulls = spark.createDataFrame([(1, "p", None, None, None, None, None), (1, "p", "A", "reachable", "high", 1, True)], found.schema)
+    assert [(r.advisory_id, r["rank"]) for r in R.ranked(nulls).orderBy("rank").collect()] == [("A", 1), (None, 2)]
+    sides = spark.createDataFrame([], "project_id long, package string, id string, aliases array<string>")
+    assert R.scanner_parity(sides, sides).count() == 0 and R.parity_report(sides, sides, spark.createDataFrame([], "project_id long, status string")).count() == 0

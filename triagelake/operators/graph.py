@@ -14,6 +14,8 @@ import os
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -68,6 +70,36 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_owners: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Owner of the tables that plans write while it is open; they are deleted when it closes.
+
+    Results are lazy, so write or collect them inside::
+
+        with workspace(spark):
+            found, state = scan_findings(...)
+            found.write.parquet(path)
+
+    Without an owner tables stay in the shared folder, for whoever cleans it.
+    """
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    _owners.append(folder)
+    try:
+        yield folder
+    finally:
+        _owners.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_path(spark: SparkSession, tag: str = "table") -> str:
+    """A new folder for a table: the open owner's, or in the shared one."""
+    return f"{_owners[-1] if _owners else shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -75,7 +107,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint the table is columnar, later readers prune its columns, and its
     size is known to the joins that read it.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import pysource
-from .graph import checkpointed, shared_folder
+from .graph import checkpointed, table_path
 
 
 def digest(source: Column) -> Column:
@@ -48,7 +48,7 @@ class ParseStore:
 
     def __init__(self, spark: SparkSession, texts: DataFrame, folder: str | None = None) -> None:
         self.texts = texts
-        self.folder = folder or f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+        self.folder = folder or table_path(spark, "facts")
         self.schema = StructType([StructField("digest", StringType()), *spark.createDataFrame([], pysource.PARSED).schema.fields])
         spark.createDataFrame([], self.schema).coalesce(1).write.parquet(f"{self.folder}/batch-{uuid.uuid4().hex}")
 
