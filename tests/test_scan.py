@@ -201,10 +201,8 @@ def test_a_rescan_does_again_what_changed_and_equals_a_full_scan(spark):
 
     late = lockfiles.parse_lockfiles(spark.createDataFrame([(4, LOCK.replace('"==1.0"', '">=1.0"')), (5, LOCK)], "project_id long, text string"))
     cases = {
-        "nothing": (before, set()),
-        "answer": (changed({0: [r if r[0] != "web" else ("web", "1.0", "ok", ["A"]) for r in rows[0]]}), {(p, "web") for p in (1, 4)}),
+        "answer and release": (changed({0: [r if r[0] != "web" else ("web", "1.0", "ok", ["A"]) for r in rows[0]], 2: [("web", ["1.0"]), rows[2][1]]}), {(p, n) for p in (1, 4) for n in ("web", "pyyaml")}),
         "body and metadata": (changed({1: [*rows[1], ("gone", body("gone", aliases=["CVE-7"]))], 3: [rows[3][0], ("web", "5.0", ["PyYAML<2"])]}), {(p, "pyyaml") for p in (1, 4)}),
-        "release": (changed({2: [("web", ["1.0"]), rows[2][1]]}), {(p, n) for p in (1, 4) for n in ("web", "pyyaml")}),
         "lockfiles": (before._replace(parsed=late), {(p, n) for p in (4, 5) for n in ("web", "pyyaml")}),
     }
     text = lambda df: sorted(str(r.asDict(True)) for r in df.select(sorted(df.columns)).collect())
