@@ -684,15 +684,27 @@ def package_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT s_suppkey AS k, s_suppkey % 6 AS a, s_suppkey % 4 AS b FROM supplier),
-r AS (SELECT k, CASE WHEN a = 5 THEN 'no_project_code' WHEN a = 1 THEN 'not_reached' WHEN a = 2 THEN 'never_named' WHEN a = 3 THEN 'blind_spot' WHEN b = 0 THEN 'path' WHEN b = 1 THEN 'symbol_path' WHEN b = 2 THEN 'symbol_not_in_graph' ELSE 'symbol_path' END AS reason_code FROM s)
-SELECT k AS project_id, reason_code, CASE WHEN reason_code IN ('path', 'symbol_path') THEN 'reachable' WHEN reason_code IN ('not_reached', 'never_named') THEN 'not_reachable' ELSE 'unknown' END AS verdict FROM r""")
+WITH s AS (SELECT p_partkey AS k, p_partkey % 100 AS p, p_partkey % 100 % 7 AS a, p_partkey // 3 % 7 AS b FROM part),
+q AS (SELECT *, ['path', 'path', 'never_named', 'path', 'guessed_path', 'no_project_code', 'path'][a + 1] AS package, a <> 1 AND b IN (1, 3, 5) AS met, b IN (2, 3) AS gone, b IN (0, 6) AS bare, CASE WHEN b = 5 THEN '>lib.inner' ELSE '' END AS inner_hop FROM s),
+r AS (SELECT *, CASE WHEN bare OR package NOT IN ('path', 'guessed_path') THEN package WHEN met AND a = 4 THEN 'guessed_symbol_path' WHEN met THEN 'symbol_path'
+  WHEN gone THEN 'symbol_not_in_graph' WHEN a = 6 THEN 'expansion_incomplete' WHEN a = 3 THEN 'blind_spot' ELSE 'symbol_not_reached' END AS reason_code FROM q)
+SELECT p AS project_id, k AS finding_id, reason_code,
+  CASE WHEN reason_code IN ('path', 'guessed_path', 'symbol_path', 'guessed_symbol_path') THEN 'reachable' WHEN reason_code IN ('not_reached', 'never_named', 'symbol_not_reached') THEN 'not_reachable' ELSE 'unknown' END AS verdict,
+  CASE WHEN reason_code IN ('guessed_path', 'guessed_symbol_path') THEN 'medium' WHEN reason_code IN ('path', 'symbol_path', 'not_reached', 'never_named', 'symbol_not_reached') THEN 'high' ELSE 'low' END AS confidence,
+  CASE reason_code WHEN 'path' THEN 'app>lib' WHEN 'guessed_path' THEN 'app.main>lib.run' WHEN 'symbol_path' THEN 'app.main>lib.run' || inner_hop WHEN 'guessed_symbol_path' THEN 'app.main>lib.run' || inner_hop END AS path FROM r""")
 def symbol_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, parsed = _apps(spark, sf_dir)
-    symbols = F.expr("CASE project_id % 4 WHEN 0 THEN NULL WHEN 1 THEN array('lib.run') WHEN 2 THEN array('lib.gone') ELSE array('lib.gone', 'lib.run') END")
-    found = s.select("project_id", F.lit(1).alias("finding_id"), F.array(F.lit("lib")).alias("import_names"), symbols.alias("symbols"))
-    status = s.select("project_id", F.lit(True).alias("complete"))
-    return reach.symbol_verdict(found, *resolve.build(parsed), status).select("project_id", "reason_code", "verdict")
+    """Sure and guessed calls, imports alone, blind spots, unfinished expansion and broken code, each with symbols reached, idle, absent and none."""
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey AS finding_id", "p_partkey % 100 AS project_id", "p_partkey div 3 % 7 AS b")
+    apps = t.select("project_id", (c("project_id") % 7).alias("a")).distinct()
+    app = F.expr("""CASE WHEN a in (0, 6) THEN 'import lib\\n\\ndef main():\\n    lib.run()\\n' WHEN a = 1 THEN 'import lib\\n' WHEN a = 2 THEN 'x = 1\\n'
+      WHEN a = 3 THEN 'import lib\\n\\ndef main():\\n    lib.run()\\n    getattr(x, "y")\\n' WHEN a = 4 THEN 'def main():\\n    x.run()\\n' ELSE 'def (:\\n' END""")
+    lib = F.lit("def run():\n    inner()\n\ndef inner():\n    pass\n\ndef spare():\n    pass\n")
+    module = lambda rows, origin, fqn, text: rows.select("project_id", F.lit(origin).alias("origin"), F.lit(fqn).alias("fqn"), F.lit(False).alias("is_package"), text.alias("source"))
+    parsed = pysource.parse_modules(module(apps, "project", "app", app).unionAll(module(apps.filter("a <> 2"), "dependency", "lib", lib)))
+    symbols = F.expr("CASE b WHEN 0 THEN NULL WHEN 1 THEN array('lib.run') WHEN 2 THEN array('lib.gone') WHEN 3 THEN array('lib.gone', 'lib.run') WHEN 4 THEN array('lib.spare') WHEN 5 THEN array('lib.inner') ELSE array() END")
+    found = t.select("project_id", "finding_id", F.array(F.lit("lib")).alias("import_names"), symbols.alias("symbols"))
+    out = reach.symbol_verdict(found, *resolve.build(parsed), apps.select("project_id", (c("a") != 6).alias("complete")))
+    return out.select("project_id", "finding_id", "reason_code", "verdict", "confidence", F.when(c("path").isNotNull(), F.array_join("path", ">")).alias("path"))
 
 
 @query("""
