@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from triagelake.plans import contract
+from triagelake.plans import contract, inputs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -594,13 +594,19 @@ SELECT p AS project_id, e.src, e.dst, e.kind, e.speculative FROM t, LATERAL (VAL
   (l, l || '.core', 'imports', false), (l || '.Base', l || '.core.Base', 'alias', false), (l || '.util', l || '.core.util', 'alias', false), (l || '.core.Sub', l || '.core.Base', 'inherits', false)) e(src, dst, kind, speculative)""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all kinds: bases, aliases, the stronger of two kinds, and a guess beside a sure sighting."""
+    return resolve.build(_kinds(spark, sf_dir))[1]
+
+
+def _kinds(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
+    """Modules whose edges are of all kinds; ``marked`` adds dynamic calls and dotted calls that lead nowhere."""
     t = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS project_id", "p_partkey div 10 AS j")
     made = F.when(c("j") % 2 == 0, "    made = B()\n").otherwise("")
-    own = F.format_string("from lib%s.core import Base as B\n\nclass K(B):\n%s    def run(self):\n        helper_%s()\n        x.helper_%s()\n        y.lone_%s()\n\ndef helper_%s():\n    pass\n", "j", made, "j", "j", "j", "j")
+    marks = F.concat(F.when(c("j") % 4 == 1, "        getattr(x, 'y')\n").otherwise(""), F.when(c("j") % 3 == 0, "        x.nowhere()\n").otherwise("")) if marked else F.lit("")
+    own = F.format_string("from lib%s.core import Base as B\n\nclass K(B):\n%s    def run(self):\n        helper_%s()\n        x.helper_%s()\n        y.lone_%s()\n%s\ndef helper_%s():\n    pass\n", "j", made, "j", "j", "j", marks, "j")
     core = F.format_string("class Base:\n    pass\n\nclass Sub(Base):\n    pass\n\ndef util():\n    pass\n\ndef lone_%s():\n    pass\n", "j")
     module = lambda origin, name, package, text: t.select("project_id", F.lit(origin).alias("origin"), F.format_string(name, "j").alias("fqn"), F.lit(package).alias("is_package"), text.alias("source"))
     rows = module("project", "m%s", False, own).unionAll(module("dependency", "lib%s", True, F.lit("from .core import Base, util\n"))).unionAll(module("dependency", "lib%s.core", False, core))
-    return resolve.build(pysource.parse_modules(rows))[1]
+    return pysource.parse_modules(rows)
 
 
 def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
