@@ -28,6 +28,16 @@ def suppressible(verdict: Column) -> Column:
     return verdict == "not_reachable"
 
 
+def flags(findings: DataFrame) -> DataFrame:
+    """Findings with ``is_direct`` and ``suppressible``.
+
+    A package is direct at one hop from the root; of unknown depth or verdict
+    it is neither, since only a proven verdict puts a finding aside.
+    """
+    direct = F.coalesce(F.col("depth") == 1, F.lit(False))
+    return findings.withColumns({"is_direct": direct, "suppressible": F.coalesce(suppressible(F.col("verdict")), F.lit(False))})
+
+
 def package_groups(findings: DataFrame) -> DataFrame:
     """Packages with their findings' ids in order, their own rank, and whether all can be put aside."""
     rows = findings.withColumn("k", sort_key())

@@ -152,6 +152,22 @@ def verify_symbols(symbols: DataFrame, installed: DataFrame | Lookup, depth: int
     return symbols.select("project_id", "symbol").distinct().join(known.withColumnRenamed("value", "resolved"), ["project_id", "symbol"], "left")
 
 
+def verification(asked: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``project_id, finding_id, verified, dropped, usable``: what the symbols of each finding came to.
+
+    ``asked(project_id, finding_id, symbol)``, ``resolved(project_id, symbol,
+    resolved)`` as ``verify_symbols`` gives it.  ``verified`` holds the places
+    of definition, ``dropped`` the symbols that have none, both in order and
+    once.  Nothing verified is not evidence: then ``usable`` is false, and the
+    package's verdict stands.  NULL symbols ask nothing.
+    """
+    rows = asked.filter("symbol is not null").distinct().join(resolved.select("project_id", "symbol", "resolved"), ["project_id", "symbol"], "left")
+    out = rows.groupBy("project_id", "finding_id").agg(F.array_sort(F.collect_set("resolved")).alias("verified"), F.array_sort(F.collect_set(F.when(F.col("resolved").isNull(), F.col("symbol")))).alias("dropped"))
+    every = asked.select("project_id", "finding_id").distinct().join(out, ["project_id", "finding_id"], "left")
+    none = F.array().cast("array<string>")
+    return every.select("project_id", "finding_id", F.coalesce("verified", none).alias("verified"), F.coalesce("dropped", none).alias("dropped"), (F.coalesce(F.size("verified"), F.lit(0)) > 0).alias("usable"))
+
+
 def reach_index(nodes: DataFrame, edges: DataFrame, fans: Fans | None = None) -> tuple[DataFrame, DataFrame]:
     """Reach from all project definitions, and flags of each project: has_code, blind."""
     starts = nodes.filter("origin = 'project' and kind <> 'external'").select("project_id", F.col("fqn").alias("node"))
@@ -221,4 +237,4 @@ def symbol_verdict(findings: DataFrame, nodes: DataFrame, edges: DataFrame, stat
     return rows.withColumns({"path": path, "confidence": confidence, "verdict": verdict}).drop("package_path", "symbol_path", "all_known", "node", "speculative", "complete", "blind")
 
 
-__all__ = ["expand", "expand_on_demand", "package_verdict", "reach_index", "resolve", "stored_modules", "symbol_verdict", "verify_symbols"]
+__all__ = ["expand", "expand_on_demand", "package_verdict", "reach_index", "resolve", "stored_modules", "symbol_verdict", "verification", "verify_symbols"]

@@ -169,6 +169,32 @@ def build_fans(parsed: DataFrame) -> tuple[DataFrame, DataFrame, Fans]:
     return *_graph(defs, out, lone, blind), (callers, holders)
 
 
+def boundary(nodes: DataFrame) -> DataFrame:
+    """``project_id, fqn`` of the nodes that only edges or imports name: where a graph ends."""
+    return nodes.filter("kind = 'external'").select("project_id", "fqn")
+
+
+def definition_index(nodes: DataFrame) -> DataFrame:
+    """``project_id, tail, fqn, origin`` of all defined nodes of a finished graph, project and dependency ones."""
+    return nodes.filter("kind <> 'external'").select("project_id", F.substring_index("fqn", ".", -1).alias("tail"), "fqn", "origin")
+
+
+def successors(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """``asked(project_id, node)`` with each ``successor``: one row for each, and one with NULL where there is none.
+
+    Rows, not lists, so a hub of any size is many rows and no large one.  A
+    node that the graph doesn't know has no successor; equal rows count once.
+    """
+    ahead = edges.select("project_id", F.col("src").alias("node"), F.col("dst").alias("successor")).distinct()
+    return asked.select("project_id", "node").distinct().join(ahead, ["project_id", "node"], "left")
+
+
+def dynamic_flags(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``asked(project_id, node)`` with ``dynamic``: whether it holds what can't be followed; false for unknown nodes."""
+    marks = nodes.filter("dynamic").select("project_id", F.col("fqn").alias("node"), F.lit(True).alias("dynamic")).distinct()
+    return asked.select("project_id", "node").distinct().join(marks, ["project_id", "node"], "left").withColumn("dynamic", F.coalesce("dynamic", F.lit(False)))
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame, parsed: DataFrame) -> DataFrame:
     n = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "external").alias("external"), F.count_if("dynamic").alias("dynamic"))
     e = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("edges"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import names as N
 from triagelake.operators import advisories as A
-from triagelake.operators import packages, patches, resolve
+from triagelake.operators import findings as R
+from triagelake.operators import packages, patches, reach, resolve
 from triagelake.operators.graph import table_path
 from triagelake.plans import scan
 from triagelake.plans.contract import DIFF_SQL, FINDINGS_SQL, TREE, TREE_EDGES, _findings, _kinds, _patches, _tree_parsed, query, table
@@ -131,6 +132,40 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.build(_kinds(spark, sf_dir, marked=True))[0].select("project_id", "fqn", "kind", "origin", "dynamic", "unresolved")
 
 
+@query("""
+WITH g AS (SELECT p_partkey % 10 AS p, p_partkey // 10 AS j FROM part)
+SELECT p AS project_id, e.node, e.successor, j % 4 = 1 AND e.node = 'm' || j || '.K.run' AS dynamic, e.tails FROM g, LATERAL (VALUES
+  ('m' || j || '.K.run', 'm' || j || '.helper_' || j, 0), ('m' || j || '.K.run', 'lib' || j || '.core.lone_' || j, 0), ('lib' || j || '.Base', 'lib' || j || '.core.Base', 1), ('nobody.f' || j, NULL, 0)) e(node, successor, tails)""")
+def graph_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successors and dynamic marks of nodes, known or not; for nodes outside of the graph the definitions that have their last name."""
+    nodes, edges = resolve.build(_kinds(spark, sf_dir, marked=True))
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS project_id", "p_partkey div 10 AS j")
+    asked = t.select("project_id", F.explode(F.expr("array(concat('m', j, '.K.run'), concat('lib', j, '.Base'), concat('nobody.f', j))")).alias("node"))
+    outside = resolve.boundary(nodes).select("project_id", c("fqn").alias("node"), F.substring_index("fqn", ".", -1).alias("tail"))
+    there = resolve.definition_index(nodes).withColumn("home", F.substring_index("fqn", ".", 1))
+    named = outside.withColumn("home", F.substring_index("node", ".", 1)).join(there, ["project_id", "home", "tail"]).groupBy("project_id", "node").agg(F.count(F.lit(1)).cast("int").alias("tails"))
+    out = resolve.successors(asked, edges).join(resolve.dynamic_flags(asked, nodes), ["project_id", "node"]).join(named, ["project_id", "node"], "left")
+    return out.select("project_id", "node", "successor", "dynamic", F.coalesce("tails", F.lit(0)).alias("tails"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey AS k, p_partkey % 20 AS p FROM part)
+SELECT p AS project_id, k AS finding_id, k % 4 = 1 AS is_direct, k % 3 = 2 AS suppressible,
+  CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'lib.core.f' || k WHEN 2 THEN '' WHEN 3 THEN 'lib.core.f' || k ELSE 'lib.a' || k || ',lib.b' || k END AS verified,
+  CASE k % 5 WHEN 2 THEN 'lib.gone' || k WHEN 3 THEN 'lib.gone' || k ELSE '' END AS dropped, k % 5 NOT IN (0, 2) AS usable FROM k""")
+def finding_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct packages, findings that may be put aside, and whether any symbol of a finding was confirmed."""
+    t = table(spark, sf_dir, "part").select(c("p_partkey").alias("finding_id"), (c("p_partkey") % 20).alias("project_id"))
+    rows = t.withColumns({"depth": F.when(c("finding_id") % 4 != 3, (c("finding_id") % 4).cast("int")), "verdict": F.expr("CASE finding_id % 3 WHEN 0 THEN 'reachable' WHEN 2 THEN 'not_reachable' END")})
+    symbols = F.expr("""CASE finding_id % 5 WHEN 0 THEN array(cast(NULL AS string)) WHEN 1 THEN array(concat('lib.f', finding_id), concat('lib.core.f', finding_id)) WHEN 2 THEN array(concat('lib.gone', finding_id))
+      WHEN 3 THEN array(concat('lib.gone', finding_id), concat('lib.f', finding_id)) ELSE array(concat('lib.b', finding_id), concat('lib.a', finding_id)) END""")
+    asked = t.select("project_id", "finding_id", F.explode(symbols).alias("symbol"))
+    place = F.when(c("symbol").contains(".gone"), None).otherwise(F.regexp_replace("symbol", r"^lib\.f", "lib.core.f"))
+    told = reach.verification(asked, asked.select("project_id", "symbol", place.alias("resolved")).distinct())
+    out = R.flags(rows).join(told, ["project_id", "finding_id"])
+    return out.select("project_id", "finding_id", "is_direct", "suppressible", F.array_join("verified", ",").alias("verified"), F.array_join("dropped", ",").alias("dropped"), "usable")
+
+
 @query(f"""
 WITH t AS ({TREE}), e AS ({TREE_EDGES}), u AS (SELECT p, dst, string_agg('p-' || src, ',' ORDER BY 'p-' || src) AS parents FROM e GROUP BY ALL)
 SELECT t.p AS project_id, 'p-' || t.j AS name, '1.' || t.j % 4 AS version, 0 AS fork_ordinal, parents FROM t LEFT JOIN u ON t.p = u.p AND t.j = u.dst
