@@ -1,10 +1,12 @@
 """What keeps large tables out of the driver, out of one task and out of second passes."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from triagelake.operators import graph, pysource
+from triagelake.operators import graph, packages, pysource
+from triagelake.sources import lockfiles
 
 
 def test_a_side_is_not_broadcast_by_the_size_of_its_files(spark, tmp_path):
@@ -36,3 +38,32 @@ def test_marks_say_what_the_paths_say(spark):
     paths = sorted(map(tuple, graph.evidence(whole, targets).select("project_id", "node", F.size("path"), "speculative").collect()))
     for how in ("project", "frontier", "auto"):
         assert sorted(map(tuple, graph.evidence_marks(whole, targets, how, 8).collect())) == paths
+
+
+def test_a_lockfile_is_read_in_pieces(monkeypatch):
+    """What pieces say is what the whole text says; no parse sees more than a piece of a plain lockfile."""
+    bits = ["[[package]]\n", 'name = "a"\n', '[[package]]\nname = "b"\nversion = "1"\ndependencies = [\n { name = "x" },\n]\n', "[package.metadata]\nrequires-dist = [{ name = 'q', specifier = '<2' }]\n", 's = """\n[[package]]\n"""\n', '"""\n', "x = [\n", "package = []\n", "[manifest]\n", "[[ package ]] # c\r\n", 'source = { virtual = "." }\n', '[["package"]]\n', "é = 1\n"]
+    r, flat = random.Random(3), lambda got: (got[0], [e for part in got[1] for e in part.to_pylist()])
+    monkeypatch.setattr(lockfiles, "PIECE", 1 << 30)
+    for i in range(3000):
+        text = ("version = 1\n" * (i % 5 > 0) + "".join(r.choices(bits, [4, 2, 6, 3, 1, 1, 1, 1, 1, 3, 2, 1, 1], k=r.randint(0, 8)))).encode()
+        for piece in (1, 60):
+            with monkeypatch.context() as m:
+                m.setattr(lockfiles, "HEADER", re.compile(b"(?!)"))
+                whole = flat(lockfiles.read_lock(text))
+            with monkeypatch.context() as m:
+                m.setattr(lockfiles, "PIECE", piece)
+                assert flat(lockfiles.read_lock(text)) == whole
+    long = [0]
+    monkeypatch.setattr(lockfiles, "PIECE", 1000)
+    loads = lockfiles.tomllib.loads
+    monkeypatch.setattr(lockfiles.tomllib, "loads", lambda s: long.append(len(s)) or loads(s))
+    status, parts = lockfiles.read_lock(b"version = 1\n" + b'[[package]]\nname = "p"\nversion = "1"\n' * 3000)
+    assert status == "ok" and sum(map(len, parts)) == 3000 and max(long) < 1100
+
+
+def test_entries_keep_their_key_and_depths_choose_their_walk(spark):
+    text = 'version = 1\n[[package]]\nname = "p"\nversion = "1"\ndependencies = [{ name = "q" }]\n[[package]]\nname = "q"\nversion = "1"\n'
+    rows = graph.checkpointed(lockfiles.entries(graph.checkpointed(lockfiles.parse_lockfiles(spark.createDataFrame([(k, text) for k in range(30)], "project_id int, text string")))))
+    assert rows.schema["project_id"].dataType.simpleString() == "int" and rows.count() == 60
+    assert {(r.name, r.depth) for r in packages.depths(rows).collect()} == {("p", 0), ("q", 0)}
