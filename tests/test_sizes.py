@@ -3,9 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from triagelake.operators import graph, packages, pysource
+from triagelake.operators import graph, packages, pysource, resolve
 from triagelake.sources import lockfiles
 
 
@@ -28,6 +29,31 @@ def test_sources_are_parsed_once_and_by_many_tasks(spark):
     assert good.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_a_graph_resolves_its_calls_once(spark, monkeypatch):
+    """Nodes and edges read one table of resolved calls; edges alone need no table of nodes."""
+    text = "import b\nclass K(Base):\n    def run(self):\n        b.go()\n        x.stop()\n        x.nowhere()\n"
+    mods = [(1, "project", "a", False, text), (1, "project", "b", False, "class Base:\n    pass\ndef go():\n    pass\ndef stop():\n    pass\n"), (1, "project", "bad", False, "def (")]
+    parsed = pysource.parse_modules(spark.createDataFrame(mods, "project_id long, origin string, fqn string, is_package boolean, source string"))
+    real, plans = resolve.checkpointed, []
+    monkeypatch.setattr(resolve, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    nodes, edges = resolve.build(parsed)
+    assert sum(p.count("row_number()") > 0 for p in plans) == 1
+    assert {r.fqn for r in nodes.filter("unresolved").collect()} == {"a.K.run"}
+    n = len(plans)
+    assert sorted(map(tuple, resolve.build_edges(parsed).collect())) == sorted(map(tuple, edges.collect()))
+    assert len(plans) == n + n - 1 and {("a.K.run", "b.go"), ("a.K.run", "b.stop"), ("a.K", "b.Base"), ("a", "b")} == {(r.src, r.dst) for r in edges.collect()}
+
+
+def test_facts_in_columns_are_the_facts_of_each_source():
+    sources = [None, "def (", "", "import a.b as c\nfrom . import d\nclass K(x.Y, f()):\n    def m(self):\n        getattr(self, 'z')()\n"] * 150
+    names = [f"m{i}" for i in range(len(sources))]
+    got = pysource.facts(pa.array(sources, pa.string()), names).to_pylist()
+    assert got[3]["imports"] == [{"module": None, "name": "a.b", "alias": "c", "level": 0}, {"module": None, "name": "d", "alias": None, "level": 1}]
+    flat = lambda x: {k: [tuple(e.values()) if isinstance(e, dict) else e for e in v] if isinstance(v, list) else v for k, v in x.items()}
+    assert [flat(g) for g in got] == [pysource.symbols(s, n) for s, n in zip(sources, names, strict=True)]
+    assert pysource.facts(pa.array([], pa.string()), []).to_pylist() == []
+
+
 def test_marks_say_what_the_paths_say(spark):
     r = random.Random(5)
     edges = [(p, f"n{r.randint(0, 9)}", f"n{r.randint(0, 9)}", r.random() < 0.4) for p in range(4) for _ in range(8 + 8 * p)]
