@@ -4,9 +4,12 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from triagelake.operators import graph, packages, pysource, resolve
+from triagelake.plans import contract, inputs  # noqa: F401 (inputs adds its queries)
 from triagelake.sources import lockfiles
 
 
@@ -22,6 +25,17 @@ def test_a_side_is_not_broadcast_by_the_size_of_its_files(spark, tmp_path):
     assert (spark.conf.get(guess, None), spark.conf.get(known, None)) == before
 
 
+@pytest.mark.parametrize("name", ["graph_summary"])
+def test_graph_queries_broadcast_nothing_by_the_size_of_its_files(spark, monkeypatch, name):
+    """Neither a table on the way nor the plan that a query returns; small tables stand for large ones by a guess of no bytes."""
+    plan, plans = (lambda df: df._jdf.queryExecution().executedPlan().toString()), []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(graph, "GUESSED_BYTES", -1)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(plan(self._df)) or real(self, path))
+    plans.append(plan(contract.QUERIES[name](spark, "/root/testdata/sf0.001")))
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+
+
 def test_sources_are_parsed_once_and_by_many_tasks(spark):
     rows = spark.range(40).coalesce(1).select(F.lit(1).alias("project_id"), F.lit("project").alias("origin"), F.concat(F.lit("m"), "id").alias("fqn"), F.lit(False).alias("is_package"), F.lit("x = 1").alias("source"))
     good = pysource.parse_modules(rows).filter("parse_ok")
