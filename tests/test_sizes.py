@@ -25,7 +25,7 @@ def test_a_side_is_not_broadcast_by_the_size_of_its_files(spark, tmp_path):
     assert (spark.conf.get(guess, None), spark.conf.get(known, None)) == before
 
 
-@pytest.mark.parametrize("name", ["graph_summary", "graph_nodes", "tail_fans", "evidence_paths", "graph_access"])
+@pytest.mark.parametrize("name", ["graph_summary", "graph_nodes", "tail_fans", "evidence_paths", "graph_access", "reachability_bfs"])
 def test_graph_queries_broadcast_nothing_by_the_size_of_its_files(spark, monkeypatch, name):
     """Neither a table on the way nor the plan that a query returns; small tables stand for large ones by a guess of no bytes."""
     plan, plans = (lambda df: df._jdf.queryExecution().executedPlan().toString()), []
