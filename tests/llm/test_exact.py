@@ -256,6 +256,23 @@ def test_near_copies_under_every_kind_of_edit(spark):
     assert sorted(r.doc_id for r in copies.one_of_each(df).collect()) == want
 
 
+def test_near_copies_meet_by_their_fingerprints_first(spark, monkeypatch):
+    """Balls link what they can, an exact check follows, and the prefix join is left with the rest."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    bits = lambda a, b: ((copies.fingerprint(a.encode()) ^ copies.fingerprint(b.encode())) & (1 << 64) - 1).bit_count()
+    edits = (" ".join([*base[:i], "else", *base[i + 1 :]]) for i in range(400))
+    close = next(t for t in edits if 0 < bits(" ".join(base), t) <= 2)
+    dull = [" ".join(["a"] * 100 + [f"w{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(2)]
+    assert bits(*dull) == 0  # one fingerprint, other texts
+    texts = [" ".join(base), close, " ".join(base[60:]), *dull]
+    seen, real = [], copies._verified
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *a: seen.append(sorted((r.a & 7, r.b & 7) for r in pairs.collect())) or real(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in copies.one_of_each(df).collect()) == plain_groups(texts) == [0, 3, 4]
+    assert seen[0] == [(0, 1), (3, 4)] and not any((0, 1) in s for s in seen[1:])
+
+
 # long repeats
 
 

@@ -48,6 +48,15 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``spool`` that nothing reads any more."""
+    for t in tables:
+        jvm, hadoop = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        for folder in {os.path.dirname(f) for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bound the Arrow batches of the session; documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,14 +1,20 @@
-"""One text of each group of near copies, by an exact prefix-filter join on shingle sets.
+"""One text of each group of near copies, by fingerprint balls, an exact check and an exact join for the rest.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word
 shingles is at least ``SIMILARITY``; groups are the connected components.
+First texts meet by their SimHash fingerprints, as in ``simhash``: those of one
+fingerprint its first, distinct fingerprints their neighbours in a half ball;
+these pairs are compared exactly.  An appended or replaced passage may differ
+in more bits, so a prefix join then looks for the links that balls miss, among
+texts that no ball has joined.
+
 All shingles have one order (rare ones first), and of a set of n the first
 ``n - ceil(SIMILARITY * n) + 1`` are its prefix: two sets as similar as asked
 share a shingle of both prefixes, whatever the kind of edit.  Rarity is read
 from a table of counts by hash; any table gives the same result, a good one
 keeps common passages out of the prefixes.
 
-Holders of one prefix shingle are a bucket.  In a star round each meets one
+Holders of one prefix shingle are a bucket.  In a star round after the balls each meets one
 member of it (first the one whose prefix is shared most, so a template of many
 copies; then by chance), pairs are compared exactly, and buckets inside one
 component are done.  After a round without links, or ``ROUNDS``, all pairs of
@@ -33,12 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, spool
+from ._common import forget, small_batches, spool
 from .components import components
 from .longmatch import _unpack, chunked
+from .simhash import ball_links, fingerprint
 
 SIMILARITY, SHINGLE = 0.8, 5
-ROUNDS = 2  # star rounds before all pairs that are left
+ROUNDS = 3  # the balls and star rounds before all pairs that are left
 COUNT_BITS = 18  # of a shingle's hash, to count it by
 ROW_BITS = 15  # of a row's number in its chunk, which has one row for each 64 bytes at most
 
@@ -98,7 +105,7 @@ def _counts(chunks: DataFrame, text_at: int, size: int) -> np.ndarray:
 
 
 def _marks(chunks: DataFrame, id_at: int, text_at: int, counts: np.ndarray, least: float, size: int) -> DataFrame:
-    """Of each row its id, the text's hash, the number of its shingles, its prefix and how widely that is shared."""
+    """Of each row its id, the text's hash and fingerprint, the number of its shingles, its prefix and how widely that is shared."""
     shared = chunks.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +116,15 @@ def _marks(chunks: DataFrame, id_at: int, text_at: int, counts: np.ndarray, leas
                 first = [prefix(s, shared.value, least) for s in sets]
                 nodes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 wide = [int(np.log2(1.0 + shared.value[p >> np.uint64(64 - COUNT_BITS)]).mean() * (1 << 24)) if len(p) else 0 for p in first]
+                fps = pa.array([fingerprint(t) for t in texts], pa.int64())
                 rid = np.arange(len(texts), dtype=np.int64) + (row["chunk"] << ROW_BITS)
                 ids = table.column(id_at).combine_chunks().cast(pa.int64())
                 edges = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(wide, pa.int64()), tokens], ["rid", "doc_id", "hash", "n", "wide", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(nodes), fps, pa.array([len(s) for s in sets], pa.int32()), pa.array(wide, pa.int64()), tokens], ["rid", "doc_id", "hash", "fp", "n", "wide", "tokens"])
 
     small_batches(chunks.sparkSession, 8192, 4 << 20)
-    return chunks.mapInArrow(run, "rid long, doc_id long, hash long, n int, wide long, tokens array<long>")
+    return chunks.mapInArrow(run, "rid long, doc_id long, hash long, fp long, n int, wide long, tokens array<long>")
 
 
 def _may_reach(n: Column, pos: Column, m: Column, other: Column, least: float) -> Column:
@@ -159,37 +167,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that connect all nodes whose fingerprints are linked."""
+    first = spool(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fp")
+    same = nodes.select("fp", F.col("node").alias("b")).join(first.withColumnRenamed("node", "a"), "fp").filter("a <> b").select("a", "b")
+    near = ball_links(first)
+    return same.unionAll(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+
+
 def _groups(chunks: DataFrame, nodes: DataFrame, text_at: int, least: float, size: int) -> DataFrame:
     """node and component of all nodes that have a near copy."""
-    postings = nodes.select("node", "n", "wide", F.posexplode("tokens").alias("pos", "token"))
-    shared = spool(postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "shared")
-    rest = spool(postings.join(shared, "token").withColumn("component", F.col("node")), "met")
-    links, tried, found = None, None, None
+    columns = ["node", "n", "wide", "pos", "token", "component"]
+    rest, links, tried, found, spent = None, None, None, None, []
     for turn in range(ROUNDS + 1):
-        if turn:
-            now = rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-            rest = spool(now.join(open_, "token").select(rest.columns), "met")
         last = turn == ROUNDS or (turn > 1 and not more)
-        other = rest.select("token", *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "component")))
-        if last:
-            apart = F.col("node") < F.col("r_node")
+        if not turn:
+            pairs = spool(_ball_pairs(nodes), "pairs")
         else:
-            key = F.xxhash64("node", "token", F.lit(turn)) if turn else F.col("wide")
-            other = rest.withColumn("key", key).groupBy("token").agg(*(F.max_by(c, "key").alias(f"r_{c}") for c in ("node", "n", "pos", "component")))
-            apart = F.col("node") != F.col("r_node")
-        left = rest.withColumnRenamed("token", "l_token")
-        near = _may_reach(F.col("n"), F.col("pos"), F.col("r_n"), F.col("r_pos"), least)
-        met = left.join(other, (F.col("l_token") == F.col("token")) & apart & (F.col("component") != F.col("r_component")) & near)
-        pairs = met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
-        pairs = spool(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            now = (nodes if rest is None else rest.drop("component")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            if rest is None:
+                now = now.select("node", "n", "wide", F.posexplode("tokens").alias("pos", "token"), "component")
+            open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+            before, rest = rest, spool(now.join(open_, "token").select(columns), "met")
+            if before is not None:
+                forget(before)
+            other = rest.select("token", *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "component")))
+            if last:
+                apart = F.col("node") < F.col("r_node")
+            else:
+                key = F.xxhash64("node", "token", F.lit(turn)) if turn > 1 else F.col("wide")
+                other = rest.withColumn("key", key).groupBy("token").agg(*(F.max_by(c, "key").alias(f"r_{c}") for c in ("node", "n", "pos", "component")))
+                apart = F.col("node") != F.col("r_node")
+            left = rest.withColumnRenamed("token", "l_token")
+            near = _may_reach(F.col("n"), F.col("pos"), F.col("r_n"), F.col("r_pos"), least)
+            met = left.join(other, (F.col("l_token") == F.col("token")) & apart & (F.col("component") != F.col("r_component")) & near)
+            pairs = met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
+            pairs = spool(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        close = spool(_verified(pairs, spool(_sets(chunks, pairs, text_at, size), "sets"), least), "near")
+        sets = spool(_sets(chunks, pairs, text_at, size), "sets")
+        close = spool(_verified(pairs, sets, least), "near")
+        forget(sets)
+        spent += [pairs, close]
         more = not close.isEmpty()
         links = close if links is None else links.unionAll(close)
         if more or found is None:
             found = components(links)
         if last:
+            forget(*spent, *(() if rest is None else (rest,)))
             return found
     raise AssertionError
 
@@ -200,7 +224,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = chunked(docs, text_col)
     marked = spool(_marks(chunks, id_at, text_at, _counts(chunks, text_at, size), least, size), "marks")
     nodes = spool(marked.groupBy("hash").agg(F.min("rid").alias("node")), "nodes")
-    found = _groups(chunks, marked.select(F.col("rid").alias("node"), "n", "wide", "tokens").join(nodes.select("node"), "node", "left_semi"), text_at, least, size)
+    found = _groups(chunks, marked.select(F.col("rid").alias("node"), "fp", "n", "wide", "tokens").join(nodes.select("node"), "node", "left_semi"), text_at, least, size)
     group = F.coalesce("component", "node")
     rows = marked.select("rid", "doc_id", "hash").join(nodes.select("hash", "node"), "hash").join(found, "node", "left").select("rid", "doc_id", group.alias("grp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
